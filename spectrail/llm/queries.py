@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrail.llm import lookalike
+from spectrail.llm import lookalike, tokenize
 from spectrail.session import table
 
 
@@ -22,8 +22,12 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(_p1_texts(spark, sf_dir))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode_column(spark, table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
