@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrail.llm import lookalike, tokenize
+from spectrail.llm import leaks, lookalike, tokenize
 from spectrail.session import table
 
 
@@ -26,8 +26,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_column(spark, table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
