@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrail.llm import leaks, lookalike, tokenize
+from spectrail.llm import leaks, lookalike, spam, tokenize
 from spectrail.session import table
 
 
@@ -30,8 +30,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.find_spam(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
