@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrail.llm import leaks, lookalike, spam, tokenize
+from spectrail.llm import leaks, lookalike, mojibake, spam, tokenize
 from spectrail.session import table
 
 
@@ -22,6 +22,20 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(_p1_texts(spark, sf_dir))
 
 
+def _p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nmr = table(spark, sf_dir, "nmr_data", "nmr_id", "raw_text")
+    gt = table(spark, sf_dir, "gt_tests", "gt_id", "test_text")
+    return lookalike.stack([("raw_text", nmr, "nmr_id", "raw_text"), ("test_text", gt, "gt_id", "test_text")]).withColumnRenamed("id", "row_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair(_p3_texts(spark, sf_dir), ["fld", "row_id"], "text", text=False).select("fld", "row_id")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair(_p3_texts(spark, sf_dir), ["fld", "row_id"], "text").select("fld", "row_id", "restored")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_column(spark, table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -35,7 +49,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
