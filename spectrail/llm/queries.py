@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrail.llm import leaks, lookalike, mojibake, spam, tokenize
+from spectrail.llm import leaks, lookalike, mojibake, scans, spam, tokenize
 from spectrail.session import table
 
 
@@ -36,6 +36,20 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair(_p3_texts(spark, sf_dir), ["fld", "row_id"], "text").select("fld", "row_id", "restored")
 
 
+def _p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "wide_records", "wide_id", "h1_nmr")
+    more = lookalike.stack([("h1_nmr", wide, "wide_id", "h1_nmr")]).withColumnRenamed("id", "row_id")
+    return _p3_texts(spark, sf_dir).unionByName(more)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.read(_p5_texts(spark, sf_dir), ["fld", "row_id"], "text", text=False).select("fld", "row_id")
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.read(_p5_texts(spark, sf_dir), ["fld", "row_id"], "text").select("fld", "row_id", "repaired")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_column(spark, table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -49,7 +63,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
