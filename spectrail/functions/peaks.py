@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spectrail.functions.bind import bind
+
 RANGES = {"1H NMR": (0, 16), "13C NMR": (0, 250), "IR": (400, 4000), "MS": (10, 5000)}
 MERGE = 0.05  # shifts of 13C nearer than this to the last kept one are one
 _H = r"(\d{1,2}(?:\.\d+)?(?:\s*[–-]\s*\d{1,2}(?:\.\d+)?)?)\s*(?:\(([^)]*)\))?"
@@ -20,9 +22,12 @@ def one_line(text: Column) -> Column:
 
 def after_delta(text: Column) -> Column:
     """The text behind the first δ, else behind ``NMR...:``, else all of it."""
-    s = one_line(text)
-    head = F.regexp_extract(s, r"(?i)NMR[^:]*:\s*", 0)
-    return F.when(F.contains(s, F.lit("δ")), F.substring(s, F.instr(s, "δ") + 1, F.length(s))).when(head != "", F.substring(s, F.instr(s, head) + F.length(head), F.length(s))).otherwise(s)
+
+    def behind(s: Column) -> Column:
+        label = bind(F.regexp_extract(s, r"(?i)NMR[^:]*:\s*", 0), lambda head: F.when(head != "", F.substring(s, F.instr(s, head) + F.length(head), F.length(s))).otherwise(s))
+        return F.when(F.contains(s, F.lit("δ")), F.substring(s, F.instr(s, "δ") + 1, F.length(s))).otherwise(label)
+
+    return bind(one_line(text), behind)
 
 
 def frequency(text: Column) -> Column:
@@ -37,11 +42,11 @@ def _within(x: Column, kind: str) -> Column:
 
 def proton_peaks(text: Column) -> Column:
     """array<struct<shift, lo, hi, mult, j array<double>, integ, label>>, in the order written; a range has its centre as shift."""
-    s = after_delta(text)
-    shifts, infos = F.regexp_extract_all(s, F.lit(_H), F.lit(1)), F.regexp_extract_all(s, F.lit(_H), F.lit(2))
 
     def peak(shift: Column, info: Column) -> Column:
-        ends = F.transform(F.split(shift, r"\s*[–-]\s*"), lambda x: x.cast("double"))
+        return bind(F.transform(F.split(shift, r"\s*[–-]\s*"), lambda x: x.cast("double")), lambda ends: described(ends, info))
+
+    def described(ends: Column, info: Column) -> Column:
         low = F.lower(info)
         mult = F.regexp_extract(low, _MULTIPLICITY, 1)
         return F.struct(
@@ -54,7 +59,7 @@ def proton_peaks(text: Column) -> Column:
             F.trim(info).alias("label"),
         )
 
-    both = F.zip_with(shifts, infos, peak)
+    both = bind(after_delta(text), lambda s: F.zip_with(F.regexp_extract_all(s, F.lit(_H), F.lit(1)), F.regexp_extract_all(s, F.lit(_H), F.lit(2)), peak))
     ok = F.filter(both, lambda p: F.when(p["lo"].isNotNull(), _within(p["lo"], "1H NMR") & _within(p["hi"], "1H NMR")).otherwise(_within(p["shift"], "1H NMR")))
     return F.coalesce(ok, F.array().cast("array<struct<shift:double,lo:double,hi:double,mult:string,j:array<double>,integ:double,label:string>>"))
 
@@ -74,7 +79,7 @@ def ir_bands(text: Column) -> Column:
         level = F.lit(0.5)
         for word, value in (("w", 0.3), ("m", 0.55), ("s", 0.8), ("vw", 0.2), ("vs", 1.0)):  # the last that fits counts
             level = F.when(raw.rlike(rf"(?<![a-z]){word}(?![a-z])"), F.lit(value)).otherwise(level)
-        broad = raw.rlike(r"\bbr\b|broad")
+        broad = raw.rlike(r"(?U)\bbr\b|broad")
         pattern = F.lit(r"(\d{3,4}(?:\.\d+)?)(?:\s*[–-]\s*(\d{3,4}(?:\.\d+)?))?")
 
         def band(a: Column, b: Column) -> Column:
@@ -89,18 +94,24 @@ def ir_bands(text: Column) -> Column:
 
 def ms_peaks(text: Column) -> Column:
     """array<struct<mz, intensity>>: pairs ``mz (int)`` in the order written, else all distinct m/z at 100; base peak 100."""
-    s = one_line(text)
+    return bind(one_line(text), _ms_peaks)
+
+
+def _ms_peaks(s: Column) -> Column:
     pair = F.lit(r"(\d{2,5}(?:\.\d+)?)\s*\(\s*(\d{1,3})\s*\)")
     pairs = F.filter(F.zip_with(F.regexp_extract_all(s, pair, F.lit(1)), F.regexp_extract_all(s, pair, F.lit(2)), lambda a, b: F.struct(a.cast("double").alias("mz"), b.cast("double").alias("intensity"))), lambda p: _within(p["mz"], "MS"))
     single = F.filter(F.transform(F.regexp_extract_all(s, F.lit(r"(\d{2,5}(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double")), lambda x: _within(x, "MS"))
     equal = F.transform(F.array_sort(F.array_distinct(single)), lambda x: F.struct(x.alias("mz"), F.lit(100.0).alias("intensity")))
-    return base_peak(F.when(F.size(pairs) > 0, pairs).otherwise(equal))
+    return bind(bind(pairs, lambda p: F.when(F.size(p) > 0, p).otherwise(equal)), base_peak)
 
 
 def base_peak(peaks: Column) -> Column:
     """Intensities as percent of the highest, unchanged if that is 0."""
-    top = F.array_max(F.transform(peaks, lambda p: p["intensity"]))
-    return F.transform(peaks, lambda p: F.struct(p["mz"].alias("mz"), F.when(top > 0, p["intensity"] * 100.0 / top).otherwise(p["intensity"]).alias("intensity")))
+
+    def scaled(top: Column) -> Column:
+        return F.transform(peaks, lambda p: F.struct(p["mz"].alias("mz"), F.when(top > 0, p["intensity"] * 100.0 / top).otherwise(p["intensity"]).alias("intensity")))
+
+    return bind(F.array_max(F.transform(peaks, lambda p: p["intensity"])), scaled)
 
 
 def positions(text: Column, kind: Column) -> Column:
@@ -137,18 +148,19 @@ def confusion(true: Column, pred: Column, tol: float = 0.01) -> Column:
     The hits are the distinct nearest true indexes within tol. No true peaks: all zero.
     """
 
-    def nearest(p: Column) -> Column:
-        apart = F.transform(true, lambda t: F.abs(t - p))
-        best = F.array_min(apart)
-        return F.when(best <= tol, F.array_position(apart, best))
-
-    hits = F.size(F.array_distinct(F.filter(F.transform(pred, nearest), lambda x: x.isNotNull())))
-    some = F.size(true) > 0
-    return F.struct(
-        F.when(some, hits).otherwise(F.lit(0)).cast("bigint").alias("tp"),
-        F.when(some, F.size(pred) - hits).otherwise(F.lit(0)).cast("bigint").alias("fp"),
-        F.when(some, F.size(true) - hits).otherwise(F.lit(0)).cast("bigint").alias("fn"),
-    )
+    def hits(true: Column, pred: Column) -> Column:
+        def nearest(p: Column) -> Column:
+            apart = F.transform(true, lambda t: F.abs(t - p))
+            return bind(apart, lambda a: F.when(F.array_min(a) <= tol, F.array_position(a, F.array_min(a))))
+
+        return F.size(F.array_distinct(F.filter(F.transform(pred, nearest), lambda x: x.isNotNull())))
+
+    def counted(t: Column, p: Column, h: Column) -> Column:
+        some = F.size(t) > 0
+        parts = {"tp": h, "fp": F.size(p) - h, "fn": F.size(t) - h}
+        return F.struct(*(F.when(some, v).otherwise(F.lit(0)).cast("bigint").alias(k) for k, v in parts.items()))
+
+    return bind(true, lambda t: bind(pred, lambda p: bind(hits(t, p), lambda h: counted(t, p, h))))
 
 
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:

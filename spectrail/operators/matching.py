@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spectrail.operators.sequences import islands
 
@@ -39,30 +42,58 @@ def ranked(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "pic", "segment")).cast("bigint"))
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[list[tuple]], list[tuple]], schema: T.StructType) -> DataFrame:
+    """solve(rows) for each group, its rows as tuples in order. Rows are hash-partitioned by the keys and sorted within partitions, then
+    streamed in Arrow batches, so that millions of small groups cost no more than their rows (a pandas frame for each would)."""
+    n = len(keys)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if group and group[0][:n] != row[:n]:
+                    out.extend(solve(group))
+                    group.clear()
+                group.append(row)
+            if len(out) > 10_000:
+                yield batch()
+                out.clear()
+        if group:
+            out.extend(solve(group))
+        yield batch()
+
+    names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema.fields]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(scan, schema)
+
+
 def greedy_match(pairs: DataFrame, caps: DataFrame, key: str, use_max: bool = False) -> DataFrame:
     """Rows (key, pic, segment): pairs in order of distance; taken while the picture is free and the segment under its cap.
 
     caps: (key, segment, min_cap, max_cap). First up to the min caps; with use_max the free pictures then up to the max caps. The scan is
     sequential, so it runs once for each document and page (pictures and segments pair within pages only), which also splits hot documents.
     """
-    table = pairs.join(caps, [key, "segment"]).select(key, "page", "pic", "segment", "distance", "min_cap", "max_cap")
-    kind = {f.name: f.dataType.simpleString() for f in table.schema}
+    table = pairs.join(caps, [key, "segment"]).select(key, "page", "distance", "pic", "segment", "min_cap", "max_cap")
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance", "pic", "segment"], kind="stable")
+    def match(rows: list[tuple]) -> list[tuple]:
         used: set = set()
         filled: dict = {}
         out = []
-        for cap in ["min_cap", "max_cap"][: 1 + use_max]:
-            for row in zip(pdf[key], pdf["pic"], pdf["segment"], pdf[cap]):
-                _, pic, seg, limit = row
-                if pic not in used and filled.get(seg, 0) < limit:
+        for cap in (5, 6)[: 1 + use_max]:
+            for row in rows:
+                pic, seg = row[3], row[4]
+                if pic not in used and filled.get(seg, 0) < row[cap]:
                     used.add(pic)
                     filled[seg] = filled.get(seg, 0) + 1
-                    out.append(row[:3])
-        return pd.DataFrame(out, columns=[key, "pic", "segment"])
+                    out.append((row[0], pic, seg))
+        return out
 
-    return table.groupBy(key, "page").applyInPandas(match, f"`{key}` {kind[key]}, pic {kind['pic']}, segment {kind['segment']}")
+    schema = T.StructType([table.schema[c] for c in (key, "pic", "segment")])
+    return by_group(table, [key, "page"], ["distance", "pic", "segment"], match, schema)
 
 
 def filled_matched(segs: DataFrame, key: str, n_tests: str, n_pics: str) -> DataFrame:
@@ -117,19 +148,18 @@ def best_assignment(scores: DataFrame, key: str, left: str, right: str, score: s
     scores: only pairs above 0 are needed; pairs that are missing count as 0. A group must be of bounded size: key it by file and compound
     name or another block, as a dense problem takes the square of its rows.
     """
-    kind = {f.name: f.dataType.simpleString() for f in scores.schema}
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([left, right], kind="stable")
-        rows, ri = np.unique(pdf[left].to_numpy(), return_inverse=True)
-        cols, ci = np.unique(pdf[right].to_numpy(), return_inverse=True)
-        matrix = np.zeros((len(rows), len(cols)))
-        np.maximum.at(matrix, (ri, ci), pdf[score].to_numpy())
-        out = [(pdf[key].iloc[0], rows[i], cols[j], matrix[i, j]) for i, j in assignment(matrix) if matrix[i, j] > threshold]
-        return pd.DataFrame(out, columns=[key, left, right, score])
+    def solve(rows: list[tuple]) -> list[tuple]:
+        lefts, rights = sorted({r[1] for r in rows}), sorted({r[2] for r in rows})
+        li, ri = {x: i for i, x in enumerate(lefts)}, {x: i for i, x in enumerate(rights)}
+        matrix = np.zeros((len(lefts), len(rights)))
+        for _, x, y, v in rows:
+            matrix[li[x], ri[y]] = max(matrix[li[x], ri[y]], v)
+        return [(rows[0][0], lefts[i], rights[j], float(matrix[i, j])) for i, j in assignment(matrix) if matrix[i, j] > threshold]
 
     positive = scores.filter(F.col(score) > 0).select(key, left, right, score)
-    return positive.groupBy(key).applyInPandas(solve, f"`{key}` {kind[key]}, `{left}` {kind[left]}, `{right}` {kind[right]}, `{score}` double")
+    schema = T.StructType([*(positive.schema[c] for c in (key, left, right)), T.StructField(score, T.DoubleType())])
+    return by_group(positive, [key], [left, right], solve, schema)
 
 
 def mean_of_factors(factors: list[Column]) -> Column:

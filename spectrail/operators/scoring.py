@@ -60,7 +60,7 @@ def entity_scores(pred: DataFrame, gold: DataFrame, column: str) -> DataFrame:
     """
     sides = pred.select(column, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(column, F.lit(0).alias("p"), F.lit(1).alias("g")))
     each = sides.filter(F.col(column).isNotNull()).groupBy(column).agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    counts = each.agg(F.count_if("p = 1 and g = 1").alias("tp"), F.count_if("p = 1 and g = 0").alias("fp"), F.count_if("p = 0 and g = 1").alias("fn"))
+    counts = each.agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.expr("p = 1 and g = 0")).alias("fp"), F.count_if(F.expr("p = 0 and g = 1")).alias("fn"))
     p, r, f1 = P.precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
     return counts.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 

@@ -12,7 +12,7 @@ def counts_by_type(gt: DataFrame, kind: str, file: str) -> DataFrame:
     """Rows (stat, n): tests of each type (prefix total_), all rows, files."""
     per = gt.filter(F.col(kind).isNotNull()).groupBy(kind).agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("total_"), F.col(kind)).alias("stat"), "n")
     both = gt.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(file).alias("files"))
-    return per.unionByName(both.select(F.inline(F.array(F.struct(F.lit("rows").alias("stat"), F.col("rows").alias("n")), F.struct(F.lit("files"), F.col("files"))))))
+    return per.unionByName(both.select(F.inline(F.array(F.struct(F.lit("rows").alias("stat"), F.col("rows").alias("n")), F.struct(F.lit("files").alias("stat"), F.col("files").alias("n"))))))
 
 
 def counts_by_file(gt: DataFrame, file: str, kind: str, molecule: str, kinds: tuple[str, ...] = TEST_TYPES) -> DataFrame:
@@ -96,7 +96,7 @@ def metric_columns(columns: list[str]) -> dict[str, list[str]]:
 def annotation_rows(boxes: DataFrame, keys: list[str], label: str, text: str, start_page: str) -> DataFrame:
     """Two rows for each box, the rectangle and its text, that share an id; pages count from the segment's first."""
     shared = F.substring(F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col(label)), 256), 1, 10)
-    parts = F.array(F.struct(F.lit(0).alias("part"), F.lit("rectanglelabels").alias("type"), F.col(label).alias("value")), F.struct(F.lit(1), F.lit("textarea"), F.col(text)))
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.lit("rectanglelabels").alias("type"), F.col(label).alias("value")), F.struct(F.lit(1).alias("part"), F.lit("textarea").alias("type"), F.col(text).alias("value")))
     rows = boxes.select(*keys, shared.alias("id"), (F.col("page") - F.col(start_page)).cast("bigint").alias("item_index"), "x", "y", "w", "h", F.inline(parts))
     return rows
 

@@ -248,7 +248,7 @@ IR = f"""{_texts('IR')}, pieces AS (SELECT gt_id, unnest(list_filter(list_transf
 b AS (SELECT gt_id, i, raw, unnest(list_zip(regexp_extract_all(raw, {q(_IRP)}, 1), regexp_extract_all(raw, {q(_IRP)}, 2))) AS p, generate_subscripts(regexp_extract_all(raw, {q(_IRP)}, 1), 1) AS k FROM pieces),
 c AS (SELECT *, CAST(p[1] AS DOUBLE) AS x, CAST(nullif(p[2], '') AS DOUBLE) AS y FROM b),
 bands AS (SELECT gt_id, CAST(row_number() OVER (PARTITION BY gt_id ORDER BY i, k) - 1 AS BIGINT) AS pos, CASE WHEN y BETWEEN 400 AND 4000 THEN (x + y) / 2 ELSE x END AS wn, {_LEVEL} AS intensity,
-coalesce(y BETWEEN 400 AND 4000, false) OR regexp_matches(raw, '\\bbr\\b|broad') AS broad, raw FROM c WHERE x BETWEEN 400 AND 4000)"""
+coalesce(y BETWEEN 400 AND 4000, false) OR regexp_matches(raw, '(^|[^\\pL\\pN_])br([^\\pL\\pN_]|$)|broad') AS broad, raw FROM c WHERE x BETWEEN 400 AND 4000)"""
 _PAIRS = r"(\d{2,5}(?:\.\d+)?)\s*\(\s*(\d{1,3})\s*\)"
 MS = f"""{_texts('MS')}, m AS (SELECT gt_id, list_filter(list_transform(list_zip(regexp_extract_all(s, {q(_PAIRS)}, 1), regexp_extract_all(s, {q(_PAIRS)}, 2)), lambda p: [CAST(p[1] AS DOUBLE), CAST(p[2] AS DOUBLE)]), lambda p: p[1] BETWEEN 10 AND 5000) AS pairs,
 list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(s, '(\\d{{2,5}}(?:\\.\\d+)?)', 1), lambda x: CAST(x AS DOUBLE)), lambda x: x BETWEEN 10 AND 5000))) AS single FROM t),
