@@ -28,9 +28,9 @@ TOKENS = (
     ("integration", rf"{_N}\s*H(?!z)|\d\s*[FC](?![a-zA-Z])"),
     ("coupling", rf"\d?J\s*(?:\([^()]*\))?\s*=\s*{_N}(?:\s*,\s*{_N}(?=\s*(?:,|Hz)))*\s*(?:Hz)?|{_N}\s*Hz"),
     ("range", rf"\d+\.\d+\s*{_DASH}\s*\d+\.\d+"),
-    ("shift", rf"{_DASH}?\s*\d+\.\d+"),
+    ("shift", rf"(?:{_DASH}\s*)?\d+\.\d+"),
     ("multiplicity", r"(?:br\s+)?(?:[sdtqpm]|[dtq]{2,5}|quin(?:tet)?|sept(?:et)?|sext|hept|octet)(?=\s*[,)])|br\b"),
-    ("assignment", r"(?:Ar|N|O|S|Si)?-?C?H?\d?(?:C\(?[OHS]?\)?H?\d?)+[A-Za-z0-9()=]*|Ar[A-Z][A-Za-z0-9]*|CHO|CF3|C=O"),
+    ("assignment", r"[A-Za-z][A-Za-z0-9=-]*(?:\([A-Za-z0-9=]*\)[A-Za-z0-9=]*)*"),
     ("mark", r"δ[HCF]?|\(ppm\)|[,;:=]"),
     ("open", r"\("),
     ("close", r"\)"),

@@ -182,7 +182,8 @@ def flatten(df: DataFrame, key: str, column: str, levels: tuple[Level, ...] = RE
     """
     if known is None:
         known = members(merged_schema(df, column))
-    fixed = {k: frozenset(v) for k, v in known.items()}
+    # members of an element, whether it stood in a list or alone
+    fixed = {k + "[]" if not k.endswith("[]") else k: frozenset(v | known.get(k[:-2] if k.endswith("[]") else k + "[]", set())) for k, v in known.items()}
     kind = df.schema[key].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,12 +111,12 @@ def tasks(rows: DataFrame, keys: list[str]) -> DataFrame:
 def read_annotations(exported: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Rows (keys, label, text, boxes) of exported tasks: entries 2k and 2k + 1 belong together; a repeated id adds its box only."""
     entry = "array<struct<id:string,value:struct<x:double,y:double,width:double,height:double,rectanglelabels:array<string>,text:array<string>>>>"
-    each = exported.select(*keys, F.posexplode(F.from_json(column, entry)).alias("pos", "e"))
-    pair = each.groupBy(*keys, F.expr("pos div 2").alias("pair")).agg(
-        F.min_by("e", "pos").alias("k"), F.max_by("e", "pos").alias("v"), F.count(F.lit(1)).alias("n")
-    ).filter("n = 2")
-    flat = pair.select(*keys, "pair", F.col("k.id").alias("id"), F.coalesce(F.col("k.value.rectanglelabels")[0], F.col("k.value.text")[0]).alias("label"), F.coalesce(F.col("v.value.text")[0], F.col("v.value.rectanglelabels")[0]).alias("text"), F.struct("v.value.x", "v.value.y", "v.value.width", "v.value.height").alias("box"))
-    return flat.groupBy(*keys, "id", "label").agg(F.min_by("text", "pair").alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("pair", "box"))), lambda x: x["box"]).alias("boxes")).drop("id")
+    each = exported.select(*keys, F.posexplode(F.from_json(column, entry)).alias("__pos", "__e"))
+    pair = each.groupBy(*keys, F.expr("__pos div 2").alias("__pair")).agg(
+        F.min_by("__e", "__pos").alias("__k"), F.max_by("__e", "__pos").alias("__v"), F.count(F.lit(1)).alias("__n")
+    ).filter("__n = 2")
+    flat = pair.select(*keys, "__pair", F.col("__k.id").alias("__id"), F.coalesce(F.col("__k.value.rectanglelabels")[0], F.col("__k.value.text")[0]).alias("label"), F.coalesce(F.col("__v.value.text")[0], F.col("__v.value.rectanglelabels")[0]).alias("text"), F.struct("__v.value.x", "__v.value.y", "__v.value.width", "__v.value.height").alias("box"))
+    return flat.groupBy(*keys, "__id", "label").agg(F.min_by("text", "__pair").alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("__pair", "box"))), lambda x: x["box"]).alias("boxes")).drop("__id")
 
 
 def update_by_type(tests: DataFrame, changes: DataFrame, keys: list[str], kind: str, value: str) -> DataFrame:
