@@ -102,6 +102,7 @@ class Repair:
     def __init__(self, table: np.ndarray) -> None:
         self.pairs, self.singles, self.total = table[:PAIRS], table[PAIRS : PAIRS + SINGLES], max(1, int(table[PAIRS + SINGLES]))
         self.inverse = inverse()
+        self.leads = {c for table in self.inverse for c, b in table.items() if 0xC2 <= b <= 0xF4}  # may begin a sequence of bytes
         self.seen: dict[str, str | None] = {}
         self.known: dict[str, float] = {}
 
@@ -140,6 +141,8 @@ class Repair:
 
     def restore(self, run: str) -> str | None:
         """The original of a run, None if no inverse mapping gives one."""
+        if run[0] not in self.leads and run[0] > "\x7f":
+            return None
         if run not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
@@ -162,14 +165,29 @@ class Repair:
                     best, score = text, n
         return best
 
-    def parts(self, run: str) -> tuple[str, bool]:
-        """A run with all restorable stretches restored, longest first, and whether there was one."""
+    def _by_page(self, run: str, page: int) -> str | None:
+        table = self.inverse[page]
+        try:
+            text = bytes([table[c] for c in run]).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            return None
+        return text if self._sound(text) else None
+
+    def page(self, runs: list[str]) -> int:
+        """The code page that restores most runs of a text: all of them were misread in the same way."""
+        fits = [sum(self._by_page(r, k) is not None for r in runs) for k in range(len(self.inverse))]
+        return fits.index(max(fits))
+
+    def parts(self, run: str, page: int | None = None) -> tuple[str, bool]:
+        """A run with all restorable stretches restored, longest first, and whether there was one; by the text's page if that fits."""
+        if page is not None and (whole := self._by_page(run, page)) is not None and (len(whole) < 2 or self.restore(whole) is None):
+            return whole, True
         if (whole := self.restore(run)) is not None:
             return whole, True
         out, i, any_ = [], 0, False
         while i < len(run):
-            for j in range(min(len(run), i + 24), i + 1, -1):
-                if ord(run[i]) > 127 and (text := self.restore(run[i:j])) is not None:
+            for j in range(min(len(run), i + 24) if run[i] in self.leads else i, i + 1, -1):
+                if (text := self.restore(run[i:j])) is not None:
                     out.append(text)
                     i, any_ = j, True
                     break
@@ -183,8 +201,10 @@ class Repair:
         if not _NEAR.search(text):
             return False, text
         out, at, found = [], 0, False
-        for i, j in self.runs(text):
-            fixed, any_ = self.parts(text[i:j])
+        runs = self.runs(text)
+        page = self.page([text[i:j] for i, j in runs]) if len(runs) > 1 else None
+        for i, j in runs:
+            fixed, any_ = self.parts(text[i:j], page)
             if any_:
                 found = True
                 out.extend((text[at:i], fixed))
