@@ -155,6 +155,7 @@ class Index:
         self.map = np.zeros(1 << 22, bool)
         self.map[(self.all_pairs & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.runs = [set(self._runs(w).tolist()) for w in self.words]
+        self.lists = [w.tolist() for w in self.words]
 
     @staticmethod
     def _runs(w: np.ndarray) -> np.ndarray:
@@ -222,25 +223,28 @@ class Index:
         diagonal = w - self.at[p]
         order = np.lexsort((diagonal, item, doc))
         out, first = [], np.searchsorted(of, np.arange(len(texts) + 1))
+        runs = self._runs(h)
         for (d, k), group in itertools.groupby(zip(doc[order].tolist(), item[order].tolist(), diagonal[order].tolist()), key=lambda x: x[:2]):
-            if self._is_leak(h[first[d] : first[d + 1]], k, [x[2] - int(first[d]) for x in group]):
+            if self._is_leak(h, runs, int(first[d]), int(first[d + 1]), k, [x[2] for x in group]):
                 out.append((d, self.ids[k]))
         return out
 
-    def _is_leak(self, doc: np.ndarray, item: int, diagonals: list[int]) -> bool:
-        words = self.words[item]
+    def _is_leak(self, h: np.ndarray, runs: np.ndarray, start: int, stop: int, item: int, diagonals: list[int]) -> bool:
+        """The rule for the document of the words [start, stop), around the candidates' diagonals."""
+        words = self.lists[item]
         size = len(words)
         slack = size // 6 + RUN
-        lo, hi = max(0, diagonals[0] - slack), min(len(doc), diagonals[-1] + size + slack)
-        if not self.runs[item].isdisjoint(self._runs(doc[lo:hi]).tolist()):
+        lo, hi = max(start, diagonals[0] - slack), min(stop, diagonals[-1] + size + slack)
+        if not self.runs[item].isdisjoint(runs[lo : max(lo, hi - RUN + 1)].tolist()):
             return True
         need, tried = SHARE * size, None
         for at in diagonals:
             if tried is not None and at - tried < max(4, size // 20):
                 continue
             tried = at
-            stretch = doc[max(0, at - size // 6) : at + size + size // 4]
-            if np.isin(words, stretch).sum() >= need and common(words.tolist(), stretch.tolist()) >= need:
+            stretch = h[max(start, at - size // 6) : min(stop, at + size + size // 4)].tolist()
+            inside = set(stretch)
+            if sum(w in inside for w in words) >= need and common(words, stretch) >= need:
                 return True
         return False
 
