@@ -140,3 +140,16 @@ def metadata(docs: DataFrame, key: str, column: str) -> DataFrame:
         F.coalesce(X.labelled(F.col(column), "year"), F.nullif(F.regexp_extract(column, year, 1), F.lit(""))).alias("year"),
         F.coalesce(X.labelled(F.col(column), "subject"), first(lines, lambda x: low(x, "subject"), lambda x: F.trim(x))).alias("subject"),
     )
+
+
+def split_at_ends(inside: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds part (from 1): a segment's lines cut behind each end (keys, seq); a segment without ends is one part."""
+    marked = inside.join(ends.select(*keys, "seq", F.lit(1).alias("__end")).distinct(), [*keys, "seq"], "left")
+    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return marked.withColumn("part", (F.coalesce(F.sum("__end").over(before), F.lit(0)) + 1).cast("bigint")).drop("__end")
+
+
+def first_pages(lines: DataFrame, key: str, pages: int = 5) -> DataFrame:
+    """Rows (key, text): the text of the first pages, as much as there is."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return lines.filter(F.col("page") < pages).groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))

@@ -37,15 +37,22 @@ def occurrences(source: Column, target: Column) -> Column:
     return F.when((n >= m) & (m > 0), F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda i: F.slice(source, i, m) == target))).otherwise(F.lit(0))
 
 
+def _one(common: DataFrame, types: str) -> Column | None:
+    row = common.select(types).first()
+    return None if row is None else F.array(*(F.lit(x) for x in row[0]))
+
+
 def segment_sizes(sequences: DataFrame, common: DataFrame, types: str = "types") -> DataFrame:
     """Adds size, max_molecules and min_molecules: tests per common sequence, and that rounded up against the occurrences.
 
-    common has one row by construction (see common_sequence), which is what is broadcast.
+    common has one row by construction (see common_sequence); it is taken as a literal. Without one there are no rows.
     """
-    both = sequences.crossJoin(F.broadcast(common.select(F.col(types).alias("__common")).limit(1)))
-    size = F.size(types) / F.size("__common")
-    up, times = F.ceil(size), occurrences(F.col(types), F.col("__common"))
-    return both.select(*sequences.columns, size.alias("size"), F.greatest(up, times).cast("bigint").alias("max_molecules"), F.least(up, times).cast("bigint").alias("min_molecules"))
+    target = _one(common, types)
+    if target is None:
+        sequences, target = sequences.limit(0), F.array(F.lit(""))
+    size = F.size(types) / F.size(target)
+    up, times = F.ceil(size), occurrences(F.col(types), target)
+    return sequences.select(*sequences.columns, size.alias("size"), F.greatest(up, times).cast("bigint").alias("max_molecules"), F.least(up, times).cast("bigint").alias("min_molecules"))
 
 
 def classes(sized: DataFrame) -> DataFrame:
@@ -56,10 +63,12 @@ def classes(sized: DataFrame) -> DataFrame:
 def neighbours_to_merge(sized: DataFrame, key: str, order: str, common: DataFrame, types: str = "types") -> DataFrame:
     """Rows (key, order, next): incomplete segments that give a common sequence together with the next one."""
     w = Window.partitionBy(key).orderBy(order)
-    c = F.broadcast(common.select(F.col(types).alias("__common")).limit(1))
-    paired = sized.withColumn("next", F.lead(order).over(w)).withColumn("__t", F.lead(types).over(w)).crossJoin(c)
-    together = occurrences(F.concat(F.col(types), F.coalesce("__t", F.array().cast("array<string>"))), F.col("__common"))
-    return paired.filter((F.size(types) < F.size("__common")) & F.col("next").isNotNull() & (together > 0)).select(key, order, "next")
+    target = _one(common, types)
+    if target is None:
+        sized, target = sized.limit(0), F.array(F.lit(""))
+    paired = sized.withColumn("next", F.lead(order).over(w)).withColumn("__t", F.lead(types).over(w))
+    together = occurrences(F.concat(F.col(types), F.coalesce("__t", F.array().cast("array<string>"))), target)
+    return paired.filter((F.size(types) < F.size(target)) & F.col("next").isNotNull() & (together > 0)).select(key, order, "next")
 
 
 def merge_pairs(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:

@@ -154,3 +154,27 @@ def graph_nodes(molecules: DataFrame, spectra: DataFrame) -> DataFrame:
 def serial_groups(names: DataFrame, column: str) -> DataFrame:
     """Rows (serial, names): file names grouped by their last but one part between underscores."""
     return names.withColumn("serial", F.try_element_at(F.split(column, "_"), F.lit(-2))).groupBy("serial").agg(F.array_join(F.array_sort(F.collect_list(column)), ";").alias("names"))
+
+
+def filter_tests(tests: DataFrame, file: str | None = None, kind: str | None = None, between: tuple[float, float] | None = None, positions: Column | None = None) -> DataFrame:
+    """Tests of a file, of a type, and with a peak in a range; each condition is optional."""
+    out = tests
+    if file is not None:
+        out = out.filter(F.col("f_name") == file)
+    if kind is not None:
+        out = out.filter(F.col("test_type") == kind)
+    if between is not None and positions is not None:
+        out = out.filter(F.exists(positions, lambda p: p.between(*map(float, between))))
+    return out
+
+
+def apply_by_index(segments: DataFrame, changes: DataFrame, index: str, column: str) -> DataFrame:
+    """Segments with the changed values of the rows of the same index; the index is explicit, never the place in a list."""
+    new = changes.groupBy(index).agg(F.min(column).alias("__new"))
+    return segments.join(new, index, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+
+
+def register(spark, folder: str, names: list[str]) -> None:
+    """The tables of a folder as temporary views."""
+    for n in names:
+        spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(n)
