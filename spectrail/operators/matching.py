@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spectrail.operators.sequences import islands
+from spectrail.operators.sequences import numbered
 
 
 def picture_clusters(pics: DataFrame, key: str, order: list[str], tolerance: float = 10) -> DataFrame:
     """Adds cluster (from 1): pictures in order of detection, a new one where the page changes or y is more than tolerance off the last."""
-    w = Window.partitionBy(key).orderBy("page", *order)
-    apart = (F.col("page") != F.lag("page").over(w)) | (F.abs(F.col("y") - F.lag("y").over(w)) > tolerance)
-    return islands(pics, [key], ["page", *order], apart, "cluster")
+    w = Window.partitionBy(key, "page").orderBy(*order)  # a page always opens a cluster
+    before = F.lag("y").over(w)
+    marked = pics.withColumn("__open", before.isNull() | (F.abs(F.col("y") - before) > tolerance))
+    return numbered(marked, [key], "page", order, F.col("__open"), "cluster").drop("__open")
 
 
 def leading_pictures(clustered: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

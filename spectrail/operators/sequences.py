@@ -17,12 +17,34 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, na
     return df.withColumn("__o", opens).withColumn(name, F.sum("__o").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__o")
 
 
-def test_sequences(tests: DataFrame, key: str, start: str, end: str, kind: str, tie: str, gap: int = 4) -> DataFrame:
-    """Rows (key, sequence, first_pos, last_pos, types): a new sequence where a test starts more than gap lines off the last one's end."""
-    w = Window.partitionBy(key).orderBy(start, tie)
-    marked = islands(tests, [key], [start, tie], F.abs(F.col(start) - F.lag(end).over(w)) > gap, "sequence")
+def numbered(df: DataFrame, keys: list[str], part: str, order: list[str], opens: Column, name: str) -> DataFrame:
+    """Numbers (from 1 in each group) the runs that begin where opens is true, with groups cut into parts in order.
+
+    Each part is sorted by itself; only one row a part is ordered over the whole group, so a group that holds much of the table is spread.
+    """
+    local = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = df.withColumn("__o", F.when(opens, 1).otherwise(0))
+    totals = marked.groupBy(*keys, part).agg(F.sum("__o").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return marked.withColumn("__l", F.sum("__o").over(local)).join(offsets, [*keys, part]).withColumn(name, F.col("__l") + F.col("__before")).drop("__o", "__l", "__before")
+
+
+def test_sequences(tests: DataFrame, key: str, start: str, end: str, kind: str, tie: str, gap: int = 4, part: int = 10_000) -> DataFrame:
+    """Rows (key, sequence, first_pos, last_pos, types): a new sequence where a test starts more than gap lines off the last one's end.
+
+    start is a whole number. Documents are cut every part lines; the first test of a part is compared with the last of the one before.
+    """
+    cut = tests.filter(F.col(start).isNotNull()).withColumn("__p", F.floor(F.col(start) / part))
+    inside = Window.partitionBy(key, "__p").orderBy(start, tie)
+    last = cut.groupBy(key, "__p").agg(F.max_by(end, F.struct(start, tie)).alias("__last"))
+    last = last.select(key, "__p", F.lag("__last").over(Window.partitionBy(key).orderBy("__p")).alias("__last"))
+    previous = F.coalesce(F.lag(end).over(inside), F.when(F.row_number().over(inside) == 1, F.col("__last")))
+    marked = cut.join(last, [key, "__p"]).withColumn("__prev", previous)
+    opens = F.col("__prev").isNull() | (F.abs(F.col(start) - F.col("__prev")) > gap)
+    runs = numbered(marked, [key], "__p", [start, tie], opens, "sequence")
     types = F.transform(F.array_sort(F.collect_list(F.struct(F.col(start).alias("a"), F.col(tie).alias("b"), F.col(kind).alias("c")))), lambda x: x["c"])
-    return marked.groupBy(key, "sequence").agg(F.min(start).alias("first_pos"), F.max(end).alias("last_pos"), types.alias("types"))
+    return runs.groupBy(key, "sequence").agg(F.min(start).alias("first_pos"), F.max(end).alias("last_pos"), types.alias("types"))
 
 
 def common_sequence(sequences: DataFrame, order: list[str], types: str = "types") -> DataFrame:

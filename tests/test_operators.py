@@ -38,6 +38,19 @@ def test_occurrences_and_sizes(spark):
     assert [r[0] for r in df.select(Q.occurrences(F.col("s"), F.col("t"))).collect()] == [2, 0, 0]
 
 
+def test_sequences_do_not_depend_on_parts(spark):
+    r = random.Random(9)
+    rows = [(k, i, r.randint(0, 120), r.choice("abc")) for k in range(6) for i in range(r.randint(1, 40))]
+    df = spark.createDataFrame(rows, "k bigint, tie bigint, pos bigint, kind string")
+    got = {n: sorted(map(str, Q.test_sequences(df, "k", "pos", "pos", "kind", "tie", 4, n).collect())) for n in (3, 17, 10_000)}
+    assert got[3] == got[17] == got[10_000]
+    wanted = 0
+    for k in range(6):
+        pos = sorted(p for a, _, p, _ in rows if a == k)
+        wanted += 1 + sum(b - a > 4 for a, b in zip(pos, pos[1:]))
+    assert len(got[3]) == wanted
+
+
 def test_common_sequence_tie_is_first(spark):
     df = spark.createDataFrame([(1, ["b"]), (2, ["a"]), (3, ["a"]), (4, ["b"])], "i bigint, types array<string>")
     assert Q.common_sequence(df, ["i"]).first().types == ["b"]
