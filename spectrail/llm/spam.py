@@ -1,10 +1,10 @@
 """Keyword-stuffed pages, link lists, tags and offers instead of prose or measured data.
 
 Method: every word becomes a class: function words of four languages stand for themselves, other words for their make (number, link, tag,
-capital, ending of a lower-case word, ...) and the punctuation behind them; line breaks are events too. A trigram model with back-off is
+capital, ending of a lower-case word, ...) and the punctuation behind them; line breaks count as blanks. A trigram model with back-off is
 trained on the prose of the corpus: sentences with enough function words and no repeated words, and lines of measured data. Words are then
 scored over a sliding window; a window is abnormal if its mean surprisal lies above or below what the training sentences show (all but a
-share TAIL of their windows), and a page if more than half of its words lie in abnormal windows.
+share TAIL of their windows, and a MARGIN of one bit), and a page if more than half of its words lie in abnormal windows.
 
 Two narrow passes over the texts. The counts of the first go into tables of fixed size, are summed by slot before and after the shuffle,
 and are broadcast (about 5 MB at any size of the corpus). The second keeps, for each page, a histogram of its windows; the thresholds come
@@ -40,7 +40,8 @@ MEASURED = "mhz"
 
 LEAST = 15  # words of a page
 HALF = 10  # words on each side of a window's middle
-TAIL = 0.0005  # share of training windows beyond each threshold
+TAIL = 0.0001  # share of training windows beyond each end of the normal range
+MARGIN = 4  # bins beyond that range that still pass, one bit
 BINS, STEP = 56, 0.25  # of the histograms, in bits
 TRI, BI = 1 << 20, 1 << 18
 CHUNK = 1 << 19
@@ -105,7 +106,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray, int, np.uint64]:
 
 
 class Words:
-    """The classes of all words of some texts, with line breaks between them."""
+    """The classes of all words of some texts, one text after the other."""
 
     def __init__(self, texts: list[str]) -> None:
         texts = [_QUOTED.sub("\n", t) if "\n>" in t else t for t in texts]
@@ -162,16 +163,19 @@ class Words:
         self.word = (alpha | digit | (flags & FOREIGN > 0))  # what counts as a word
         self.content = self.word & ~is_f
         classes = np.where(is_f, f.astype(np.int64), count + 1 + k * _PUNCT + punct)
-        # line breaks as events of class 0
+        # texts begin with an event of class 0; line breaks are blanks, as prose may be wrapped anywhere
         breaks = np.concatenate([[0], np.cumsum(blank == 2)])
-        opens = np.diff(np.concatenate([[-1], breaks[first]])) > 0
-        opens[0] = True
+        lines = np.diff(np.concatenate([[-1], breaks[first]])) > 0
+        lines[0] = True
+        opens = np.concatenate([[True], self.text[1:] != self.text[:-1]])
         self.at = np.arange(self.n) + np.cumsum(opens) + 1
-        self.line = np.cumsum(opens) - 1
+        self.line = np.cumsum(lines | opens) - 1
         self.punct = punct
         self.events = np.zeros(self.at[-1] + 1, np.int64)
         self.events[self.at] = classes
         self.opens = opens
+        # a sentence also ends where a line ends and the next begins with a capital or a figure
+        self.breaks = lines & (flags_of[points[first]] & (UPPER | DIGIT) > 0)
 
     def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every event but the first two, the slots of its trigram, of the two events before it, and of its bigram."""
@@ -183,7 +187,7 @@ class Words:
     def trained(self) -> np.ndarray:
         """Whether each event belongs to a training sentence: prose without repeated words, or a line of measured data."""
         ends = (self.punct == 2) | (self.punct == 4)
-        starts = np.concatenate([[True], ends[:-1]]) | self.opens
+        starts = np.concatenate([[True], ends[:-1]]) | self.opens | self.breaks
         s = np.cumsum(starts) - 1
         n = np.bincount(s)
         repeated = np.zeros(self.n, bool)
@@ -196,7 +200,7 @@ class Words:
         good = prose[s] | lines[self.line]
         out = np.zeros(len(self.events), bool)
         out[self.at] = good
-        out[self.at[self.opens] - 1] = good[self.opens]  # the line break before it
+        out[self.at[self.opens] - 1] = good[self.opens]  # the beginning of the text
         return out
 
 
@@ -230,8 +234,8 @@ class Model:
         triple = (self.tri[tri] + 3 * pair) / (np.maximum(before, self.tri[tri]) + 3)
         return np.concatenate([[0.0, 0.0], np.minimum(-np.log2(triple), BINS * STEP)]).astype(np.float32)
 
-    def windows(self, w: Words) -> np.ndarray:
-        """Mean surprisal around each word, over at most HALF words on either side in its text."""
+    def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Mean surprisal around each word, over at most HALF words on either side in its text; and which windows are trained as a whole."""
         s = self.surprisal(w)[w.at]
         breaks = np.concatenate([[0.0], np.cumsum(np.where(w.opens, self.surprisal(w)[w.at - 1], 0) + s, dtype=np.float64)])
         events = np.concatenate([[0], np.cumsum(1 + w.opens)])
@@ -239,7 +243,8 @@ class Model:
         i = np.arange(w.n)
         lo = np.maximum(i - HALF, bounds[w.text])
         hi = np.minimum(i + HALF + 1, bounds[w.text + 1])
-        return (breaks[hi] - breaks[lo]) / (events[hi] - events[lo])
+        trained = np.concatenate([[0], np.cumsum(w.trained()[w.at])])
+        return (breaks[hi] - breaks[lo]) / (events[hi] - events[lo]), trained[hi] - trained[lo] == hi - lo
 
 
 SIZE = TRI + BI + 2048
@@ -275,7 +280,8 @@ def train(docs: DataFrame, column: str) -> np.ndarray:
 
 
 def histograms(docs: DataFrame, key: str, column: str, table: np.ndarray) -> DataFrame:
-    """Rows (key, words, windows, trained): how many words, and histograms of all and of the training windows' mean surprisal."""
+    """Rows (key, words, windows, trained): how many words, and histograms of the mean surprisal of all windows and of those that lie in
+    training sentences as a whole."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,10 +293,10 @@ def histograms(docs: DataFrame, key: str, column: str, table: np.ndarray) -> Dat
                 all_, own = np.zeros((n, BINS), np.int32), np.zeros((n, BINS), np.int32)
                 w = Words(texts[i:j])
                 if w.n >= 2:
-                    bin_ = np.minimum((model.windows(w) / STEP).astype(np.int64), BINS - 1)
-                    cell = w.text * BINS + bin_
+                    mean, whole = model.windows(w)
+                    cell = w.text * BINS + np.minimum((mean / STEP).astype(np.int64), BINS - 1)
                     all_ = np.bincount(cell[w.word], minlength=n * BINS).reshape(n, BINS).astype(np.int32)
-                    on = w.word & w.trained()[w.at]
+                    on = w.word & whole
                     own = np.bincount(cell[on], minlength=n * BINS).reshape(n, BINS).astype(np.int32)
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * BINS)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))) for x in (all_, own)]
@@ -300,13 +306,13 @@ def histograms(docs: DataFrame, key: str, column: str, table: np.ndarray) -> Dat
     return docs.select(key, column).mapInArrow(scan, schema)
 
 
-def thresholds(hist: np.ndarray, tail: float = TAIL) -> tuple[int, int]:
-    """The first and last bin of normal windows, from the histogram of training windows."""
+def thresholds(hist: np.ndarray, tail: float = TAIL, margin: int = MARGIN) -> tuple[int, int]:
+    """The first and last bin of normal windows, from the histogram of training windows: all but the tails, and a margin."""
     total = hist.sum()
     if not total:
         return 0, BINS
     share = np.cumsum(hist) / total
-    return int(np.searchsorted(share, tail)), int(np.searchsorted(share, 1 - tail))
+    return max(0, int(np.searchsorted(share, tail)) - margin), int(np.searchsorted(share, 1 - tail)) + margin
 
 
 def abnormal_share(docs: DataFrame, key: str, column: str) -> DataFrame:

@@ -65,4 +65,4 @@ def test_thresholds():
     hist = np.zeros(S.BINS)
     hist[4:9] = 1000
     hist[20] = 1
-    assert S.thresholds(hist) == (4, 8) and S.thresholds(np.zeros(S.BINS)) == (0, S.BINS)
+    assert S.thresholds(hist, 0.001, 0) == (4, 8) and S.thresholds(hist, 0.001, 2) == (2, 10) and S.thresholds(np.zeros(S.BINS)) == (0, S.BINS)
