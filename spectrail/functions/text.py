@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spectrail.functions.tokens import CHAPTER, ENDERS, ILLEGAL, LINE_NOISE, NAME_TOKENS, STEREO_MARKS, TAG
+from spectrail.functions.tokens import CHAPTER, ENDERS, ILLEGAL, LINE_NOISE, NAME_TOKENS_FAST, STEREO_MARKS, TAG
 
 
 def _lit(x: str | Column) -> Column:
@@ -25,7 +25,7 @@ def without_noise(text: Column) -> Column:
 
 def name_likelihood(text: Column) -> Column:
     """200 times the name tokens per character; 0 for an empty text."""
-    return F.when(F.length(text) > 0, F.lit(200.0) * F.regexp_count(text, F.lit(NAME_TOKENS)) / F.length(text)).otherwise(F.lit(0.0))
+    return F.when(F.length(text) > 0, F.lit(200.0) * F.regexp_count(text, F.lit(NAME_TOKENS_FAST)) / F.length(text)).otherwise(F.lit(0.0))
 
 
 def count_of(text: Column, what: str) -> Column:

@@ -32,16 +32,25 @@ def line_statistics(lines: DataFrame, key: str) -> DataFrame:
     return eligible.select(key, "seq", X.name_likelihood(t).alias("likelihood"), X.count_of(t, " ").cast("bigint").alias("spaces"))
 
 
+def _with_marks(stats: DataFrame, key: str, **marks: Column) -> DataFrame:
+    """One row a document: the marks, and its lines' statistics as an array, so that statistics are computed and shuffled once.
+
+    The arrays hold three numbers a line, less than the document's text, which is one value anyway.
+    """
+    return stats.groupBy(key).agg(F.collect_list(F.struct("seq", "likelihood", "spaces")).alias("__l"), *(c.alias(n) for n, c in marks.items()))
+
+
 def segment_starts(stats: DataFrame, key: str, tokens_mark: float = 80, spaces_mark: float = 35) -> DataFrame:
     """Lines above the document's likelihood percentile and under its spaces percentile; both strict."""
-    marks = stats.groupBy(key).agg(F.percentile("likelihood", F.lit(tokens_mark / 100)).alias("__t"), F.percentile("spaces", F.lit(spaces_mark / 100)).alias("__s"))
-    return stats.join(marks, key).filter((F.col("likelihood") > F.col("__t")) & (F.col("spaces") < F.col("__s"))).drop("__t", "__s")
+    marked = _with_marks(stats, key, __t=F.percentile("likelihood", F.lit(tokens_mark / 100)), __s=F.percentile("spaces", F.lit(spaces_mark / 100)))
+    return marked.select(key, F.inline(F.filter("__l", lambda x: (x["likelihood"] > F.col("__t")) & (x["spaces"] < F.col("__s")))))
 
 
 def first_over(stats: DataFrame, key: str, mark: float = 50) -> DataFrame:
     """The first line of each document above its likelihood percentile."""
-    marks = stats.groupBy(key).agg(F.percentile("likelihood", F.lit(mark / 100)).alias("__t"))
-    return stats.join(marks, key).filter(F.col("likelihood") > F.col("__t")).groupBy(key).agg(F.min("seq").alias("seq"))
+    marked = _with_marks(stats, key, __t=F.percentile("likelihood", F.lit(mark / 100)))
+    over = F.transform(F.filter("__l", lambda x: x["likelihood"] > F.col("__t")), lambda x: x["seq"])
+    return marked.select(key, F.array_min(over).alias("seq")).filter("seq is not null")
 
 
 def option_starts(stats: DataFrame, key: str, options: DataFrame) -> DataFrame:
@@ -51,10 +60,10 @@ def option_starts(stats: DataFrame, key: str, options: DataFrame) -> DataFrame:
     """
     rows = [tuple(r) for r in options.select("option", "tokens", "spaces").orderBy("option").limit(1000).collect()]
     array = lambda i: F.array(*(F.lit(r[i] / 100) for r in rows))
-    marks = stats.groupBy(key).agg(F.percentile("likelihood", array(1)).alias("__t"), F.percentile("spaces", array(2)).alias("__s"))
+    marked = _with_marks(stats, key, __t=F.percentile("likelihood", array(1)), __s=F.percentile("spaces", array(2)))
     zipped = F.arrays_zip(F.array(*(F.lit(r[0]) for r in rows)).alias("option"), F.col("__t").alias("t"), F.col("__s").alias("s"))
-    expanded = marks.select(key, F.explode(zipped).alias("o")).select(key, F.col("o.option").alias("option"), F.col("o.t").alias("__t"), F.col("o.s").alias("__s"))
-    return stats.join(expanded, key).filter((F.col("likelihood") > F.col("__t")) & (F.col("spaces") < F.col("__s"))).drop("__t", "__s")
+    expanded = marked.select(key, "__l", F.explode(zipped).alias("o"))
+    return expanded.select(key, F.col("o.option").alias("option"), F.inline(F.filter("__l", lambda x: (x["likelihood"] > F.col("o.t")) & (x["spaces"] < F.col("o.s")))))
 
 
 def segment_lines(lines: DataFrame, starts: DataFrame, key: str) -> DataFrame:

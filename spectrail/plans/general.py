@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.operators import nested, packed
-from spectrail.session import table
+from spectrail.session import spread, table
 
 P2_CHILDREN = ("provenance", "bbox", "span", "peak", "component")
 
@@ -17,7 +17,7 @@ P4_FIELDS = (("image_path", "wide_records", "wide_id", "paths"), ("text_represen
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "extraction_records", "rec_id", "payload")
+    records = spread(table(spark, sf_dir, "extraction_records", "rec_id", "payload"))
     flat = nested.flatten(records, "rec_id", "payload", raw=False)
     return flat.filter(F.col("child").isin(*P2_CHILDREN)).select("rec_id", "parent", "child", "pos")
 

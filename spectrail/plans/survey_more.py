@@ -9,11 +9,11 @@ from spectrail.functions.tokens import FRAGMENTS, NAME_TOKENS
 from spectrail.operators import segments as S
 from spectrail.operators import tables as B
 from spectrail.plans.survey_text import C_PEAKS, INSIDE, LINES, q
-from spectrail.session import table
+from spectrail.session import spread, table
 
 
 def _lines(spark, d):
-    return S.document_lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return S.document_lines(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def page_renumbered(spark, d):

@@ -9,11 +9,11 @@ from spectrail.operators import extraction as E
 from spectrail.operators import grammar as G
 from spectrail.operators import segments as S
 from spectrail.plans import pipeline
-from spectrail.session import table
+from spectrail.session import spread, table
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return S.document_lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return S.document_lines(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def extracted_tests(spark, d):

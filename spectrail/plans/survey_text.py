@@ -9,7 +9,7 @@ from spectrail.functions import peaks as P
 from spectrail.functions import text as X
 from spectrail.functions.tokens import ENDERS, LINE_NOISE, NAME_TOKENS, TAG, TEST_FAMILIES, TEST_TYPES
 from spectrail.operators import segments as S
-from spectrail.session import table
+from spectrail.session import spread, table
 
 
 def q(text: str) -> str:
@@ -18,7 +18,7 @@ def q(text: str) -> str:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return S.document_lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return S.document_lines(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:

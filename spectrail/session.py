@@ -42,3 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One parquet table, only the named columns (all if none is named)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. Only an input of fewer partitions than cores, such as one small file, is shuffled; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
