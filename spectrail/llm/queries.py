@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spectrail.llm import leaks, lookalike, mojibake, scans, spam, tokenize
-from spectrail.session import table
+from spectrail.session import spread, table
 
 
 def _p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +15,11 @@ def _p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.pairs(_p1_texts(spark, sf_dir))
+    return lookalike.pairs(spread(_p1_texts(spark, sf_dir)))
 
 
 def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.consistent(_p1_texts(spark, sf_dir))
+    return lookalike.consistent(spread(_p1_texts(spark, sf_dir)))
 
 
 def _p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,11 @@ def _p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.repair(_p3_texts(spark, sf_dir), ["fld", "row_id"], "text", text=False).select("fld", "row_id")
+    return mojibake.repair(spread(_p3_texts(spark, sf_dir)), ["fld", "row_id"], "text", text=False).select("fld", "row_id")
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.repair(_p3_texts(spark, sf_dir), ["fld", "row_id"], "text").select("fld", "row_id", "restored")
+    return mojibake.repair(spread(_p3_texts(spark, sf_dir)), ["fld", "row_id"], "text").select("fld", "row_id", "restored")
 
 
 def _p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,23 +43,23 @@ def _p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.read(_p5_texts(spark, sf_dir), ["fld", "row_id"], "text", text=False).select("fld", "row_id")
+    return scans.read(spread(_p5_texts(spark, sf_dir)), ["fld", "row_id"], "text", text=False).select("fld", "row_id")
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.read(_p5_texts(spark, sf_dir), ["fld", "row_id"], "text").select("fld", "row_id", "repaired")
+    return scans.read(spread(_p5_texts(spark, sf_dir)), ["fld", "row_id"], "text").select("fld", "row_id", "repaired")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize.encode_column(spark, table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return tokenize.encode_column(spark, spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
+    return leaks.find_leaks(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam.find_spam(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return spam.find_spam(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def queries() -> dict:
