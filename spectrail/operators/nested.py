@@ -178,7 +178,7 @@ def flatten(df: DataFrame, key: str, column: str, levels: tuple[Level, ...] = RE
 
     path is the object's own path, unique within a record, so (key, path) is the surrogate key and (key, parent) points to the parent row.
     known: what ``members(merged_schema(...))`` gives; it is computed here if missing. raw=False leaves out the object's JSON.
-    One Arrow pass: the same recursion as nested ``from_json`` expressions took 30 times the CPU time, and VARIANT loses the written order.
+    One Arrow pass: the same recursion as nested ``from_json`` expressions took about ten times the time, and VARIANT loses the written order.
     """
     if known is None:
         known = members(merged_schema(df, column))
