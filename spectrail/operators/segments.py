@@ -88,20 +88,20 @@ def segment_names(lines: DataFrame, key: str, group: str = "segment", depth: int
 
 
 def keyword_lines(lines: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """Lines that hold a word (case counts), once each with the first such word of the list."""
-    hit = F.coalesce(*(F.when(F.contains("text", F.lit(w)), F.lit(w)) for w in words))
-    return lines.withColumn("word", hit).filter("word is not null")
+    """Lines that hold a word (case counts): one row for each line and each such word, as every family is searched by itself."""
+    return lines.withColumn("word", F.explode(F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains("text", w))))
 
 
 def look_around(lines: DataFrame, hits: DataFrame, key: str, before: int = 1, after: int = 20, limit: str | None = None) -> DataFrame:
     """For each hit the lines [seq - before, seq + after), clipped to the document (or to the column limit): rows (key, hit, seq, text).
 
-    Lines are expanded to the hits they may belong to, at most before + after each, which makes a range join an equi-join.
+    Hits, of which there are fewer than lines, are expanded to the lines they may reach, at most before + after each, which makes a range
+    join an equi-join. A line that is a hit by several words is one hit: its window is the same for each of them.
     """
-    spread = lines.withColumn("hit", F.explode(F.sequence(F.col("seq") - (after - 1), F.col("seq") + before)))
-    on = [key, "hit"] + ([limit] if limit else [])
-    chosen = hits.select(key, F.col("seq").alias("hit"), *([limit] if limit else [])).distinct()
-    return spread.join(chosen, on).select(key, "hit", "seq", "text")
+    limits = [limit] if limit else []
+    chosen = hits.select(key, F.col("seq").alias("hit"), *limits).distinct()
+    spread = chosen.withColumn("seq", F.explode(F.sequence(F.col("hit") - before, F.col("hit") + (after - 1))))
+    return lines.join(spread, [key, "seq", *limits]).select(key, "hit", "seq", "text")
 
 
 def joined_text(windows: DataFrame, key: str) -> DataFrame:
