@@ -44,6 +44,12 @@ def p2_nmr_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("nmr_id", F.col("provenance.page_number").cast("bigint").alias("page_number"), *(F.col(f"provenance.bbox.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "provenance.modality", "provenance.confidence")
 
 
+def p2_nmr_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of nmr_data.provenance as a child table of p2_nmr_provenance, keyed by nmr_id."""
+    rows = table(spark, sf_dir, "nmr_data", "nmr_id", F.col("provenance.span").alias("span")).filter("span is not null")
+    return rows.select("nmr_id", F.col("span.start_idx").cast("bigint").alias("start_idx"), F.col("span.end_idx").cast("bigint").alias("end_idx"), F.col("span.span_text").alias("span_text"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         packed.split_packed(table(spark, sf_dir, t, key, column), key, column, kind).select(F.lit(column).alias("fld"), F.col(key).alias("row_id"), "pos", "val")
@@ -59,6 +65,7 @@ def queries() -> dict:
         **{f"p2_{c}_table": _p2_table(c) for c in ("molecule", "spectrum", "peak", "provenance", "bbox", "span", "component")},
         "p2_nmr_peaks": p2_nmr_peaks,
         "p2_nmr_provenance": p2_nmr_provenance,
+        "p2_nmr_spans": p2_nmr_spans,
         "p4_found": p4_found,
     }
 
@@ -73,4 +80,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT nmr_id, CAST(provenance.page_number AS BIGINT) AS page_number, provenance.bbox.x0 AS x0, provenance.bbox.y0 AS y0,
                    provenance.bbox.x1 AS x1, provenance.bbox.y1 AS y1, provenance.modality AS modality, provenance.confidence AS confidence
             FROM nmr_data WHERE provenance IS NOT NULL""",
+        "p2_nmr_spans": """
+            SELECT nmr_id, CAST(provenance.span.start_idx AS BIGINT) AS start_idx, CAST(provenance.span.end_idx AS BIGINT) AS end_idx, provenance.span.span_text AS span_text
+            FROM nmr_data WHERE provenance.span IS NOT NULL""",
     }

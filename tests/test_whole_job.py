@@ -1,5 +1,6 @@
 """Cases that a query once left out."""
 
+import __spark_entry__ as entry
 from spectrail.operators import segments as S
 from spectrail.plans import pipeline
 
@@ -12,3 +13,11 @@ def test_every_family_of_a_line(spark):
     assert sorted((r.seq, r.word) for r in hits.collect()) == [(1, "HRMS"), (1, "IR"), (1, "NMR"), (1, "Rf"), (2, "IR")]
     found = {(r.hit, r.test_type, r.test_text.split(" ")[0]) for r in pipeline.segment_tests(lines.filter("seq < 2"), "id").collect()}
     assert found == {(1, "1H NMR", "1H"), (1, "IR", "IR"), (1, "Rf", "Rf"), (1, "MS", "HRMS")}
+
+
+def test_spans_of_provenance(spark, tmp_path):
+    kind = "nmr_id bigint, provenance struct<page_number: int, span: struct<start_idx: int, end_idx: int, span_text: string>>"
+    rows = [(1, (1, (3, 7, "7.26"))), (2, (1, None)), (3, None), (4, (None, (None, None, "x")))]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/nmr_data.parquet")
+    got = entry.queries()["p2_nmr_spans"](spark, str(tmp_path)).orderBy("nmr_id").collect()
+    assert [tuple(r) for r in got] == [(1, 3, 7, "7.26"), (4, None, None, "x")]
