@@ -21,3 +21,9 @@ def test_spans_of_provenance(spark, tmp_path):
     spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/nmr_data.parquet")
     got = entry.queries()["p2_nmr_spans"](spark, str(tmp_path)).orderBy("nmr_id").collect()
     assert [tuple(r) for r in got] == [(1, 3, 7, "7.26"), (4, None, None, "x")]
+
+
+def test_serials_of_all_molecules(spark, tmp_path):
+    spark.createDataFrame([("mol_00_000007",), ("mol_00_000012",), ("mol_01_000012",)], "molecule_id string").write.parquet(f"{tmp_path}/molecules.parquet")
+    got = entry.queries()["serial_groups"](spark, str(tmp_path)).orderBy("serial").collect()
+    assert [tuple(r) for r in got] == [("000007", "mol_00_000007_full"), ("000012", "mol_00_000012_full;mol_01_000012_full")]
