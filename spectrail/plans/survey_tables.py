@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectrail.functions import geometry as G
+from spectrail.functions import peaks as P
 from spectrail.functions import text as X
 from spectrail.functions.similarity import compared, ratio
 from spectrail.functions.tokens import COLOURS, TEST_TYPES
@@ -175,19 +176,34 @@ def molecule_scores(spark, d):
     return s.select("f_name", "molecule_name", M.mean_of_factors([F.col(B.column_name(k)) for k in TEST_TYPES]).alias("score"))
 
 
+#: Parts that the ground truth of a file is cut into, so that a hot file's pairs are spread over tasks.
+PAIR_PARTS = 16
+
+
 def pair_scores(spark, d):
-    """Scores of the molecules of one file that share a block (the first word of their names), both sides reduced to one row a molecule."""
-    block = F.substring_index("molecule_name", " ", 1)
-    gt = table(spark, d, "gt_tests", "f_name", "molecule_name", "opsin_smiles").filter("molecule_name is not null and f_name is not null").groupBy("f_name", "molecule_name").agg(F.min("opsin_smiles").alias("gt_smiles")).withColumn("block", block)
-    ex = table(spark, d, "wide_records", "molecule_name", "file_name", "molecule_smiles_by_images").filter("molecule_name is not null").groupBy(F.regexp_replace("file_name", r"\.pdf$", "").alias("f_name"), "molecule_name").agg(F.min("molecule_smiles_by_images").alias("smiles")).withColumn("block", block).withColumnRenamed("molecule_name", "extracted_name")
-    both = gt.join(ex, ["f_name", "block"])
-    name = compared(F.col("molecule_name"), F.col("extracted_name"))
-    return both.withColumn("name_score", name).withColumn("smiles_score", C.smiles_score(F.col("gt_smiles"), F.col("smiles"))).select("f_name", "block", "molecule_name", "extracted_name", M.mean_of_factors([F.col("smiles_score"), F.col("name_score")]).alias("score"))
+    """Scores of all ground-truth molecules of a file against all its extracted ones: the mean of the factors that count (structure, name,
+    and text similarity and F1 of each ground-truth test with a true peak). Both sides are reduced to one row a molecule, tests to distinct ones."""
+    keys, part = ["f_name", "molecule_name", "extracted_name"], F.pmod(F.hash("molecule_name"), F.lit(PAIR_PARTS))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PAIR_PARTS - 1))).alias("part")
+    g = table(spark, d, "gt_tests", "f_name", "molecule_name", "opsin_smiles", "test_type", "test_text").filter("molecule_name is not null and f_name is not null")
+    gt = g.groupBy("f_name", "molecule_name").agg(F.min("opsin_smiles").alias("gt_smiles")).withColumn("part", part)
+    w = table(spark, d, "wide_records", "molecule_name", "file_name", "molecule_smiles_by_images").filter("molecule_name is not null")
+    ex = w.groupBy(F.regexp_replace("file_name", r"\.pdf$", "").alias("f_name"), F.col("molecule_name").alias("extracted_name")).agg(F.min("molecule_smiles_by_images").alias("smiles")).select("*", parts)
+    both = gt.join(ex, ["f_name", "part"]).select(*keys, C.smiles_score(F.col("gt_smiles"), F.col("smiles")).alias("smiles_score"), compared(F.col("molecule_name"), F.col("extracted_name")).alias("name_score"))
+
+    peaks = lambda c: P.positions(F.col(c), F.col("test_type"))
+    true = g.filter(F.col("test_type").isin(*TEST_TYPES) & F.col("test_text").isNotNull()).select("f_name", "molecule_name", "test_type", "test_text").distinct().select("*", peaks("test_text").alias("a"), part.alias("part"))
+    first = _wide_tests(spark, d).filter("molecule_name is not null").groupBy("f_name", F.col("molecule_name").alias("extracted_name"), "test_type").agg(F.min_by("test_text", "wide_id").alias("other"))
+    tests = true.join(first.select("*", peaks("other").alias("b")).select("*", parts), ["f_name", "test_type", "part"]).select(*keys, "test_text", "other", P.confusion(F.col("a"), F.col("b")).alias("c")).filter("c.tp > 0")
+    f1 = P.precision_recall_f1(F.col("c.tp"), F.col("c.fp"), F.col("c.fn"))[2]
+    scored = tests.select(*keys, F.array(compared(F.col("test_text"), F.col("other")), f1).alias("s")).groupBy(*keys).agg(F.flatten(F.collect_list("s")).alias("test_scores"))
+    factors = F.filter(F.concat(F.array("smiles_score", "name_score"), F.coalesce("test_scores", F.array().cast("array<double>"))), lambda x: x > 0)
+    mean = F.when(F.size(factors) > 0, F.aggregate(factors, F.lit(0.0), lambda s, x: s + x) / F.size(factors)).otherwise(F.lit(0.0))
+    return both.join(scored, keys, "left").select(*keys, mean.alias("score"))
 
 
 def best_assignment(spark, d):
-    s = pair_scores(spark, d).withColumn("group", F.concat_ws("|", "f_name", "block"))
-    return M.best_assignment(s, "group", "molecule_name", "extracted_name")
+    return M.best_assignment(pair_scores(spark, d).withColumnRenamed("f_name", "group"), "group", "molecule_name", "extracted_name")
 
 
 def string_ratio(spark, d):

@@ -27,3 +27,16 @@ def test_serials_of_all_molecules(spark, tmp_path):
     spark.createDataFrame([("mol_00_000007",), ("mol_00_000012",), ("mol_01_000012",)], "molecule_id string").write.parquet(f"{tmp_path}/molecules.parquet")
     got = entry.queries()["serial_groups"](spark, str(tmp_path)).orderBy("serial").collect()
     assert [tuple(r) for r in got] == [("000007", "mol_00_000007_full"), ("000012", "mol_00_000012_full;mol_01_000012_full")]
+
+
+def test_all_pairs_of_a_file_with_test_scores(spark, tmp_path):
+    gt = [("f", "Benzene", "C1CCCCC1", "MS", "MS m/z 78 (100)"), ("f", "Toluol", "Cc1ccccc1", "IR", None), ("g", "Other", None, "IR", None)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(gt)], "gt_id bigint, f_name string, molecule_name string, opsin_smiles string, test_type string, test_text string").write.parquet(f"{tmp_path}/gt_tests.parquet")
+    wide = [("Benzcne", "C1CCCCC1", "MS m/z 78 (100)"), ("Methylbenzene", "Cc1ccccc1", None)]
+    kind = "wide_id bigint, molecule_name string, file_name string, molecule_smiles_by_images string, h1_nmr string, c13_nmr string, ir string, ms string"
+    spark.createDataFrame([(i, n, "f.pdf", x, None, None, None, ms) for i, (n, x, ms) in enumerate(wide)], kind).write.parquet(f"{tmp_path}/wide_records.parquet")
+    q = entry.queries()
+    got = {(r.molecule_name, r.extracted_name): r.score for r in q["pair_scores"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(a, b) for a in ("Benzene", "Toluol") for b in ("Benzcne", "Methylbenzene")}
+    assert abs(got["Benzene", "Benzcne"] - (1 + 0.86 + 1 + 1) / 4) < 1e-9
+    assert ("Benzene", "Benzcne") in {(r.molecule_name, r.extracted_name) for r in q["best_assignment"](spark, str(tmp_path)).collect()}
