@@ -1,49 +1,37 @@
 """Deeply nested JSON records as related flat tables.
 
-Two steps. ``merged_schema`` reads every record once and returns, for each generic path (``spectra[].peaks[]``), the kinds of value met
-there and the member names of its objects; it is the union over all records. ``flatten`` then opens every list level of every record by
-recursion over that schema and gives all objects with the path of the object above, the ordinal in the written order and the raw JSON. It is
-one narrow pass without a shuffle. ``child_tables`` makes typed flat tables of the result, ``explode_level`` those of typed columns.
-
-A list may stand as an array, as one object, as a string that holds either, or as an object that maps keys to the elements; which of the
-object forms it is follows from the schema: an object that shares no member name with the elements met elsewhere is a map of elements.
-
-Defined results: a null, blank or incomplete payload gives no rows; null elements count for the position and give no row; null and empty
-objects give no row, nor does anything under them; a record without any list gives no rows. Extra members are kept in the raw JSON.
+Two steps. ``merged_schema`` reads every record once and returns the union of their shapes: for each generic path (``spectra[].peaks[]``)
+the kinds of value met there and how often. ``levels`` reads off it which members hold objects or lists, by member name: such a member is a
+list if elements of it are objects anywhere or if it never is an object itself, otherwise a single object in whatever form. Nothing about the
+record type is written down here. ``flatten`` then opens level after level: at each depth the members of all open objects are taken out, and
+their elements exploded with their ordinal, as child rows that carry the path of the object above (the parent's surrogate key together with
+the record's key). Every object's JSON is parsed once, in the JVM, without a shuffle. ``child_tables`` makes flat tables of the result with
+the members the schema shows, ``explode_level`` those of typed columns.
+
+A list may stand as an array, as one object, as a string that holds either, or as an object that maps keys to the elements: an object none
+of whose members is known from the elements met elsewhere, and whose values are all objects, is a map of elements. Members are known if they
+occur in KNOWN of the objects of that name, so that a few odd records don't change how the others are read.
+
+Defined results: a null, blank or incomplete payload gives no rows, nor does anything behind a complete record; null elements count for the
+position and give no row; null and empty objects give no row, nor does anything under them; a record without any list gives no rows; of
+members written twice the last counts; a number in quotes counts as a number. Extra members are kept in the raw JSON.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-@dataclass(frozen=True)
-class Level:
-    """A list of objects under its parent: member is its name there, child the name of an element in the result."""
-
-    member: str
-    child: str
-    single: bool = False  # one object, written without an index in paths
-    numbers: bool = False  # bare numbers are elements too
-    children: tuple["Level", ...] = field(default_factory=tuple)
-
-
-_BOX = (Level("bbox", "bbox", single=True), Level("span", "span", single=True))
-_PROVENANCE = Level("provenance", "provenance", children=_BOX)
-
-#: The objects of an extraction record.
-RECORD_LEVELS = (
-    Level("molecules", "molecule", children=(_PROVENANCE,)),
-    Level("reactions", "reaction", children=(_PROVENANCE, Level("components", "component"))),
-    Level("spectra", "spectrum", children=(_PROVENANCE, Level("peaks", "peak", numbers=True, children=(_PROVENANCE,)))),
-)
+KNOWN = 0.001  # share of a node's objects in which a member occurs
+NAMES = 200  # members of a node that are listed; of a node with more, every member that holds an object or a list is opened
+WRAPPINGS = 4
 
 
 # --- schema -------------------------------------------------------------------------------------------------------------------------
@@ -53,180 +41,317 @@ def _open(value: object) -> object:
     if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
         try:
             return json.loads(value)
-        except ValueError:
+        except (ValueError, RecursionError):
             return value
     return value
 
 
-def _kind(value: object) -> str:
-    if value is None:
-        return "null"
-    for kind, of in (("boolean", bool), ("number", (int, float)), ("string", str), ("array", list)):
-        if isinstance(value, of):
-            return kind
-    return "object"
-
-
-def _paths(value: object, path: str, found: dict[tuple[str, str], int]) -> None:
-    stack = [(value, path)]
-    while stack:
-        v, p = stack.pop()
-        v = _open(v)
-        found[p, _kind(v)] = found.get((p, _kind(v)), 0) + 1
-        if isinstance(v, list):
-            stack.extend((x, p + "[]") for x in v)
-        elif isinstance(v, dict):
-            # an object of two or more objects that share members is a map of elements, however its keys are named
-            values = [x for x in v.values() if x is not None]
-            shared = set.intersection(*(set(x) for x in values)) if values and all(isinstance(x, dict) for x in values) else set()
-            if shared & {"id"} or (len(values) > 1 and shared - {"start", "end"}):
-                stack.extend((x, p + "[]") for x in v.values())
-            else:
-                stack.extend((x, f"{p}.{k}") for k, x in v.items())
+_KINDS = {type(None): "null", bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
 
 
-def merged_schema(df: DataFrame, column: str) -> DataFrame:
-    """Rows (path, kind, n): every generic path of the column's JSON values, the kinds of value there and how often each.
+class _Node:
+    """What was met at a generic path: kinds with counts, and the nodes of members and elements.
 
-    Distinct paths are bounded by the record type, not by the rows; each task pre-aggregates, so little is shuffled.
+    An object of two or more objects that share members is a map of elements. One of a single object may be a map of one element; its
+    member is counted as unsure besides.
     """
 
+    __slots__ = ("kinds", "members", "element")
+
+    def __init__(self) -> None:
+        self.kinds: dict[str, int] = {}
+        self.members: dict[str, _Node] = {}
+        self.element: _Node | None = None
+
+    def add(self, value: object) -> None:
+        stack = [(self, value)]
+        while stack:
+            node, v = stack.pop()
+            if type(v) is str:
+                v = _open(v)
+            kind = _KINDS[type(v)]
+            node.kinds[kind] = node.kinds.get(kind, 0) + 1
+            if kind == "array":
+                if v and node.element is None:
+                    node.element = _Node()
+                stack.extend((node.element, x) for x in v)
+            elif kind == "object":
+                values = [x for x in v.values() if x is not None]
+                alike = bool(values) and all(type(x) is dict for x in values)
+                if alike and len(values) > 1 and set.intersection(*map(set, values)):  # a map of elements
+                    if node.element is None:
+                        node.element = _Node()
+                    stack.extend((node.element, x) for x in v.values())
+                    continue
+                for k, x in v.items():
+                    below = node.members.get(k)
+                    if below is None:
+                        below = node.members[k] = _Node()
+                    if alike and len(values) == 1:
+                        below.kinds["unsure"] = below.kinds.get("unsure", 0) + 1
+                    stack.append((below, x))
+
+    def rows(self, name: str = "$", depth: int = 0, path: str = "$", holder: str = "") -> Iterator[tuple]:
+        for kind, n in self.kinds.items():
+            yield path, holder, name, depth, kind, n
+        if self.element is not None:
+            yield from self.element.rows(name + "[]", depth, path + "[]", holder)
+        for k, node in self.members.items():
+            yield from node.rows(k, depth + 1, f"{path}.{k}", name.removesuffix("[]"))
+
+
+def _record(value: object, mark: str = "source_filename") -> object:
+    """The record inside its wrappings: a list of one record, or an object with the record as a member."""
+    for _ in range(WRAPPINGS):
+        if isinstance(value, list) and len(value) == 1:
+            value = value[0]
+        elif isinstance(value, dict) and mark not in value and len(value) == 1:
+            value = _open(next(iter(value.values())))
+        else:
+            break
+    return value
+
+
+def _shapes(df: DataFrame, column: str) -> DataFrame:
+    """Rows (path, holder, name, depth, kind, n); holder and name are member names, name with [] for elements."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], int] = {}
+        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
         for batch in batches:
+            root = _Node()
             for text in batch.column(0).to_pylist():
                 if text is not None:
                     try:
-                        value = json.loads(text)
+                        value = _record(json.loads(text))
                     except (ValueError, RecursionError):
                         continue
-                    _paths(_record(value), "$", found)
-        rows = [(p, k, n) for (p, k), n in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["path", "kind", "n"])
+                    if isinstance(value, dict):
+                        root.add(value)
+            rows = list(root.rows())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["path", "holder", "name", "depth", "kind", "n"])
 
-    seen = df.select(F.col(column).cast("string")).mapInArrow(scan, "path string, kind string, n bigint")
-    return seen.groupBy("path", "kind").agg(F.sum("n").alias("n"))
+    seen = df.select(F.col(column).cast("string")).mapInArrow(scan, "path string, holder string, name string, depth int, kind string, n bigint")
+    return seen.groupBy("path", "holder", "name", "depth", "kind").agg(F.sum("n").alias("n"))
 
 
-def _record(value: object) -> object:
-    """The record inside its wrappings: a list of one record, or an object with the record as a member."""
-    for _ in range(4):
-        if isinstance(value, list) and len(value) == 1:
-            value = value[0]
-        elif isinstance(value, dict) and "source_filename" not in value and len(value) == 1:
-            value = _open(next(iter(value.values())))
-        else:
-            break
-    return value
+def merged_schema(df: DataFrame, column: str) -> DataFrame:
+    """Rows (path, kind, n): every generic path of the column's JSON values, the kinds of value there and how often each.
 
+    Each batch is summed up before anything is shuffled.
+    """
+    return _shapes(df, column).filter("kind != 'unsure'").groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
-def members(schema: DataFrame, limit: int = 5000) -> dict[str, set[str]]:
-    """Member names of the objects at each generic path; the schema is small by nature and its size is checked."""
-    rows = schema.select("path").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct paths: the column doesn't hold records of one type")
-    out: dict[str, set[str]] = {}
-    for (path,) in rows:
-        at, _, name = path.rpartition(".")
-        if at and not name.endswith("[]"):
-            out.setdefault(at, set()).add(name)
-    return out
 
+@dataclass(frozen=True)
+class Level:
+    """A member that holds objects or a list. numbers, texts: bare ones are elements too; texts only in a list without objects."""
 
-# --- flattening ---------------------------------------------------------------------------------------------------------------------
+    single: bool
+    numbers: bool
+    texts: bool
 
 
-def _elements(value: object, level: Level, known: frozenset[str]) -> list:
-    """The elements of a list in the order written, in whatever form it stands."""
-    value = _open(value)
-    if level.single:  # a box or span in any form with contents is one object
-        return [value] if value not in (None, "", [], {}) and not (isinstance(value, str) and not value.strip()) else []
-    if isinstance(value, list):
-        return value
-    if isinstance(value, dict):
-        keyed = value and known.isdisjoint(value) and all(x is None or isinstance(_open(x), dict) for x in value.values())
-        return list(value.values()) if keyed else [value]
-    return []
-
-
-def _is_case(item: object, level: Level) -> bool:
-    if isinstance(item, dict):
-        return bool(item)
-    return level.single or (level.numbers and isinstance(item, (int, float)) and not isinstance(item, bool))
-
-
-def _walk(record: dict, levels: tuple[Level, ...], known: dict[str, frozenset[str]]) -> Iterator[tuple[str, str, int, str, object]]:
-    stack = [(record, "", "$", levels)]
-    while stack:
-        holder, parent, generic, below = stack.pop()
-        for level in below:
-            if (value := holder.get(level.member)) is None:
-                continue
-            here = f"{generic}.{level.member}" + ("" if level.single else "[]")
-            stem = f"{parent}.{level.member}" if parent else level.member
-            for pos, item in enumerate(_elements(value, level, known.get(here, frozenset()))):
-                item = _open(item)
-                if _is_case(item, level):
-                    path = stem if level.single else f"{stem}[{pos}]"
-                    yield parent, level.child, pos, path, item
-                    if level.children and isinstance(item, dict):
-                        stack.append((item, path, here, level.children))
-
-
-def flatten(df: DataFrame, key: str, column: str, levels: tuple[Level, ...] = RECORD_LEVELS, known: dict[str, set[str]] | None = None, raw: bool = True) -> DataFrame:
-    """Rows (key, parent, child, pos, path, raw): every object of the levels in every record.
+@dataclass(frozen=True)
+class Levels:
+    """The levels by member name; which of them each node has ($ is the record; None: all); the members known of each, with whether they
+    are numbers; the greatest depth."""
 
-    path is the object's own path, unique within a record, so (key, path) is the surrogate key and (key, parent) points to the parent row.
-    known: what ``members(merged_schema(...))`` gives; it is computed here if missing. raw=False leaves out the object's JSON.
-    One Arrow pass: the same recursion as nested ``from_json`` expressions took about ten times the time, and VARIANT loses the written order.
+    kinds: dict[str, Level]
+    under: dict[str, frozenset[str] | None]
+    known: dict[str, dict[str, bool]]
+    depth: int
+
+
+def levels(df: DataFrame, column: str, lists: tuple[str, ...] = ()) -> Levels:
+    """The levels of a column's records. What comes to the driver is bounded by NAMES and 1 / KNOWN for each node name, whatever the rows.
+
+    lists: names of members that are lists even where the table has single objects only.
     """
-    if known is None:
-        known = members(merged_schema(df, column))
-    # members of an element, whether it stood in a list or alone
-    fixed = {k + "[]" if not k.endswith("[]") else k: frozenset(v | known.get(k[:-2] if k.endswith("[]") else k + "[]", set())) for k, v in known.items()}
-    kind = df.schema[key].dataType
+    shapes = _shapes(df, column).persist()
+    try:
+        held = shapes.select("holder", F.regexp_replace("name", r"(\[\])+$", "").alias("base"), F.col("name").endswith("[]").alias("element"), "kind", "n")
+        sure = F.when(F.col("kind") == "unsure", -F.col("n")).otherwise(F.when(F.col("element"), 0).otherwise(F.col("n")))
+        all_pairs = held.filter("base != '$'").groupBy("holder", "base").agg(
+            F.max(F.col("kind").isin("object", "array") | F.col("element")).alias("level"), F.sum(sure).alias("sure"),
+            F.sum(F.when(F.col("kind").isin("number"), F.col("n")).otherwise(0)).alias("numbers"), F.sum(F.when(F.col("kind").isin("string", "boolean"), F.col("n")).otherwise(0)).alias("texts"),
+            F.sum(F.when((F.col("kind") != "unsure") & ~F.col("element"), F.col("n")).otherwise(0)).alias("n"),
+        )
+        # an unsure member is the key of a map if its object has members that the holder's elements have
+        inner = all_pairs.select(F.col("holder").alias("base"), F.col("base").alias("inner"))
+        proper = all_pairs.filter("sure > 0").select("holder", F.col("base").alias("inner"))
+        keys = all_pairs.filter("sure <= 0").select("holder", "base").join(inner, "base").join(proper, ["holder", "inner"]).select("holder", "base").distinct()
+        pairs = all_pairs.join(keys, ["holder", "base"], "left_anti").join(keys.select(F.col("base").alias("holder")), "holder", "left_anti")
+        ranked = pairs.filter("level").groupBy("holder").agg(F.count("*").alias("names"), F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "base"))), 1, NAMES).alias("list"))
+        under = {r["holder"]: None if r["names"] > NAMES else frozenset(x["base"] for x in r["list"]) for r in ranked.collect()}
+        wanted = {x for names in under.values() if names for x in names}
+        kinds = {}
+        flags = {
+            "objects": F.col("element") & (F.col("kind") == "object"), "alone": ~F.col("element") & (F.col("kind") == "object"),
+            "numbers": F.col("element") & (F.col("kind") == "number"), "texts": F.col("element") & (F.col("kind") == "string"),
+        }
+        if wanted:
+            for r in held.filter(F.col("base").isin(*sorted(wanted))).groupBy("base").agg(*(F.max(c).alias(a) for a, c in flags.items())).collect():
+                kinds[r["base"]] = Level(r["alone"] and not r["objects"] and r["base"] not in lists, r["numbers"], r["texts"] and not r["objects"])
+        objects = held.filter("kind = 'object'").groupBy(F.col("base").alias("holder")).agg(F.sum("n").alias("all"))
+        known: dict[str, dict[str, bool]] = {}
+        for holder, name, number in pairs.join(objects, "holder").filter(F.col("n") >= KNOWN * F.col("all")).select("holder", "base", F.col("numbers") > F.col("texts")).collect():
+            known.setdefault(holder, {})[name] = number
+        depth = (shapes.filter(F.col("kind").isin("object", "array")).agg(F.max("depth")).first() or [0])[0] or 0
+    finally:
+        shapes.unpersist()
+    return Levels(kinds, under, known, depth)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["parent", "child", "pos", "path"] + ["raw"] * raw
-        types = [pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.string()] * raw
-        for batch in batches:
-            at: list[int] = []
-            rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                try:
-                    record = _record(json.loads(text))
-                except (ValueError, RecursionError):
-                    continue
-                if isinstance(record, dict):
-                    before = len(rows)
-                    rows.extend(_walk(record, levels, fixed))
-                    at.extend([i] * (len(rows) - before))
-            columns = list(zip(*rows)) or [()] * 5
-            if raw:
-                columns[4] = [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in columns[4]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types))], [key, *names])
 
-    out = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType() if n == "pos" else T.StringType()) for n in ["parent", "child", "pos", "path"] + ["raw"] * raw)])
-    return df.select(F.col(key), F.col(column).cast("string")).mapInArrow(scan, out)
+# --- flattening ---------------------------------------------------------------------------------------------------------------------
+
+_STRICT = {"allowSingleQuotes": "false"}
 
 
 def _as_map(raw: Column) -> Column:
-    return F.from_json(raw, T.MapType(T.StringType(), T.StringType()))
+    return F.from_json(raw, "map<string,string>", _STRICT)
+
+
+def _as_list(raw: Column) -> Column:
+    return F.from_json(raw, "array<string>", _STRICT)
+
+
+def _begins(raw: Column, mark: str) -> Column:
+    return F.ltrim(raw).startswith(mark)
+
+
+def singular(name: str) -> str:
+    """The name of an element of a list."""
+    for plural, one in (("ies", "y"), ("tra", "trum"), ("ss", "ss"), ("s", "")):
+        if name.endswith(plural):
+            return name[: len(name) - len(plural)] + one
+    return name
 
 
-def child_tables(flat: DataFrame, key: str) -> dict[str, DataFrame]:
-    """Typed flat tables of the objects, one for each kind, each with (key, path) and the parent's path."""
-    text = {"molecule": ("id", "smiles", "inchi", "label"), "reaction": ("id",), "component": ("molecule_id", "role"), "spectrum": ("id", "type", "molecule_id", "nucleus", "solvent", "frequency", "text_representation", "raw_text"), "span": ("text",), "provenance": ("source", "role"), "peak": ("multiplicity",), "bbox": ()}
-    number = {"bbox": ("x0", "y0", "x1", "y1"), "span": ("start", "end"), "provenance": ("page_number", "confidence"), "peak": ("shift", "integration")}
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), an array, for a value that isn't null, which is computed once; else an empty array."""
+    return F.flatten(F.transform(F.filter(F.array(value), lambda x: x.isNotNull()), then))
+
+
+def _records(df: DataFrame, key: str, column: str, mark: str) -> DataFrame:
+    """Rows (key, raw): the complete records without their wrappings."""
+    text = F.col(column).cast("string")
+    rows = df.select(F.col(key), text.alias("raw")).filter(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)  # complete JSON, and nothing behind it
+    plain = rf'^\s*\{{\s*"{re.escape(mark)}"\s*:'  # the usual form needs no look into it
+    for _ in range(WRAPPINGS):
+        inner = F.when(_begins(F.col("raw"), "["), _once(_as_list(F.col("raw")), lambda a: F.when(F.size(a) == 1, a).otherwise(F.slice(a, 1, 0)))).otherwise(
+            _once(_as_map(F.col("raw")), lambda m: F.when((F.size(m) == 1) & ~F.map_contains_key(m, F.lit(mark)), F.map_values(m)).otherwise(F.array(F.col("raw"))))
+        )
+        rows = rows.select(F.col(key), F.explode(F.when(F.col("raw").rlike(plain), F.array("raw")).otherwise(inner)).alias("raw"))
+    return rows.filter(_begins(F.col("raw"), "{"))
+
+
+def _elements(member: Column, value: Column, lv: Levels) -> Column:
+    """The elements of a member in the order written, in whatever form they stand."""
+    names = sorted(lv.kinds)
+    single = [n for n in names if lv.kinds[n].single]
+    known = F.lit(False)
+    parts = [(n, sorted(lv.known.get(n, ()))) for n in names if not lv.kinds[n].single]
+
+    def of_map(m: Column) -> Column:
+        has = known
+        for n, mine in parts:
+            has = has | ((member == n) & F.arrays_overlap(F.map_keys(m), F.array(*map(F.lit, mine)))) if mine else has
+        keyed = (F.size(m) > 0) & F.forall(F.map_values(m), lambda x: x.isNull() | _begins(x, "{")) & ~has
+        return F.when(keyed, F.map_values(m)).otherwise(F.array(value))
+
+    whole = F.when(F.trim(value).rlike(r"^(?:\[\s*\]|\{\s*\})?$"), F.array().cast("array<string>")).otherwise(F.array(value))
+    return (
+        F.when(value.isNull(), F.array().cast("array<string>"))
+        .when(member.isin(*single) if single else F.lit(False), whole)
+        .when(_begins(value, "["), _once(_as_list(value), lambda a: a))
+        .when(_begins(value, "{"), _once(_as_map(value), of_map))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def _is_case(member: Column, item: Column, lv: Levels) -> Column:
+    def of(flag: str) -> Column:
+        names = [n for n, x in sorted(lv.kinds.items()) if getattr(x, flag)]
+        return member.isin(*names) if names else F.lit(False)
+
+    whole = item.rlike(r"(?s)^\s*\{\s*[^\s}].*\}\s*$")
+    return of("single") | whole | (of("numbers") & item.try_cast("double").isNotNull()) | (of("texts") & item.rlike(r"\S") & ~_begins(item, "{"))
+
+
+def flatten(df: DataFrame, key: str, column: str, lv: Levels | None = None, raw: bool = True, lists: tuple[str, ...] = (), mark: str = "source_filename") -> DataFrame:
+    """Rows (key, parent, child, pos, path, raw): every object of the levels in every record.
+
+    path is the object's own path, unique within a record, so (key, path) is the surrogate key and (key, parent) points to the parent row.
+    lv: what ``levels`` gives; it is computed here, with lists, if missing. raw=False leaves out the object's JSON. mark: a member of every
+    record itself.
+    """
+    if lv is None:
+        lv = levels(df, column, lists)
+    rows = _records(df, key, column, mark).select(
+        F.col(key), F.lit("").alias("parent"), F.lit("$").alias("member"), F.lit(0).alias("pos"), F.lit("").alias("path"), "raw", F.lit(True).alias("open")
+    )
+    opened = [n for n in sorted(lv.under) if n == "$" or n in lv.kinds]
+
+    def wanted(e: Column) -> Column:
+        out = F.lit(False)
+        for n in opened:
+            names = lv.under[n]
+            out = out | ((F.col("member") == n) & (e["key"].isin(*sorted(names)) if names is not None else F.lit(True)))
+        return out & e["value"].isNotNull()
+
+    def taken(m: Column) -> Column:
+        return F.concat(F.array(line), F.transform(F.filter(F.map_entries(m), wanted), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))))
+
+    line = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
+    for _ in range(lv.depth):
+        if not opened:
+            break
+        member, value = F.col("member"), F.col("raw")
+        parts = F.when(F.col("open") & member.isin(*opened), _once(_as_map(value), taken)).otherwise(F.array(line))
+        members = rows.withColumn("__m", F.explode(parts)).select(
+            key, "parent", "member", "pos", "path", F.when(F.col("__m.name").isNull(), F.col("raw")).alias("raw") if raw else F.lit(None).cast("string").alias("raw"),
+            F.when(F.col("__m.name").isNull(), False).alias("self"), F.col("__m.name").alias("name"), F.col("__m.value").alias("value"),
+        )
+        items = F.when(F.col("name").isNull(), F.array(F.col("raw"))).otherwise(_elements(F.col("name"), F.col("value"), lv))
+        exploded = members.select("*", F.posexplode(items).alias("__pos", "__item"))
+        fresh = F.col("name").isNotNull()
+        stem = F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(F.lit("")), "name")
+        single = [n for n, x in sorted(lv.kinds.items()) if x.single]
+        own = F.when(F.col("name").isin(*single) if single else F.lit(False), stem).otherwise(F.concat(stem, F.lit("["), F.col("__pos").cast("string"), F.lit("]")))
+        rows = exploded.filter(~fresh | (F.col("__item").isNotNull() & _is_case(F.col("name"), F.col("__item"), lv))).select(
+            key,
+            F.when(fresh, F.col("path")).otherwise(F.col("parent")).alias("parent"),
+            F.when(fresh, F.col("name")).otherwise(F.col("member")).alias("member"),
+            F.when(fresh, F.col("__pos")).otherwise(F.col("pos")).alias("pos"),
+            F.when(fresh, own).otherwise(F.col("path")).alias("path"),
+            F.col("__item").alias("raw"),
+            (fresh & _begins(F.col("__item"), "{")).alias("open"),
+        )
+    child = F.element_at(F.create_map(*(F.lit(x) for n in sorted(lv.kinds) for x in (n, singular(n)))), F.col("member")) if lv.kinds else F.col("member")
+    out = rows.filter(F.col("member") != "$").select(key, "parent", child.alias("child"), F.col("pos").cast("bigint").alias("pos"), "path", "raw")
+    return out if raw else out.drop("raw")
+
+
+def child_tables(flat: DataFrame, key: str, lv: Levels, bare: dict[str, str] | None = None, numbers: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Typed flat tables of the objects, one for each level, each with (key, path) and the parent's path, and the members known of it.
+
+    bare: by level the column that takes an element that isn't an object; else it is value. Levels of such elements only have just that.
+    numbers: members that are read as numbers even where most stand in quotes. Clashing names get an underscore.
+    """
     out = {}
-    for kind, names in text.items():
-        m = _as_map(F.col("raw"))
-        columns = [F.element_at("m", F.lit(n)).alias(n) for n in names] + [F.element_at("m", F.lit(n)).try_cast("double").alias(n) for n in number.get(kind, ())]
-        if kind == "peak":
-            columns[-2] = F.coalesce(F.element_at("m", F.lit("shift")), F.col("raw")).try_cast("double").alias("shift")
-        out[kind] = flat.filter(F.col("child") == kind).select(key, "parent", "path", "pos", "raw", m.alias("m")).select(key, "parent", "path", "pos", *columns)
+    for name, level in lv.kinds.items():
+        members = {n: number for n, number in sorted(lv.known.get(name, {}).items()) if n not in lv.kinds}
+        rows = flat.filter(F.col("child") == singular(name)).select(key, "parent", "path", "pos", "raw", _as_map(F.col("raw")).alias("__m"))
+        columns = {}
+        for n, number in members.items():
+            c = F.element_at("__m", F.lit(n))
+            columns[n + "_" * (n in (key, "parent", "path", "pos"))] = c.try_cast("double") if number or n in numbers else c
+        if level.numbers or level.texts:
+            own = (bare or {}).get(singular(name), "value")
+            whole = F.when(F.col("__m").isNull(), F.col("raw"))
+            whole = whole.try_cast("double") if level.numbers and not level.texts else whole
+            columns[own] = F.coalesce(columns[own], whole) if own in columns else whole
+        out[singular(name)] = rows.select(key, "parent", "path", "pos", *(c.alias(n) for n, c in columns.items()))
     return out
 
 
