@@ -55,3 +55,29 @@ def test_page_numbers():
         assert not S.PAGE.match(x), x
     page, _ = S._edges(["IR 2366, 1810,", "1044"])
     assert page == [False, False]  # the end of an open list is a value
+
+
+def test_size_of_the_corpus_does_not_matter(spark):
+    """Rare words and headers stay what they are within a much larger corpus."""
+    clean, bad = corpus()
+    alone = run(spark, clean + bad)
+    other = [f"Further text number {i} on melting points, wrapped\nat blanks of lines with unlike words w{i}x and v{i}y only" for i in range(12 * len(clean))]
+    among = run(spark, clean + bad + other)
+    assert {i: r.repaired for i, r in among.items()} == {i: r.repaired for i, r in alone.items()}
+
+
+def test_words_are_decided_by_exact_counts(spark):
+    words = spark.createDataFrame([("methyl", 40), ("rnethyl", 2), ("ethyI", 3), ("ethyl", 59), ("tbe", 1), ("the", 20), ("he11o", 1), ("5a", 1)], "item string, n bigint")
+    got = {r.word: r.fixed for r in S.corrections(words).collect()}
+    assert got == {"rnethyl": "methyl", "tbe": "the", "he11o": "hello"}  # 59 isn't 20 times 3; undone figures need no entry
+
+
+def test_characters_without_print_are_no_misreadings(spark):
+    texts = [PLAIN] * 40 + [PLAIN.replace("toluene", "tolu‍ene"), PLAIN.replace("CDCl3", "D﻿2O"), PLAIN.replace("white", "whi⁠te")]
+    assert run(spark, texts) == {}
+
+
+def test_hot_rows_and_ties(spark):
+    """Repeated rows of one damaged text, and repeated keys, each get their result."""
+    df = spark.createDataFrame([("f", 1, PLAIN)] * 50 + [("f", 2, PLAIN.replace("the", "tbe"))] * 3, "fld string, row_id bigint, text string")
+    assert [(r.row_id, r.repaired) for r in S.read(df, ["fld", "row_id"], "text").collect()] == [(2, PLAIN)] * 3
