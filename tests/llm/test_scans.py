@@ -82,5 +82,5 @@ def test_characters_without_print_are_no_misreadings(spark):
 
 def test_hot_rows_and_ties(spark):
     """Repeated rows of one damaged text, and repeated keys, each get their result."""
-    df = spark.createDataFrame([("f", 1, PLAIN)] * 50 + [("f", 2, PLAIN.replace("the", "tbe"))] * 3, "fld string, row_id bigint, text string")
+    df = spark.createDataFrame([("f", 1, PLAIN)] * 90 + [("f", 2, PLAIN.replace("the", "tbe"))] * 3, "fld string, row_id bigint, text string")
     assert [(r.row_id, r.repaired) for r in S.read(df, ["fld", "row_id"], "text").collect()] == [(2, PLAIN)] * 3
