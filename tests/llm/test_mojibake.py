@@ -65,3 +65,46 @@ def test_segments(seed):
     r = random.Random(seed)
     scores = [r.uniform(-3, 3) for _ in range(r.randint(0, 14))]
     assert M.segments(scores) == brute_segments(scores)
+
+
+def greek(text):
+    return text.encode("iso8859-7", "ignore").decode("latin-1")
+
+
+NMR = [f"1H NMR (400 MHz, CDCl3) δ {i}.1 (s, 3H), nach Säulenchromatographie, glänzend" for i in range(200)]
+
+
+def test_single_byte_pages_are_told_by_information(spark):
+    texts = NMR + ["1H NMR (400 MHz, CDCl3) ä 7.1 (s, 3H), nach Chromatographie", "IR nach Säule glänzend"]
+    got = run(spark, texts)
+    assert {i: r.restored for i, r in got.items()} == {len(NMR): texts[len(NMR)].replace("ä", "δ")}
+
+
+def test_nothing_without_the_scores():
+    """Without the information no run is isolated, and nothing is tried; with it misread text is found."""
+    import numpy as np
+
+    table = np.zeros(M.PAIRS + M.SINGLES + 1, np.int64)
+    bad = [damaged(NMR[0], "cp1252"), "δ \ufffd 7.2 Hz", NMR[3].replace(" δ ", " ä ")]
+    table[-1] = M.count(NMR + bad, table[: M.PAIRS], table[M.PAIRS : -1])
+    fix = M.Repair(table)
+    assert all(fix(t)[0] for t in bad) and not any(fix(t)[0] for t in NMR)
+    flat = M.Repair(table)
+    flat.scores = lambda points: np.full(max(0, len(points) - 1), -M.THETA)
+    assert not any(flat(t)[0] for t in bad)
+    always = M.Repair(table)
+    always.scores = lambda points: np.full(max(0, len(points) - 1), M.THETA)
+    assert not always(bad[2])[0]
+
+
+def test_long_runs_and_many_pages(spark):
+    """A run far longer than a word, with a character that no page has in its middle."""
+    long = "δ–é°" * 400
+    bad = damaged(long, "cp1252") + "\u4e00" + damaged(long, "cp1252")
+    got = run(spark, [*CLEAN, *NMR, bad])
+    assert got[len(CLEAN) + len(NMR)].restored == long + "\u4e00" + long
+
+
+def test_look_alikes_and_wide_letters_are_sound(spark):
+    sound = ["１Ｈ ＮＭＲ （４００ ＭＨｚ） δ ７．１ Säulenchromatographie", "gave 19a as а light solid", "СDСl3 Нz", "mе\u200bthyl"]
+    assert run(spark, CLEAN + NMR + sound) == {}
