@@ -2,13 +2,15 @@
 
 Method: every word becomes a class: function words of four languages stand for themselves, other words for their make (number, link, tag,
 capital, ending of a lower-case word, ...) and the punctuation behind them; line breaks count as blanks. A trigram model with back-off is
-trained on the prose of the corpus: sentences with enough function words and no repeated words, and lines of measured data. Words are then
-scored over a sliding window; a window is abnormal if its mean surprisal lies above or below what the training sentences show (all but a
-share TAIL of their windows, and a MARGIN of one bit), and a page if more than half of its words lie in abnormal windows.
+trained on the prose of the corpus: sentences with enough function words, no repeated words and not said before on the page, and stretches
+dense with decimal numbers, as lists of measured values are. Words are then scored over a sliding window in two ways. By the model, a window's
+mean surprisal is abnormally high above what the training windows show (all but a share TAIL of them, and a MARGIN of one bit; dense windows
+have their own range). By the model mixed in equal parts with what the page itself has said so far, the mean is abnormally low below what the training
+windows show: text that goes in a loop. A page is spam if more than half of its words lie in abnormal windows.
 
 Two narrow passes over the texts. The counts of the first go into tables of fixed size, are summed by slot before and after the shuffle,
-and are broadcast (about 5 MB at any size of the corpus). The second keeps, for each page, a histogram of its windows; the thresholds come
-from the histograms of all training windows.
+and are broadcast (about 5 MB at any size of the corpus). The second keeps, for each page, a sparse histogram of its windows; the thresholds
+come from the histograms of all training windows.
 
 Defined results: null and empty texts and texts under LEAST words give no row; texts of any length are scored whole; equal texts get equal
 results; a corpus without any prose flags nothing.
@@ -35,14 +37,14 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber denn sondern wenn dass weil als wie wo was wer er sie es wir ihr ich man sich nicht kein keine nur auch noch schon sehr mehr in im an am auf aus bei beim mit nach von vom vor zu zum zur über unter durch für gegen ohne um zwischen während ist sind war waren wird wurde wurden werden worden hat haben hatte kann konnte muss soll",
     "es": "el la los las un una unos unas y o pero sino que quien cual cuyo donde cuando como este esta estos estas ese esa eso aquel él ella ellos ellas nosotros se su sus lo le les no ni muy más menos ya también solo de del a al en por para con sin sobre entre hasta desde tras durante es son era fue fueron ser está están ha han había haber hay si",
 }
-#: Units that mark a line of measured data.
-MEASURED = "mhz"
-
+DENSE = 0.2  # share of decimal numbers in a window of measured data
 LEAST = 15  # words of a page
 HALF = 10  # words on each side of a window's middle
 TAIL = 0.0001  # share of training windows beyond each end of the normal range
 MARGIN = 4  # bins beyond that range that still pass, one bit
 BINS, STEP = 56, 0.25  # of the histograms, in bits
+LOWS, FINE = 16, 0.125  # of those of the model mixed with the page
+CELLS = 2 * BINS * LOWS
 TRI, BI = 1 << 20, 1 << 18
 CHUNK = 1 << 19
 
@@ -82,8 +84,8 @@ def _chars() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def _functions() -> tuple[np.ndarray, np.ndarray, int, np.uint64]:
-    """A table from hashes to function words (id + 1), their hashes, how many there are, and the hash of MEASURED."""
+def _functions() -> tuple[np.ndarray, np.ndarray, int]:
+    """A table from hashes to function words (id + 1), their hashes, and how many there are."""
     words = sorted({w for text in FUNCTION_WORDS.values() for w in text.split()})
     _, low, _ = _chars()
 
@@ -102,7 +104,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray, int, np.uint64]:
         if not table[h & 0xFFFF]:  # a clash of two words leaves the later one an ordinary word
             n += 1
             table[h & 0xFFFF], own[n] = n, h
-    return table, own, n, np.uint64(hashed(MEASURED))
+    return table, own, n
 
 
 class Words:
@@ -117,6 +119,7 @@ class Words:
         solid = blank == 0
         first = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]))
         self.n = len(first)
+        self._said: np.ndarray | None = None
         if not self.n:
             return
         last = np.flatnonzero(solid & np.concatenate([~solid[1:], [True]]))
@@ -135,11 +138,10 @@ class Words:
         punct = np.zeros(self.n, np.int64)
         for k, chars in ((1, ","), (2, "."), (3, ";:"), (4, "!?")):
             punct[np.isin(tail, [ord(c) for c in chars])] = k
-        table, own, count, measured = _functions()
+        table, own, count = _functions()
         f = table[(h & np.uint64(0xFFFF)).astype(np.int64)]
         is_f = (f > 0) & (own[f] == h) & (flags & (DIGIT | SLASH | TAG | SYMBOL) == 0) & has
         self.function = is_f
-        self.measured = h == measured
         size = last - first + 1
         inner = (flags & COLON > 0) & (tail != ord(":"))
         k = np.full(self.n, _KINDS["symbol"], np.int64)
@@ -160,7 +162,8 @@ class Words:
         k[alpha & (flags & SLASH > 0) & (dots > 0)] = _KINDS["link"]
         for name, chars in (("pipe", "|"), ("angle", ">»"), ("bar", "-–"), ("equals", "=")):
             k[(size == 1) & np.isin(tail, [ord(c) for c in chars])] = _KINDS[name]
-        self.word = (alpha | digit | (flags & FOREIGN > 0))  # what counts as a word
+        self.word = alpha | digit | (flags & FOREIGN > 0)  # what counts as a word
+        self.decimal = k == _KINDS["decimal"]
         self.content = self.word & ~is_f
         classes = np.where(is_f, f.astype(np.int64), count + 1 + k * _PUNCT + punct)
         # texts begin with an event of class 0; line breaks are blanks, as prose may be wrapped anywhere
@@ -169,7 +172,6 @@ class Words:
         lines[0] = True
         opens = np.concatenate([[True], self.text[1:] != self.text[:-1]])
         self.at = np.arange(self.n) + np.cumsum(opens) + 1
-        self.line = np.cumsum(lines | opens) - 1
         self.punct = punct
         self.events = np.zeros(self.at[-1] + 1, np.int64)
         self.events[self.at] = classes
@@ -184,8 +186,38 @@ class Words:
         bc = (_mix(b * _C1 + c * _C2 + np.uint64(1)) & np.uint64(BI - 1)).astype(np.int64)
         return (_mix(ab + c * _C1) & np.uint64(TRI - 1)).astype(np.int64), (ab & np.uint64(BI - 1)).astype(np.int64), bc
 
+    def around(self) -> tuple[np.ndarray, np.ndarray]:
+        """The window around each word, [from, to): at most HALF words on either side in its text."""
+        bounds = np.searchsorted(self.text, np.arange(self.text[-1] + 2))
+        i = np.arange(self.n)
+        return np.maximum(i - HALF, bounds[self.text]), np.minimum(i + HALF + 1, bounds[self.text + 1])
+
+    def said_before(self) -> np.ndarray:
+        """How often, of the times that a text had the two words before each word, it went on with that word."""
+        if self._said is not None:
+            return self._said
+        context = _mix(self.text.astype(np.uint64) * _C1 + np.concatenate([[0, 0], self.hash[:-2]]).astype(np.uint64) * _C2 + np.concatenate([[0], self.hash[:-1]]).astype(np.uint64))
+
+        def earlier(keys: np.ndarray) -> np.ndarray:
+            order = np.argsort(keys, kind="stable")
+            first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+            start = np.flatnonzero(first)
+            out = np.empty(len(keys), np.int64)
+            out[order] = np.arange(len(keys)) - np.repeat(start, np.diff(start, append=len(keys)))
+            return out
+
+        self._said = earlier(_mix(context * _C1 + self.hash)) / (earlier(context) + 1)
+        return self._said
+
+    def dense(self) -> np.ndarray:
+        """Whether the window around each word is dense with decimal numbers, as lists of measured values are."""
+        lo, hi = self.around()
+        decimals = np.concatenate([[0], np.cumsum(self.decimal)])
+        return decimals[hi] - decimals[lo] >= DENSE * (hi - lo)
+
     def trained(self) -> np.ndarray:
-        """Whether each event belongs to a training sentence: prose without repeated words, or a line of measured data."""
+        """Whether each event is trained: of a sentence of prose without repeated words that the page hasn't said before, or in a dense
+        window."""
         ends = (self.punct == 2) | (self.punct == 4)
         starts = np.concatenate([[True], ends[:-1]]) | self.opens | self.breaks
         s = np.cumsum(starts) - 1
@@ -195,9 +227,8 @@ class Words:
             repeated[k:] |= (self.hash[k:] == self.hash[:-k]) & (s[k:] == s[:-k]) & self.content[k:]
         content = np.bincount(s, self.content)
         prose = (n >= 5) & (np.bincount(s, self.function) >= 0.2 * n) & (np.bincount(s, repeated) <= 0.15 * np.maximum(content, 1))
-        prose &= np.bincount(s, ends) > 0
-        lines = np.bincount(self.line, self.measured) > 0
-        good = prose[s] | lines[self.line]
+        prose &= (np.bincount(s, ends) > 0) & (np.bincount(s, self.said_before() > 0.5) <= 0.5 * n)
+        good = prose[s] | self.dense()
         out = np.zeros(len(self.events), bool)
         out[self.at] = good
         out[self.at[self.opens] - 1] = good[self.opens]  # the beginning of the text
@@ -235,16 +266,19 @@ class Model:
         return np.concatenate([[0.0, 0.0], np.minimum(-np.log2(triple), BINS * STEP)]).astype(np.float32)
 
     def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Mean surprisal around each word, over at most HALF words on either side in its text; and which windows are trained as a whole."""
-        s = self.surprisal(w)[w.at]
-        breaks = np.concatenate([[0.0], np.cumsum(np.where(w.opens, self.surprisal(w)[w.at - 1], 0) + s, dtype=np.float64)])
+        """The cell of each word's window: whether it is dense, the bin of its mean surprisal, and that of the mixture with the page; and
+        which windows are trained as a whole."""
+        lo, hi = w.around()
+        whole = self.surprisal(w)
+        mixed = -np.log2(0.5 * np.exp2(-whole[w.at]) + 0.5 * w.said_before())
+        own = whole[w.at]
+        sums = np.concatenate([[0.0], np.cumsum(np.where(w.opens, whole[w.at - 1], 0) + own, dtype=np.float64)])
         events = np.concatenate([[0], np.cumsum(1 + w.opens)])
-        bounds = np.searchsorted(w.text, np.arange(w.text[-1] + 2))
-        i = np.arange(w.n)
-        lo = np.maximum(i - HALF, bounds[w.text])
-        hi = np.minimum(i + HALF + 1, bounds[w.text + 1])
+        high = np.minimum(((sums[hi] - sums[lo]) / (events[hi] - events[lo]) / STEP).astype(np.int64), BINS - 1)
+        sums = np.concatenate([[0.0], np.cumsum(mixed, dtype=np.float64)])
+        low = np.minimum(((sums[hi] - sums[lo]) / (hi - lo) / FINE).astype(np.int64), LOWS - 1)
         trained = np.concatenate([[0], np.cumsum(w.trained()[w.at])])
-        return (breaks[hi] - breaks[lo]) / (events[hi] - events[lo]), trained[hi] - trained[lo] == hi - lo
+        return (BINS * w.dense() + high) * LOWS + low, trained[hi] - trained[lo] == hi - lo
 
 
 SIZE = TRI + BI + 2048
@@ -280,8 +314,8 @@ def train(docs: DataFrame, column: str) -> np.ndarray:
 
 
 def histograms(docs: DataFrame, key: str, column: str, table: np.ndarray) -> DataFrame:
-    """Rows (key, words, windows, trained): how many words, and histograms of the mean surprisal of all windows and of those that lie in
-    training sentences as a whole."""
+    """Rows (key, words, cells, windows, trained): how many words, and for the cells that a text has, how many of its windows and how many of
+    those that are trained as a whole."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,38 +324,51 @@ def histograms(docs: DataFrame, key: str, column: str, table: np.ndarray) -> Dat
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in _chunks(texts):
                 n = j - i
-                all_, own = np.zeros((n, BINS), np.int32), np.zeros((n, BINS), np.int32)
+                at, all_, own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 w = Words(texts[i:j])
                 if w.n >= 2:
-                    mean, whole = model.windows(w)
-                    cell = w.text * BINS + np.minimum((mean / STEP).astype(np.int64), BINS - 1)
-                    all_ = np.bincount(cell[w.word], minlength=n * BINS).reshape(n, BINS).astype(np.int32)
-                    on = w.word & whole
-                    own = np.bincount(cell[on], minlength=n * BINS).reshape(n, BINS).astype(np.int32)
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * BINS)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))) for x in (all_, own)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(all_.sum(axis=1).astype(np.int64)), *lists], [key, "words", "windows", "trained"])
+                    cell, whole = model.windows(w)
+                    at, of = np.unique(w.text[w.word] * CELLS + cell[w.word], return_inverse=True)
+                    all_ = np.bincount(of, minlength=len(at))
+                    own = np.bincount(of, whole[w.word], minlength=len(at)).astype(np.int64)
+                bounds = np.searchsorted(at, np.arange(n + 1) * CELLS)
+                words = np.concatenate([[0], np.cumsum(all_)])
+                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (at % CELLS, all_, own)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(words[bounds[1:]] - words[bounds[:-1]]), *lists], [key, "words", "cells", "windows", "trained"])
 
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("words", T.LongType()), T.StructField("windows", T.ArrayType(T.IntegerType())), T.StructField("trained", T.ArrayType(T.IntegerType()))])
-    return docs.select(key, column).mapInArrow(scan, schema)
+    lists = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("cells", "windows", "trained")]
+    return docs.select(key, column).mapInArrow(scan, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("words", T.LongType()), *lists]))
 
 
 def thresholds(hist: np.ndarray, tail: float = TAIL, margin: int = MARGIN) -> tuple[int, int]:
     """The first and last bin of normal windows, from the histogram of training windows: all but the tails, and a margin."""
     total = hist.sum()
     if not total:
-        return 0, BINS
+        return 0, len(hist)
     share = np.cumsum(hist) / total
     return max(0, int(np.searchsorted(share, tail)) - margin), int(np.searchsorted(share, 1 - tail)) + margin
 
 
+def abnormal_cells(trained: np.ndarray) -> np.ndarray:
+    """Which cells are abnormal, from the histogram of training windows."""
+    hist = trained.reshape(2, BINS, LOWS)
+    out = np.zeros((2, BINS, LOWS), bool)
+    for k in (0, 1):
+        out[k, thresholds(hist[k].sum(axis=1))[1] + 1 :, :] = True
+        out[k, :, : thresholds(hist[k].sum(axis=0), margin=0)[0]] = True
+    return out.reshape(-1)
+
+
 def abnormal_share(docs: DataFrame, key: str, column: str) -> DataFrame:
     """Rows (key, words, abnormal): words of each text and how many lie in abnormal windows."""
     scored = cut(histograms(docs, key, column, train(docs, column)))
-    sums = scored.select(*(F.sum(F.col("trained")[b]).alias(f"b{b}") for b in range(BINS))).first()
-    low, high = thresholds(np.array([x or 0 for x in sums]))
-    parts = F.aggregate(F.concat(F.slice("windows", 1, low) if low else F.array().cast("array<int>"), F.slice("windows", high + 2, BINS)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return scored.select(key, "words", parts.alias("abnormal"))
+    sums = scored.select(F.explode(F.arrays_zip("cells", "trained")).alias("c")).groupBy("c.cells").agg(F.sum("c.trained").alias("n")).collect()  # CELLS rows at most
+    trained = np.zeros(CELLS)
+    for cell, n in sums:
+        trained[cell] = n
+    flags = F.array(*(F.lit(bool(x)) for x in abnormal_cells(trained)))
+    counted = F.zip_with("cells", "windows", lambda c, n: F.when(F.get(flags, c), n).otherwise(0))
+    return scored.select(key, "words", F.aggregate(counted, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("abnormal"))
 
 
 def find_spam(docs: DataFrame, key: str, column: str, least: int = LEAST) -> DataFrame:

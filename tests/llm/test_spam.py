@@ -66,3 +66,33 @@ def test_thresholds():
     hist[4:9] = 1000
     hist[20] = 1
     assert S.thresholds(hist, 0.001, 0) == (4, 8) and S.thresholds(hist, 0.001, 2) == (2, 10) and S.thresholds(np.zeros(S.BINS)) == (0, S.BINS)
+
+
+def test_pages_that_go_in_a_loop(spark):
+    """The low side: nothing in a looped page is improbable by the model, only that it says the same again and again."""
+    loop = " ".join([sentence()] * 40)
+    twice = " ".join([sentence() for _ in range(12)] * 2)
+    assert run(spark, PROSE + [loop, twice]) == [len(PROSE)]
+    table = np.zeros(S.SIZE, np.int64)
+    S.count(PROSE, table)
+    model = S.Model(table.astype(np.float32))
+    cells, _ = model.windows(S.Words([loop]))
+    usual, _ = model.windows(S.Words(PROSE[:50]))
+    assert (cells // S.LOWS).max() <= (usual // S.LOWS).max()  # not by the high side
+
+
+def test_measured_data_has_no_unit_word(spark):
+    plain = [t.replace(" MHz", "").replace("NMR", "data") for t in PROSE]
+    assert run(spark, plain + SPAM) == list(range(len(PROSE), len(PROSE) + len(SPAM)))
+
+
+def test_said_before():
+    w = S.Words(["a b c a b c a b d", "a b c"])
+    assert w.said_before().round(3).tolist() == [0, 0, 0, 0, 0, 0.5, 0.5, 0.5, 0, 0, 0, 0]
+
+
+def test_abnormal_cells():
+    trained = np.zeros((2, S.BINS, S.LOWS))
+    trained[0, 4:9, 5:9] = 1000
+    flags = S.abnormal_cells(trained.reshape(-1)).reshape(2, S.BINS, S.LOWS)
+    assert flags[0, :, :5].all() and flags[0, 13:].all() and not flags[0, :13, 5:].any() and not flags[1].any()
