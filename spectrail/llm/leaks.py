@@ -2,13 +2,19 @@
 
 Method: items and documents become sequences of word hashes (blanks separate words; case, punctuation and markup don't count). Of every item,
 windows of WINDOW words are kept as probes, so close that any copied run of RUN words holds one whole. Every window of a document that shares
-enough adjacent word pairs with the items gets a 64-bit SimHash of its weighted words (weight: rarity among the items). A multi-index over
-four blocks of 16 bits lists, for each block, the probes within 3 bits of a value; a fingerprint within 15 bits of a probe is within 3 bits
-in some block, so none of those is missed. A candidate is verified by the exact weighted similarity of its word pairs, and each document
-and item left then by the rule itself: RUN consecutive words of the item, or SHARE of its words in order in one stretch.
+enough adjacent word pairs with the items gets a 64-bit SimHash of its weighted words (weight: rarity among the items; words that no item has
+weigh little). A multi-index over four blocks of 16 bits lists, for each block, the probes within 3 bits of a value; a fingerprint within 15
+bits of a probe is within 3 bits in some block, so none of those is missed. A candidate is verified by the exact weighted similarity of its
+word pairs, and each document and item left then by the rule itself: RUN consecutive words of the item, or SHARE of its words in order in one
+stretch.
 
-The items are the stated query set; they are taken in blocks of BLOCK items, each of which is broadcast (a few MB, whatever the corpus),
-and every document meets all of them. Documents are processed whole and nothing about them is gathered or shuffled.
+Items of fewer than WINDOW words have shorter probes: as many words as stay together somewhere if a quarter of the item's words are replaced
+or dropped (three to one), at every place, and fingerprints must be equal.
+
+The items are the stated query set. They come to the driver in blocks of BLOCK items, one after the other; each becomes an index that is
+broadcast (about 5 kB an item, 100 kB where a worker has built its tables) and takes a pass over the documents of its own, so that no worker
+holds more than one block's tables, however many items there are. Documents are processed whole and nothing about them is gathered or
+shuffled.
 
 Defined results: null and empty texts give no row, an item shorter than RUN words only the whole-stretch case; equal documents each give
 their own rows; a pair is given once.
@@ -18,29 +24,31 @@ from __future__ import annotations
 
 import html
 import itertools
+import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 RUN = 18  # consecutive words that make a leak
 SHARE = 0.75  # of an item's words, in order in one stretch
 WINDOW = 12
 STEP = RUN - WINDOW + 1  # between probes: a run of RUN words holds a whole one
-PAIRS = 4  # adjacent word pairs that a window shares with the items; three kept words in four leave six
+FOREIGN = 2  # weight of words that no item has
 RADIUS = 15
 SIMILAR = 0.3  # weighted similarity of word pairs of a window and a probe; three words in four leave 0.4 and more
 BLOCK = 2000
 CHUNK = 1 << 19
 
-_INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|sub|sup|span|font|small|mark|code)\b[^<>]{0,500}>", re.I)
-_TAG = re.compile(r"<[/!a-z][^<>]{0,500}>", re.I)
+_INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|sub|sup|span|font|small|mark|code)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<[/!a-z][^<>]*>", re.I)
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -101,36 +109,43 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return _mix(h[:-1] * _C1 + (h[1:] ^ _C2))
 
 
-class Index:
-    """Probes of a block of items with their fingerprints; ``build`` makes the tables that a worker needs."""
+def probe_size(n: int) -> int:
+    """The words of an item's probes."""
+    if n >= WINDOW:
+        return WINDOW
+    lost = n - math.ceil(SHARE * n)
+    return max(1, math.ceil((n - lost) / (lost + 1)))
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        hashes, of = word_hashes([t for _, t in items])
-        self.words = [hashes[of == k] for k in range(len(items))]
-        df = Counter(h for w in self.words for h in set(w.tolist()))
-        n = len(items)
-        known = np.array(sorted(df), np.uint64)
-        self.known = known
-        self.weight = np.array([max(1, round(8 * np.log(1 + n / df[h]))) for h in known.tolist()], np.int32)
-        self.unknown = max(1, round(8 * np.log(1 + n)))
+
+class Index:
+    """Probes of a block of items, all of one size, with their fingerprints; ``build`` makes the tables that a worker needs."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], window: int, step: int, radius: int) -> None:
+        self.ids, self.words, self.window, self.radius = ids, words, window, radius
+        #: adjacent word pairs that a window shares with the items: a quarter of its words break two each, and one more may fall away
+        self.least = max(0, window - 1 - 2 * (window // 4) - (window == WINDOW))
+        every, counts = np.unique(np.concatenate([np.unique(w) for w in words] or [np.zeros(0, np.uint64)]), return_counts=True)
+        self.known = every
+        self.weight = np.maximum(1, np.round(8 * np.log(1 + len(words) / counts))).astype(np.int32)
         item, at = [], []
-        for k, w in enumerate(self.words):
-            last = len(w) - WINDOW
-            for a in sorted({*range(0, last + 1, STEP), last} - {x for x in (last,) if x < 0}):
+        for k, w in enumerate(words):
+            last = len(w) - window
+            for a in sorted({*range(0, last + 1, step), last}) if last >= 0 else ():
                 item.append(k)
                 at.append(a)
         self.item, self.at = np.array(item, np.int32), np.array(at, np.int32)
-        self.pairs = np.array([_pairs(self.words[k][a : a + WINDOW]) for k, a in zip(item, at)], np.uint64).reshape(-1, WINDOW - 1)
-        flat = np.concatenate([self.words[k][a : a + WINDOW] for k, a in zip(item, at)]) if item else np.zeros(0, np.uint64)
-        self.marks = self.simhash(flat, np.arange(0, len(flat), WINDOW))
-        self.all_pairs = np.unique(np.concatenate([_pairs(w) for w in self.words if len(w) > 1] or [np.zeros(0, np.uint64)]))
+        self.pairs = np.array([_pairs(words[k][a : a + window]) for k, a in zip(item, at)], np.uint64).reshape(len(item), window - 1)
+        self.flat = np.concatenate([words[k][a : a + window] for k, a in zip(item, at)]) if item else np.zeros(0, np.uint64)
+        self.marks = self.simhash(self.flat, np.arange(0, len(self.flat), window))
+        self.all_pairs = np.unique(np.concatenate([_pairs(w) for w in words if len(w) > 1] or [np.zeros(0, np.uint64)]))
+        self.runs: dict[int, set[int]] = {}
+        self.lists: dict[int, list[int]] = {}
 
     def weights(self, h: np.ndarray) -> np.ndarray:
         if not len(self.known):
-            return np.full(len(h), self.unknown, np.int32)
+            return np.full(len(h), FOREIGN, np.int32)
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.weight[at], self.unknown).astype(np.int32)
+        return np.where(self.known[at] == h, self.weight[at], FOREIGN).astype(np.int32)
 
     def simhash(self, h: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Fingerprints of the windows from each start."""
@@ -139,23 +154,30 @@ class Index:
         bits = np.unpackbits(_mix(h * _C2 + _C1).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
         signed = (bits * 2 - 1) * self.weights(h)[:, None]
         total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signed, axis=0, dtype=np.int32)])
-        return np.packbits(total[start + WINDOW] - total[start] > 0, axis=1).reshape(-1).view(np.uint64)
+        return np.packbits(total[start + self.window] - total[start] > 0, axis=1).reshape(-1).view(np.uint64)
 
     def build(self) -> None:
-        """For each block of 16 bits, the probes within RADIUS // 4 bits of every value; and a bit map of word pairs."""
-        near = [sum(1 << b for b in c) for k in range(RADIUS // 4 + 1) for c in itertools.combinations(range(16), k)]
+        """For each block of 16 bits, the probes within radius // 4 bits of every value; and a bit map of word pairs, or of words."""
+        near = [sum(1 << b for b in c) for k in range(self.radius // 4 + 1) for c in itertools.combinations(range(16), k)]
         masks = np.array(near, np.uint16)
         blocks = self.marks.view(np.uint16).reshape(-1, 4)
+        small = np.uint16 if len(self.item) <= 1 << 16 else np.int32
         self.tables = []
         for b in range(4):
             values = (blocks[:, b][:, None] ^ masks[None, :]).reshape(-1)
             order = np.argsort(values, kind="stable")
             bounds = np.searchsorted(values[order], np.arange(65537))
-            self.tables.append(((order // len(masks)).astype(np.int32), bounds.astype(np.int64)))
-        self.map = np.zeros(1 << 22, bool)
-        self.map[(self.all_pairs & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.runs = [set(self._runs(w).tolist()) for w in self.words]
-        self.lists = [w.tolist() for w in self.words]
+            self.tables.append(((order // len(masks)).astype(small), bounds.astype(np.int64)))
+        asked = self.all_pairs if self.least else self.known
+        self.slots = np.uint64((1 << max(22, (16 * len(asked)).bit_length())) - 1)
+        self.map = np.zeros(int(self.slots) + 1, bool)
+        self.map[(asked & self.slots).astype(np.int64)] = True
+
+    def drop(self) -> None:
+        """Free what ``build`` made."""
+        self.tables, self.map = [], np.zeros(0, bool)
+        self.runs.clear()
+        self.lists.clear()
 
     @staticmethod
     def _runs(w: np.ndarray) -> np.ndarray:
@@ -171,17 +193,19 @@ class Index:
     def candidates(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of windows and probes that pass fingerprint and weighted similarity."""
         none = np.zeros(0, np.int64)
-        n = len(h) - WINDOW + 1
+        n = len(h) - self.window + 1
         if n <= 0 or not len(self.item):
             return none, none
         pairs = _pairs(h)
-        shared = np.concatenate([[0], np.cumsum(self.map[(pairs & np.uint64((1 << 22) - 1)).astype(np.int64)])])
-        start = np.flatnonzero((shared[WINDOW - 1 :][:n] - shared[:n] >= PAIRS) & (of[WINDOW - 1 :][:n] == of[:n]))
+        hit = self.map[((pairs if self.least else h) & self.slots).astype(np.int64)]
+        shared = np.concatenate([[0], np.cumsum(hit)])
+        span = self.window - 1 if self.least else self.window
+        start = np.flatnonzero((shared[span:][:n] - shared[:n] >= max(1, self.least)) & (of[self.window - 1 :][:n] == of[:n]))
         if not len(start):
             return none, none
         used = np.zeros(len(h) + 1, np.int32)
         np.add.at(used, start, 1)
-        np.add.at(used, start + WINDOW, -1)
+        np.add.at(used, start + self.window, -1)
         at = np.flatnonzero(np.cumsum(used)[:-1] > 0)
         where = np.zeros(len(h), np.int64)
         where[at] = np.arange(len(at))
@@ -195,34 +219,36 @@ class Index:
                 k = bounds[v + 1] - bounds[v]
                 w = np.repeat(np.arange(len(part)), k)
                 p = probe[np.repeat(bounds[v] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-                near = np.bitwise_count(part[w] ^ self.marks[p]) <= RADIUS
+                near = np.bitwise_count(part[w] ^ self.marks[p]) <= self.radius
                 ws.append(w[near])
                 ps.append(p[near])
             key = np.unique(np.concatenate(ws).astype(np.int64) * len(self.item) + np.concatenate(ps))
             found_w.append(start[lo + key // len(self.item)])
             found_p.append(key % len(self.item))
         w, p = np.concatenate(found_w), np.concatenate(found_p)
+        if self.window == 1:
+            return w, p
         keep = np.zeros(len(w), bool)
-        span = np.arange(WINDOW - 1)
+        span = np.arange(self.window - 1)
+        words = self.flat.reshape(-1, self.window)
         for lo in range(0, len(w), 20_000):
             mine, probe = pairs[w[lo : lo + 20_000, None] + span], self.pairs[p[lo : lo + 20_000]]
             both = (probe[:, :, None] == mine[:, None, :]).any(axis=2)
-            ph = np.stack([self.words[i][a : a + WINDOW] for i, a in zip(self.item[p[lo : lo + 20_000]], self.at[p[lo : lo + 20_000]])])
+            ph = words[p[lo : lo + 20_000]]
             weight = self.weights(ph.reshape(-1)).reshape(ph.shape)
             weight = weight[:, :-1] + weight[:, 1:]
             keep[lo : lo + 20_000] = (both * weight).sum(axis=1) >= SIMILAR * weight.sum(axis=1)
         return w[keep], p[keep]
 
-    def leaks(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(place in texts, item id) of every leak."""
-        h, of = word_hashes(texts)
+    def leaks(self, h: np.ndarray, of: np.ndarray) -> list[tuple[int, object]]:
+        """(place of the text, item id) of every leak in texts of the word hashes h."""
         w, p = self.candidates(h, of)
         if not len(w):
             return []
         doc, item = of[w], self.item[p].astype(np.int64)
         diagonal = w - self.at[p]
         order = np.lexsort((diagonal, item, doc))
-        out, first = [], np.searchsorted(of, np.arange(len(texts) + 1))
+        out, first = [], np.searchsorted(of, np.arange(of[-1] + 2))
         runs = self._runs(h)
         for (d, k), group in itertools.groupby(zip(doc[order].tolist(), item[order].tolist(), diagonal[order].tolist()), key=lambda x: x[:2]):
             if self._is_leak(h, runs, int(first[d]), int(first[d + 1]), k, [x[2] for x in group]):
@@ -231,6 +257,9 @@ class Index:
 
     def _is_leak(self, h: np.ndarray, runs: np.ndarray, start: int, stop: int, item: int, diagonals: list[int]) -> bool:
         """The rule for the document of the words [start, stop), around the candidates' diagonals."""
+        if item not in self.lists:
+            self.runs[item] = set(self._runs(self.words[item]).tolist())
+            self.lists[item] = self.words[item].tolist()
         words = self.lists[item]
         size = len(words)
         slack = size // 6 + RUN
@@ -239,7 +268,7 @@ class Index:
             return True
         need, tried = SHARE * size, None
         for at in diagonals:
-            if tried is not None and at - tried < max(4, size // 20):
+            if tried is not None and at - tried < max(min(4, size // 4), size // 20, 1):
                 continue
             tried = at
             stretch = h[max(start, at - size // 6) : min(stop, at + size + size // 4)].tolist()
@@ -249,6 +278,34 @@ class Index:
         return False
 
 
+class Block:
+    """The indexes of some items, one for each size of probes; items without words are in none."""
+
+    def __init__(self, items: list[tuple]) -> None:
+        hashes, of = word_hashes([t for _, t in items])
+        bounds = np.searchsorted(of, np.arange(len(items) + 1))
+        sizes: dict[int, tuple[list, list]] = {}
+        for (key, _), a, b in zip(items, bounds, bounds[1:]):
+            if b > a:
+                ids, words = sizes.setdefault(probe_size(int(b - a)), ([], []))
+                ids.append(key)
+                words.append(hashes[a:b])
+        self.indexes = [Index(ids, words, n, *((STEP, RADIUS) if n == WINDOW else (1, 0))) for n, (ids, words) in sorted(sizes.items())]
+
+    def build(self) -> None:
+        for index in self.indexes:
+            index.build()
+
+    def drop(self) -> None:
+        for index in self.indexes:
+            index.drop()
+
+    def leaks(self, texts: list[str]) -> list[tuple[int, object]]:
+        """(place in texts, item id) of every leak."""
+        h, of = word_hashes(texts)
+        return [x for index in self.indexes for x in index.leaks(h, of)] if len(h) else []
+
+
 def common(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bits."""
     places: dict[int, int] = {}
@@ -263,34 +320,44 @@ def common(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-_built: dict[str, Index] = {}
+def _blocks(items: DataFrame, key: str, text: str, block: int) -> Iterator[list[tuple]]:
+    """The items in blocks; the driver holds one block at a time."""
+    rows: list[tuple] = []
+    for r in items.select(key, text).filter(F.col(text).isNotNull()).toLocalIterator():
+        rows.append(tuple(r))
+        if len(rows) == block:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, limit: int = 1_000_000) -> DataFrame:
-    """Rows (doc_key, item_key). limit: items that are read at most; the driver holds their texts."""
-    rows = items.select(item_key, item_text).filter(F.col(item_text).isNotNull()).orderBy(item_key).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} items")
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_key, item_key). block: items of an index; each block takes a pass over the documents."""
     spark = docs.sparkSession
-    kinds = {k: f"`{k}` {df.schema[k].dataType.simpleString()}" for k, df in ((doc_key, docs), (item_key, items))}
-    kind = pa.int64() if items.schema[item_key].dataType.simpleString() == "bigint" else None
-    blocks = [spark.sparkContext.broadcast(Index([tuple(r) for r in rows[lo : lo + BLOCK]])) for lo in range(0, max(1, len(rows)), BLOCK)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [b.value for b in blocks]
-        for index in indexes:
-            if not hasattr(index, "tables"):
-                index.build()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i + 1, len(texts[i])
-                while j < len(texts) and size + len(texts[j]) <= CHUNK:
-                    size += len(texts[j])
-                    j += 1
-                found = [(i + d, k) for index in indexes for d, k in index.leaks(texts[i:j])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in found], pa.int32())), pa.array([k for _, k in found], kind)], [doc_key, item_key])
-                i = j
-
-    return docs.select(doc_key, doc_text).mapInArrow(scan, f"{kinds[doc_key]}, {kinds[item_key]}")
+    schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema[item_key].dataType)])
+    kind = to_arrow_type(items.schema[item_key].dataType)
+
+    def against(rows: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Block(rows))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            index.build()
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                i = 0
+                while i < len(texts):
+                    j, size = i + 1, len(texts[i])
+                    while j < len(texts) and size + len(texts[j]) <= CHUNK:
+                        size += len(texts[j])
+                        j += 1
+                    found = index.leaks(texts[i:j])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + d for d, _ in found], pa.int32())), pa.array([k for _, k in found], kind)], [doc_key, item_key])
+                    i = j
+            index.drop()
+
+        return docs.select(doc_key, doc_text).mapInArrow(scan, schema)
+
+    parts = [against(rows) for rows in _blocks(items, item_key, item_text, block)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)

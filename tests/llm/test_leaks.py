@@ -52,7 +52,7 @@ def corpus():
 
 def test_against_brute_force():
     texts = corpus()
-    index = L.Index(ITEMS)
+    index = L.Block(ITEMS)
     index.build()
     got = {(d, i) for d, i in index.leaks(texts)}
     plain = [L.plain(t) for t in texts]
@@ -63,7 +63,7 @@ def test_against_brute_force():
 def test_radius_is_guaranteed():
     import numpy as np
 
-    index = L.Index(ITEMS)
+    (index,) = L.Block(ITEMS).indexes
     index.build()
     r = np.random.default_rng(1)
     for k in range(40):
@@ -93,3 +93,38 @@ def test_frame(spark):
     assert got.count((0, 0)) == 2 and (1, 0) in got and all(d < 8 for d, _ in got)
     assert L.find_leaks(docs, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     assert L.find_leaks(docs.limit(0), items, "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_every_fourth_word_replaced():
+    """Exactly three quarters of an item are kept, and the others are words that no item has."""
+    index = L.Block(ITEMS)
+    index.build()
+    for first in range(4):
+        texts = []
+        for _, t in ITEMS:
+            w = t.split()
+            w = w[: len(w) // 4 * 4]  # the share of the whole item may fall below the rule
+            texts.append(" ".join(prose(20) + [f"foreign{i}{first}" if i % 4 == first else x for i, x in enumerate(w)] + prose(20)))
+        wanted = {(d, i) for d, t in enumerate(texts) for i, item in ITEMS if leaked(t, item)}
+        assert len(wanted) > 5 and set(index.leaks(texts)) >= wanted
+
+
+def test_short_items(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 25)]
+    docs = [(n, f"before it {t} after it") for n, t in items] + [(100 + n, " ".join(["w", "other", *t.split()[2:]]) if n > 8 else t.replace(f"w{n}x1", "other")) for n, t in items if n >= 4] + [(200 + n, " ".join(t.split()[: n // 2])) for n, t in items if 2 <= n < 18]
+    block = L.Block(items)
+    block.build()
+    got = {(docs[d][0], i) for d, i in block.leaks([t for _, t in docs])}
+    assert got == {(n, n) for n, _ in items} | {(100 + n, n) for n, _ in items if n >= 4}
+
+
+def test_blocks_give_the_same(spark):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    whole, parts = (sorted(map(tuple, L.find_leaks(docs, items, "doc_id", "text", "item_id", "text", block=n).collect())) for n in (1000, 7))
+    assert whole == parts and len(whole) > 60
+
+
+def test_long_markup():
+    assert L.plain("a <p class='" + "x" * 5000 + "'>b") == "a  b"
