@@ -44,7 +44,7 @@ STEP = RUN - WINDOW + 1  # between probes: a run of RUN words holds a whole one
 FOREIGN = 2  # weight of words that no item has
 RADIUS = 15
 SIMILAR = 0.3  # weighted similarity of word pairs of a window and a probe; three words in four leave 0.4 and more
-BLOCK = 2000
+BLOCK = 500  # items of an index; its tables take 50 MB of a worker, 200 MB while they are made
 CHUNK = 1 << 19
 
 _INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|sub|sup|span|font|small|mark|code)\b[^<>]*>", re.I)
