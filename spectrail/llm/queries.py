@@ -22,6 +22,10 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(spread(_p1_texts(spark, sf_dir)))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.classes(spread(_p1_texts(spark, sf_dir)))
+
+
 def _p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nmr = table(spark, sf_dir, "nmr_data", "nmr_id", "raw_text")
     gt = table(spark, sf_dir, "gt_tests", "gt_id", "test_text")
@@ -63,7 +67,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p1_classes": p1_classes, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
