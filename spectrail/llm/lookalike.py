@@ -67,8 +67,9 @@ IGNORABLE += "".join(map(chr, [*range(0xFE00, 0xFE10), *range(0xE0001, 0xE0080),
 
 _TABLE = str.maketrans(LOOKALIKE | dict.fromkeys(IGNORABLE, "") | dict.fromkeys(BLANKS, " "))
 _SPACES = str.maketrans(dict.fromkeys(BLANKS, " "))
-#: A text that holds anything but plain characters; a Russian letter makes a word odd, as others of its letters may be Latin ones.
-_ODD = re.compile("[" + "".join(sorted({*LOOKALIKE, *IGNORABLE, *BLANKS})).replace("-", "\\-") + "\u0300-\u036f\u0400-\u052f]|\r\n")
+#: A text that holds anything but plain characters; a Russian letter makes a word odd, as others of its letters may be Latin ones. Characters
+#: beyond the first plane are one range, as single ones would make the pattern slow.
+_ODD = re.compile("[" + "".join(sorted(c for c in {*LOOKALIKE, *IGNORABLE, *BLANKS} if c < "\U00010000")).replace("-", "\\-") + "\u0300-\u036f\u0400-\u052f\U00010000-\U0010ffff]|\r\n")
 _SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G"}
 SHARD = 50_000  # words of a trie
 SALTS = 8
