@@ -3,7 +3,8 @@
 ``skeleton`` masks the ordinary characters of a value and folds repetitions, so that values packed in the same way share one skeleton. The
 distinct skeletons, far fewer than values, go through ``resolve``, which decides for each what separates its values and gives one extraction
 pattern; the patterns are joined back and ``regexp_extract_all`` takes the values out by position. Masking, joining and extraction run in the
-JVM; the join is left to the optimizer, which broadcasts the rules only while their measured size allows it.
+JVM. The rules are written first, so their size is known: up to BOUND bytes they are broadcast and the values don't move; beyond, the values
+of each skeleton are spread over SALTS tasks, as one skeleton may be that of most values.
 
 Kinds of field:
 - ``paths``: file paths, separated by ; | , a line break, with or without quotes, or as a JSON list. A comma separates only behind a file
@@ -25,6 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectrail.session import cut
+
+BOUND = 8 << 20
+SALTS = 32
 KINDS = ("paths", "peaks", "numbers")
 
 #: The heading of a spectrum text: method, conditions in (nested) parentheses, axis. Fixed values.
@@ -96,7 +101,18 @@ def resolve(skeletons: DataFrame, kind: str) -> DataFrame:
     return skeletons.mapInPandas(each, "skeleton string, pattern string")
 
 
-def split_packed(df: DataFrame, key: str, column: str, kind: str) -> DataFrame:
+def with_rules(values: DataFrame, rules: DataFrame, bound: int = BOUND) -> DataFrame:
+    """The values with the pattern of their skeleton; rules of up to bound bytes are broadcast."""
+    rules = cut(rules)
+    size = rules.agg(F.coalesce(F.sum(F.octet_length("skeleton") + F.octet_length("pattern") + 32), F.lit(0))).first()[0]
+    if size <= bound:
+        return values.join(F.broadcast(rules), "skeleton")
+    salted = rules.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    spread = values.withColumn("__salt", F.pmod(F.xxhash64(*values.columns), F.lit(SALTS)).cast("int"))
+    return spread.join(salted.hint("shuffle_merge"), ["skeleton", "__salt"]).drop("__salt")
+
+
+def split_packed(df: DataFrame, key: str, column: str, kind: str, bound: int = BOUND) -> DataFrame:
     """Rows (key, pos, val): one for each value of the column, pos from 0 in the order written."""
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
@@ -106,4 +122,4 @@ def split_packed(df: DataFrame, key: str, column: str, kind: str) -> DataFrame:
     values = F.regexp_extract_all(text, F.col("pattern"), F.lit(0))
     trimmed = F.transform(values, lambda x: F.regexp_replace(x, r"^[\s\"']+|(?:(?<=\S)[\s\"']+|(?<=\w)\s*)$" if kind != "paths" else r"^[\s\"]+|^'(?=.*'\s*$)|[\s\"]+$|(?<=[A-Za-z0-9])'\s*$", ""))
     found = F.filter(trimmed, lambda x: x.rlike(r"\S"))
-    return filled.join(rules, "skeleton").select(key, F.posexplode(found).alias("pos", "val")).select(key, F.col("pos").cast("bigint").alias("pos"), "val")
+    return with_rules(filled, rules, bound).select(key, F.posexplode(found).alias("pos", "val")).select(key, F.col("pos").cast("bigint").alias("pos"), "val")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,18 @@ def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder of our own."""
+    """Take the shared folder of ``spark.checkpoint.dir``. In local mode (tests, bench) a folder of our own will do where that is unset,
+    removed at the end; on a cluster a folder of one machine would not, so it is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "spectrail-checkpoint"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spectrail-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,7 +52,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores. Only an input of fewer partitions than cores, such as one small file, is shuffled; larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """df over at least so many partitions, by default the cores. Only an input of fewer, such as one small file, is shuffled; 0 leaves all as
+    they are."""
+    least = df.sparkSession.sparkContext.defaultParallelism if least is None else least
+    return df.repartition(least) if least and df.rdd.getNumPartitions() < least else df

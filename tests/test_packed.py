@@ -62,3 +62,24 @@ def test_empty_and_long(spark):
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         P.split_packed(spark.range(1), "id", "id", "other")
+
+
+def test_rules_beyond_the_bound(spark, data):
+    """Rules too large to broadcast are joined salted, with the same rows."""
+    df = spark.read.parquet(f"{data}/spectra.parquet")
+    whole, salted = (P.split_packed(df, "spectrum_id", "text_representation", "peaks", bound=n) for n in (P.BOUND, 0))
+    assert whole.count() == salted.count() > 0 and whole.exceptAll(salted).count() == 0
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan and "broadcast" not in plan.lower()
+
+
+def test_checkpoint_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from spectrail.session import ensure_checkpoint_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
