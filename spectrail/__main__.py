@@ -10,7 +10,6 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.operators.segments import document_lines
 from spectrail.operators.tables import wide
 from spectrail.plans.pipeline import extract
 from spectrail.session import cut
@@ -28,7 +27,7 @@ def main(args: list[str] | None = None) -> None:
     pages.filter("error is not null").select("path", "error").write.mode("overwrite").parquet(f"{a.output}/errors")
     whole = pages.filter("error is null").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
     docs = whole.withColumn("f_name", F.element_at(F.split("path", "/"), -1))
-    tests = cut(extract(document_lines(docs, "f_name", "text"), "f_name"))
+    tests = cut(extract(docs, "f_name", "text"))
     sinks.write_parts(tests, f"{a.output}/tests")
     sinks.write_wide_csv(wide(tests, ["f_name", "segment", "name"], "test_type", "test_text", "hit"), f"{a.output}/wide")
 

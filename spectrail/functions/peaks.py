@@ -163,8 +163,9 @@ def confusion(true: Column, pred: Column, tol: float = 0.01) -> Column:
     return bind(true, lambda t: bind(pred, lambda p: bind(hits(t, p), lambda h: counted(t, p, h))))
 
 
-def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
-    """Unrounded; 0 where a denominator is 0."""
-    p = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
-    r = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
-    return p, r, F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+def precision_recall_f1(tp: Column, fp: Column, fn: Column, digits: int | None = None) -> tuple[Column, Column, Column]:
+    """0 where a denominator is 0. With digits, all three are rounded, and f1 is taken from the rounded others."""
+    rounded = (lambda c: c) if digits is None else lambda c: F.round(c, digits)
+    p = rounded(F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)))
+    r = rounded(F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)))
+    return p, r, rounded(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))

@@ -28,14 +28,15 @@ def leading_pictures(clustered: DataFrame, key: str, order: list[str], columns:
     return clustered.filter("x > 0").withColumn("__r", F.row_number().over(w)).filter("__r = 1").select(key, "cluster", *columns)
 
 
-def proximity(pics: DataFrame, segs: DataFrame, key: str, axis: str = "y") -> DataFrame:
+def proximity(pics: DataFrame, segs: DataFrame, key: str, axis: str = "y", carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of pictures and segments that start on the same page, with the distance of the picture's centre from the segment's top.
 
     pics: (key, page, pic, x, y, w, h); segs: (key, start_page, segment, upper_y). axis "x" measures the centre's x.
+    carry: columns of segs that the pairs keep.
     """
     centre = F.col("y") + F.col("h") / 2 if axis == "y" else F.col("x") + F.col("w") / 2
     joined = pics.join(segs.withColumnRenamed("start_page", "page"), [key, "page"])
-    return joined.select(key, "page", "pic", "segment", F.abs(centre - F.col("upper_y")).alias("distance"))
+    return joined.select(key, "page", "pic", "segment", F.abs(centre - F.col("upper_y")).alias("distance"), *carry)
 
 
 def ranked(pairs: DataFrame, key: str) -> DataFrame:
@@ -72,13 +73,13 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(scan, schema)
 
 
-def greedy_match(pairs: DataFrame, caps: DataFrame, key: str, use_max: bool = False) -> DataFrame:
+def greedy_match(pairs: DataFrame, key: str, use_max: bool = False) -> DataFrame:
     """Rows (key, pic, segment): pairs in order of distance; taken while the picture is free and the segment under its cap.
 
-    caps: (key, segment, min_cap, max_cap). First up to the min caps; with use_max the free pictures then up to the max caps. The scan is
+    pairs carry min_cap and max_cap of their segment. First up to the min caps; with use_max the free pictures then up to the max caps. The scan is
     sequential, so it runs once for each document and page (pictures and segments pair within pages only), which also splits hot documents.
     """
-    table = pairs.join(caps, [key, "segment"]).select(key, "page", "distance", "pic", "segment", "min_cap", "max_cap")
+    table = pairs.select(key, "page", "distance", "pic", "segment", "min_cap", "max_cap")
 
     def match(rows: list[tuple]) -> list[tuple]:
         used: set = set()
@@ -98,11 +99,11 @@ def greedy_match(pairs: DataFrame, caps: DataFrame, key: str, use_max: bool = Fa
 
 
 def filled_matched(segs: DataFrame, key: str, n_tests: str, n_pics: str) -> DataFrame:
-    """Rows (key, filled, matched, rate): segments with tests, those of them with pictures, and their share; documents without filled ones
-    have a null rate."""
+    """Rows (key, filled, matched, rate): segments with tests, those of them with pictures, and their share to 2 decimals; documents without
+    filled ones give no row."""
     filled = F.count_if(F.col(n_tests) > 0)
     matched = F.count_if((F.col(n_tests) > 0) & (F.col(n_pics) > 0))
-    return segs.groupBy(key).agg(filled.alias("filled"), matched.alias("matched")).withColumn("rate", F.try_divide("matched", "filled"))
+    return segs.groupBy(key).agg(filled.alias("filled"), matched.alias("matched")).filter("filled > 0").withColumn("rate", F.round(F.col("matched") / F.col("filled"), 2))
 
 
 # --- optimal assignment -------------------------------------------------------------------------------------------------------------
@@ -164,6 +165,11 @@ def best_assignment(scores: DataFrame, key: str, left: str, right: str, score: s
 
 
 def mean_of_factors(factors: list[Column]) -> Column:
-    """The mean of the factors that count: those above 0; 0 if none does."""
-    array = F.filter(F.array(*factors), lambda x: x > 0)
-    return F.when(F.size(array) > 0, F.aggregate(array, F.lit(0.0), lambda a, x: a + x) / F.size(array)).otherwise(F.lit(0.0))
+    """The mean of the factors that count, those above 0, to 2 decimals; 0 if none does."""
+    return mean_of(F.array(*factors))
+
+
+def mean_of(factors: Column) -> Column:
+    """mean_of_factors of an array."""
+    array = F.filter(factors, lambda x: x > 0)
+    return F.round(F.when(F.size(array) > 0, F.aggregate(array, F.lit(0.0), lambda a, x: a + x) / F.size(array)).otherwise(F.lit(0.0)), 2)

@@ -19,11 +19,11 @@ def paired_tests(gt: DataFrame, other: DataFrame, keys: list[str], order: str) -
 
 
 def test_scores(pairs: DataFrame, tol: float = 0.01) -> DataFrame:
-    """Adds tp, fp, fn, precision, recall, f1 (unrounded) of the peaks of test_text and other_text."""
+    """Adds tp, fp, fn, precision, recall, f1 of the peaks of test_text and other_text, the last three to 2 decimals."""
     c = P.confusion(P.positions(F.col("test_text"), F.col("test_type")), P.positions(F.col("other_text"), F.col("test_type")), tol)
     with_c = pairs.withColumn("__c", c)
     tp, fp, fn = (F.col(f"__c.{x}") for x in ("tp", "fp", "fn"))
-    p, r, f1 = P.precision_recall_f1(tp, fp, fn)
+    p, r, f1 = P.precision_recall_f1(tp, fp, fn, 2)
     return with_c.select(*pairs.columns, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 

@@ -16,12 +16,16 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return S.document_lines(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents", "doc_id", "text"))
+
+
 def extracted_tests(spark, d):
-    return pipeline.extract(_lines(spark, d), "doc_id")
+    return pipeline.extract(_docs(spark, d), "doc_id", "text")
 
 
 def extracted_sequences(spark, d):
-    return pipeline.sequences(pipeline.segment_tests(pipeline.segment_table(_lines(spark, d), "doc_id"), "doc_id"), "doc_id").withColumn("types", F.array_join("types", ","))
+    return pipeline.sequences(_docs(spark, d), "doc_id", "text").withColumn("types", F.array_join("types", ","))
 
 
 def recovered_tests(spark, d):

@@ -108,7 +108,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     lead = M.leading_pictures(_clusters(spark, d), "doc", ["det"], ["page", "x", "y", "w", "h"]).withColumnRenamed("cluster", "pic")
-    return M.proximity(lead, _segments(spark, d).select("doc", "segment", "start_page", "upper_y"), "doc")
+    return M.proximity(lead, _segments(spark, d), "doc", carry=("min_cap", "max_cap"))
 
 
 def pic_clusters(spark, d):
@@ -120,11 +120,11 @@ def leading_pics(spark, d):
 
 
 def proximity_pairs(spark, d):
-    return M.ranked(_pairs(spark, d), "doc")
+    return M.ranked(_pairs(spark, d).drop("min_cap", "max_cap"), "doc")
 
 
 def greedy_match(spark, d):
-    return M.greedy_match(_pairs(spark, d), _segments(spark, d).select("doc", "segment", "min_cap", "max_cap"), "doc", use_max=True)
+    return M.greedy_match(_pairs(spark, d), "doc", use_max=True)
 
 
 def filled_matched_rate(spark, d):
@@ -195,10 +195,9 @@ def pair_scores(spark, d):
     true = g.filter(F.col("test_type").isin(*TEST_TYPES) & F.col("test_text").isNotNull()).select("f_name", "molecule_name", "test_type", "test_text").distinct().select("*", peaks("test_text").alias("a"), part.alias("part"))
     first = _wide_tests(spark, d).filter("molecule_name is not null").groupBy("f_name", F.col("molecule_name").alias("extracted_name"), "test_type").agg(F.min_by("test_text", "wide_id").alias("other"))
     tests = true.join(first.select("*", peaks("other").alias("b")).select("*", parts), ["f_name", "test_type", "part"]).select(*keys, "test_text", "other", P.confusion(F.col("a"), F.col("b")).alias("c")).filter("c.tp > 0")
-    f1 = P.precision_recall_f1(F.col("c.tp"), F.col("c.fp"), F.col("c.fn"))[2]
+    f1 = P.precision_recall_f1(F.col("c.tp"), F.col("c.fp"), F.col("c.fn"), 2)[2]
     scored = tests.select(*keys, F.array(compared(F.col("test_text"), F.col("other")), f1).alias("s")).groupBy(*keys).agg(F.flatten(F.collect_list("s")).alias("test_scores"))
-    factors = F.filter(F.concat(F.array("smiles_score", "name_score"), F.coalesce("test_scores", F.array().cast("array<double>"))), lambda x: x > 0)
-    mean = F.when(F.size(factors) > 0, F.aggregate(factors, F.lit(0.0), lambda s, x: s + x) / F.size(factors)).otherwise(F.lit(0.0))
+    mean = M.mean_of(F.concat(F.array("smiles_score", "name_score"), F.coalesce("test_scores", F.array().cast("array<double>"))))
     return both.join(scored, keys, "left").select(*keys, mean.alias("score"))
 
 
@@ -403,8 +402,8 @@ bothp AS (SELECT pt.gt_id, pt.f_name, pt.molecule_name, pt.test_type, coalesce(a
 near AS (SELECT *, list_transform(b, lambda p: CASE WHEN list_min(list_transform(a, lambda t: abs(t - p))) <= 0.01 THEN list_position(list_transform(a, lambda t: abs(t - p)), list_min(list_transform(a, lambda t: abs(t - p)))) END) AS j FROM bothp),
 hits AS (SELECT *, len(list_distinct(list_filter(j, lambda i: i IS NOT NULL))) AS h FROM near),
 cm AS (SELECT gt_id, f_name, molecule_name, test_type, CASE WHEN len(a) > 0 THEN h ELSE 0 END AS tp, CASE WHEN len(a) > 0 THEN len(b) - h ELSE 0 END AS fp, CASE WHEN len(a) > 0 THEN len(a) - h ELSE 0 END AS fn FROM hits),
-pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM cm),
-scored AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM pr)"""
+pr AS (SELECT *, CAST(round(CAST(CAST(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS precision, CAST(round(CAST(CAST(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS recall FROM cm),
+scored AS (SELECT *, CAST(round(CAST(CAST(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS f1 FROM pr)"""
 BOXES = "boxes AS (SELECT nmr_id, f_name, CAST(provenance.page_number AS BIGINT) AS page, provenance.bbox AS box FROM nmr_data WHERE provenance.bbox IS NOT NULL AND provenance.page_number IS NOT NULL)"
 FILES = "files AS (SELECT f_name, count(DISTINCT molecule_name) AS molecules, " + ", ".join(f"count(CASE WHEN test_type = '{k}' THEN 1 END) AS {B.column_name(k)}" for k in TEST_TYPES) + " FROM gt_tests WHERE f_name IS NOT NULL GROUP BY f_name)"
 COLOURED = "coloured AS (SELECT test_type, [" + ", ".join(f"'{c}'" for c in COLOURS) + "][r] AS colour FROM (SELECT test_type, row_number() OVER (ORDER BY test_type) AS r FROM (SELECT DISTINCT test_type FROM spectra WHERE test_type IS NOT NULL)) WHERE r <= 8)"
@@ -443,13 +442,13 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT l.doc, l.page, l.cluster AS pic, s.segment, abs(l.y + 4.0::DOUBLE - s.u) AS distance FROM lead_pics l JOIN s ON s.doc = l.doc AND s.page = l.page)
             SELECT *, row_number() OVER (PARTITION BY doc ORDER BY distance, pic, segment) AS rank FROM p""",
         "filled_matched_rate": """WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT o_custkey % 24 AS doc, coalesce(n, 0) AS t, o_orderkey % 3 AS p FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
-            a AS (SELECT doc, count(CASE WHEN t > 0 THEN 1 END) AS filled, count(CASE WHEN t > 0 AND p > 0 THEN 1 END) AS matched FROM s GROUP BY doc) SELECT doc, filled, matched, CASE WHEN filled > 0 THEN matched / filled END AS rate FROM a""",
+            a AS (SELECT doc, count(CASE WHEN t > 0 THEN 1 END) AS filled, count(CASE WHEN t > 0 AND p > 0 THEN 1 END) AS matched FROM s GROUP BY doc) SELECT doc, filled, matched, round(matched / filled, 2) AS rate FROM a WHERE filled > 0""",
         "peak_confusion": f"WITH {CONFUSION} SELECT * FROM scored",
         "score_summary": f"WITH {CONFUSION} SELECT count(f1) AS n, avg(f1) AS mean, stddev_pop(f1) AS std_pop, stddev_samp(f1) AS std_samp FROM scored",
         "metric_summary": f"WITH {CONFUSION} SELECT avg(precision) AS mean_precision, avg(recall) AS mean_recall, avg(f1) AS mean_f1, CAST(sum(tp) AS BIGINT) AS sum_tp, CAST(sum(fp) AS BIGINT) AS sum_fp, CAST(sum(fn) AS BIGINT) AS sum_fn FROM scored",
         "metric_filter": f"WITH {CONFUSION} SELECT gt_id, f1 FROM scored WHERE precision >= 0.8 AND recall >= 0.5",
         "molecule_scores": f"""WITH {CONFUSION}, m AS (SELECT f_name, molecule_name, list_filter([{', '.join(f"max(CASE WHEN test_type = '{k}' AND tp > 0 THEN f1 END)" for k in TEST_TYPES)}], lambda x: x > 0) AS f FROM scored GROUP BY f_name, molecule_name)
-            SELECT f_name, molecule_name, CASE WHEN len(f) > 0 THEN list_sum(f) / len(f) ELSE 0.0::DOUBLE END AS score FROM m""",
+            SELECT f_name, molecule_name, CAST(round(CAST(CAST(CASE WHEN len(f) > 0 THEN list_reduce(f, lambda a, b: a + b) / len(f) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS score FROM m""",
         "entity_prf": """WITH p AS (SELECT DISTINCT molecule_smiles_by_images AS s FROM wide_records WHERE molecule_smiles_by_images IS NOT NULL), g AS (SELECT DISTINCT smiles AS s FROM molecules WHERE smiles IS NOT NULL),
             c AS (SELECT (SELECT count(*) FROM p WHERE s IN (SELECT s FROM g)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng),
             r AS (SELECT tp, np - tp AS fp, ng - tp AS fn, CASE WHEN np > 0 THEN tp / np ELSE 0.0::DOUBLE END AS precision, CASE WHEN ng > 0 THEN tp / ng ELSE 0.0::DOUBLE END AS recall FROM c)
@@ -478,6 +477,6 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
             UNION ALL SELECT 'anti', count(*) FROM a WHERE f_name NOT IN (SELECT f_name FROM b) UNION ALL SELECT 'semi', count(*) FROM a WHERE f_name IN (SELECT f_name FROM b)""",
         "sorted_tests": "SELECT gt_id, molecule_name FROM gt_tests WHERE molecule_name IS NOT NULL ORDER BY molecule_name, gt_id LIMIT 50",
-        "serial_groups": "SELECT serial, array_to_string(list_sort(list(name)), ';') AS names FROM (SELECT molecule_id || '_full' AS name, string_split(molecule_id || '_full', '_')[-2] AS serial FROM molecules WHERE right(molecule_id, 1) = '7') GROUP BY serial",
+        "serial_groups": "SELECT serial, array_to_string(list_sort(list(name)), ';') AS names FROM (SELECT molecule_id || '_full' AS name, string_split(molecule_id || '_full', '_')[-2] AS serial FROM molecules) GROUP BY serial",
         "number_shapes": "SELECT CAST(length(regexp_extract(trim(coupling_constants), '^-?\\d+\\.(\\d+)$', 1)) AS BIGINT) AS decimals, count(*) AS n FROM nmr_peaks GROUP BY 1",
     }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spectrail.functions import peaks as P
 from spectrail.functions import text as X
-from spectrail.functions.tokens import ENDERS, LINE_NOISE, NAME_TOKENS, TAG, TEST_FAMILIES, TEST_TYPES
+from spectrail.functions.tokens import TEST_FAMILIES, TEST_TYPES
+from spectrail.operators import documents as D
 from spectrail.operators import segments as S
 from spectrail.session import spread, table
 
@@ -41,34 +42,70 @@ def first_over(spark: SparkSession, d: str) -> DataFrame:
     return S.first_over(_stats(spark, d), "doc_id")
 
 
+def _segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Segments from documents as rows: no shuffle."""
+    docs = spread(table(spark, d, "documents", "doc_id", "text"))
+    return D.segment_arrays(docs, "doc_id", "text").select("doc_id", F.inline("segments"))
+
+
+def _span(rows: DataFrame, per_page: int = S.LINES_PER_PAGE) -> DataFrame:
+    first = F.col("first").cast("bigint")
+    last = first + F.size("lines") - 1
+    page = lambda c: F.floor(c / per_page)
+    return rows.select("doc_id", F.col("segment").cast("bigint").alias("segment"), first.alias("first_seq"), last.alias("last_seq"), page(first).alias("start_page"), page(last).alias("end_page"), F.size("lines").cast("bigint").alias("n_lines"))
+
+
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    return S.segments(lines, S.segment_starts(S.line_statistics(lines, "doc_id"), "doc_id"), "doc_id")
+    return _span(_segment_rows(spark, d))
 
 
 def segment_names(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    inside = S.segment_lines(lines, S.segment_starts(S.line_statistics(lines, "doc_id"), "doc_id"), "doc_id")
-    return S.segment_names(inside, "doc_id")
+    return _segment_rows(spark, d).select("doc_id", F.col("segment").cast("bigint").alias("segment"), D.name_of(F.col("lines")).alias("name"))
 
 
 def segment_pages(spark: SparkSession, d: str) -> DataFrame:
     return S.segment_pages(segments(spark, d), "doc_id")
 
 
+#: Lines of a page for long_segments: pages of the usual size hold whole documents here.
+SHORT_PAGE = 4
+
+
 def long_segments(spark: SparkSession, d: str) -> DataFrame:
-    return S.split_long(segments(spark, d), "doc_id", 1).select("doc_id", "segment", "n_lines")
+    """All segments, those that span more than two pages located again: where they begin then and how many lines they have."""
+    docs = D.line_arrays(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
+    segs = docs.select("doc_id", "lines", "stats", D.starts(F.col("stats")).alias("at")).select("doc_id", "lines", "stats", D.cut(F.col("lines"), F.col("at")).alias("segs"))
+    again = segs.select("doc_id", F.inline(D.relocated(F.col("segs"), F.col("stats"), F.col("lines"), per_page=SHORT_PAGE)))
+    return _span(again).select("doc_id", "segment", "first_seq", "n_lines")
 
 
 OPTIONS = [(i, float(t), float(s)) for i, (t, s) in enumerate((t, s) for t in (40, 60, 80) for s in (20, 30, 40))]
 
 
+def _option_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (doc_id, option, seq): the lines that open segments under each option, all from one pass of statistics."""
+    docs = D.line_arrays(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
+    each = F.array(*(F.struct(F.lit(i).alias("option"), D.starts(F.col("stats"), t, s).alias("at")) for i, t, s in OPTIONS))
+    return docs.select("doc_id", F.inline(each)).select("doc_id", "option", F.explode("at").alias("seq"))
+
+
 def option_grid(spark: SparkSession, d: str) -> DataFrame:
-    options = spark.createDataFrame(OPTIONS, "option int, tokens double, spaces double")
-    starts = S.option_starts(_stats(spark, d), "doc_id", options)
-    counts = starts.groupBy("doc_id", "option").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max_by(F.struct("option", "n"), F.struct("n", -F.col("option")))
-    return counts.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.option").alias("option"), F.col("b.n").alias("n"))
+    counts = _option_starts(spark, d).groupBy("doc_id", "option").agg(F.count(F.lit(1)).alias("n"))
+    return D.best_option(counts, "doc_id")
+
+
+def option_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The option under which most segments get a picture of the page they start on; the first one where none does.
+
+    Every segment takes one picture, and all on a page fit, so a page matches as many as the smaller of both numbers. Pictures are those that
+    nmr_data found in images of the document's file, on every third page as documents here are short.
+    """
+    pics = table(spark, d, "nmr_data", "f_name", "provenance").filter("provenance.modality = 'image' and provenance.page_number is not null").groupBy("f_name", (F.col("provenance.page_number") % 3).cast("bigint").alias("page")).agg(F.count(F.lit(1)).alias("pics"))
+    names = table(spark, d, "documents", "doc_id", "f_name", "text").filter("text is not null").select("doc_id", "f_name")
+    segs = _option_starts(spark, d).groupBy("doc_id", "option", F.floor(F.col("seq") / S.LINES_PER_PAGE).alias("page")).agg(F.count(F.lit(1)).alias("segs"))
+    matched = segs.join(names, "doc_id").join(pics, ["f_name", "page"]).groupBy("doc_id", "option").agg(F.sum(F.least("segs", "pics")).alias("n"))
+    every = names.select("doc_id").join(D.best_option(matched, "doc_id"), "doc_id", "left")
+    return every.select("doc_id", F.coalesce("option", F.lit(0)).alias("option"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def keyword_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +144,7 @@ def cut_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gt_tests", "gt_id", "test_text").filter("test_text is not null").select(
         "gt_id",
         X.cut_at_second(t, "NMR").alias("first_only"),
-        X.cut_at_enders(t, ("Rf", "HRMS", "HPLC")).alias("before_ender"),
+        X.cut_at_enders(t).alias("before_ender"),
         X.cut_after_bracket(t).alias("to_bracket"),
         X.trim_left_junk(t).alias("trimmed"),
         X.repair_labels(t).alias("relabelled"),
@@ -177,7 +214,7 @@ def page_count(spark: SparkSession, d: str) -> DataFrame:
     return count(search(table(spark, d, "documents", "text"), ["text"], "solvent"), 25)
 
 
-_NAMES = [doc_lines, line_stats, segment_starts, first_over, segments, segment_names, segment_pages, long_segments, option_grid, keyword_lines, look_around, window_texts, compound_tags, doc_metadata, clean_texts, cut_texts, normal_types, peak_strings, nmr_h_peaks, nmr_c_peaks, ir_bands, ms_peaks, parse_dispatch, splitting_sticks, text_search, page_count]
+_NAMES = [doc_lines, line_stats, segment_starts, first_over, segments, segment_names, segment_pages, long_segments, option_grid, option_matches, keyword_lines, look_around, window_texts, compound_tags, doc_metadata, clean_texts, cut_texts, normal_types, peak_strings, nmr_h_peaks, nmr_c_peaks, ir_bands, ms_peaks, parse_dispatch, splitting_sticks, text_search, page_count]
 
 
 def queries() -> dict:
@@ -186,25 +223,34 @@ def queries() -> dict:
 
 # --- SQL ----------------------------------------------------------------------------------------------------------------------------
 
+# Fixed values, written out once more so that the SQL doesn't take them from what it checks: name fragments, locants, section words, tag.
+_FRAGMENTS = (
+    "carboxylate phosphate isopropyl azetidin methoxy benzene methane propane uronium ethane phenyl chloro fluoro methyl propan benzyl "
+    "hydryl thione sodium butan butyl hydro carbo tetra allyl sulfo azete amido pival olate thio tert benz nate piva late loyl azin hexa "
+    "ace tri oxy oxo one hyl ane ate tol tyl bis nyl ol di en yl"
+).split()
+_TOKENS = "|".join([*_FRAGMENTS, *(x[0].upper() + x[1:] for x in _FRAGMENTS)]) + r"|-\d+,\d+,\d+-|-\d+,\d+-|-\d+-|\d+-|-\d+|\(\d*S\)|\(\d*R\)|\(\d*E\)|\(\d*Z\)"
+_NOISE = ("Experimental", "experimental", "10.09.08.07.06.05.04.03.02.01.00.0-1.0")
+_TAG = r"\(\d+[A-Za-z]?\)"
+
 LINES = "lines AS (SELECT doc_id, i AS seq, i // 50 AS page, i % 50 AS line, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS i FROM documents WHERE text IS NOT NULL))"
 _T = "text"
-for _n in LINE_NOISE:
+for _n in _NOISE:
     _T = f"replace({_T}, {q(_n)}, '')"
 STATS = f"""{LINES}, edited AS (SELECT doc_id, seq, text, {_T} AS t FROM lines),
-stats AS (SELECT doc_id, seq, 200.0::DOUBLE * len(regexp_extract_all(t, {q(NAME_TOKENS)})) / length(t) AS likelihood, CAST(length(t) - length(replace(t, ' ', '')) AS BIGINT) AS spaces
+stats AS (SELECT doc_id, seq, 200.0::DOUBLE * len(regexp_extract_all(t, {q(_TOKENS)})) / length(t) AS likelihood, CAST(length(t) - length(replace(t, ' ', '')) AS BIGINT) AS spaces
 FROM edited WHERE length(replace(t, ' ', '')) > 10 AND NOT starts_with(text, 'Rf') AND NOT starts_with(text, 'mp'))"""
 STARTS = f"""{STATS}, marks AS (SELECT doc_id, quantile_cont(likelihood, 0.8) AS mt, quantile_cont(spaces, 0.35) AS ms FROM stats GROUP BY doc_id),
 starts AS (SELECT s.doc_id, s.seq FROM stats s JOIN marks m USING (doc_id) WHERE s.likelihood > m.mt AND s.spaces < m.ms)"""
 INSIDE = f"""{STARTS}, inside AS (SELECT * FROM (SELECT l.*, CAST(sum(CASE WHEN s.seq IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.doc_id ORDER BY l.seq) AS BIGINT) AS segment
 FROM lines l LEFT JOIN starts s ON s.doc_id = l.doc_id AND s.seq = l.seq) WHERE segment > 0)"""
 SEGMENTS = f"""{INSIDE}, segs AS (SELECT doc_id, segment, min(seq) AS first_seq, max(seq) AS last_seq, min(page) AS start_page, max(page) AS end_page, count(*) AS n_lines FROM inside GROUP BY doc_id, segment)"""
-_HIT = "CASE " + " ".join(f"WHEN contains(text, {q(w)}) THEN {q(w)}" for w in TEST_FAMILIES) + " END"
-HITS = f"{LINES}, hits AS (SELECT doc_id, seq, {_HIT} AS word FROM lines WHERE {_HIT} IS NOT NULL)"
-AROUND = f"{HITS}, around AS (SELECT l.doc_id, h.seq AS hit, l.seq, l.text FROM lines l JOIN hits h ON h.doc_id = l.doc_id AND l.seq >= h.seq - 1 AND l.seq < h.seq + 20)"
+HITS = f"{LINES}, hits AS (SELECT doc_id, seq, word FROM lines JOIN (SELECT unnest(['NMR', 'IR', 'Rf', 'HRMS']) AS word) f ON contains(text, word))"
+AROUND = f"{HITS}, around AS (SELECT l.doc_id, h.seq AS hit, l.seq, l.text FROM lines l JOIN (SELECT DISTINCT doc_id, seq FROM hits) h ON h.doc_id = l.doc_id AND l.seq >= h.seq - 1 AND l.seq < h.seq + 20)"
 
 
 def _name(t: str) -> str:
-    return f"nullif(trim(regexp_extract({t}, {q('(?s)^(.*?)' + TAG)}, 1)), '')"
+    return f"nullif(trim(regexp_extract({t}, {q('(?s)^(.*?)' + _TAG)}, 1)), '')"
 
 
 def _safe(t: str) -> str:
@@ -283,6 +329,14 @@ def _label(key: str, names: str) -> str:
     return f"nullif(trim(regexp_extract(t, '(?i)(?:{names}):\\s*{value}', 1)), '')"
 
 
+#: Peak positions of all types, rows (gt_id, p) of ps.
+POSITIONS = f"""{H_PEAKS.replace('src AS', 'src1 AS').replace('FROM src)', 'FROM src1)').replace(' t AS', ' t1 AS').replace('FROM t)', 'FROM t1)')},
+            {C_PEAKS.replace('src AS', 'src2 AS').replace('FROM src)', 'FROM src2)').replace(' t AS', ' t2 AS').replace('FROM t)', 'FROM t2)')},
+            {IR.replace('src AS', 'src3 AS').replace('FROM src)', 'FROM src3)').replace(' t AS', ' t3 AS').replace('FROM t)', 'FROM t3)')},
+            {MS.replace('src AS', 'src4 AS').replace('FROM src)', 'FROM src4)').replace(' t AS', ' t4 AS').replace('FROM t)', 'FROM t4)')},
+            ps AS (SELECT gt_id, shift AS p FROM hp UNION ALL SELECT gt_id, unnest(c) FROM cp UNION ALL SELECT gt_id, wn FROM bands UNION ALL SELECT gt_id, unnest(list_transform(ps, lambda r: r[1])) FROM mp)"""
+
+
 def oracle_sql() -> dict[str, str]:
     grid = ", ".join(f"({i}, {t / 100}, {s / 100})" for i, t, s in OPTIONS)
     return {
@@ -294,7 +348,18 @@ def oracle_sql() -> dict[str, str]:
         "segment_names": f"""WITH {INSIDE}, l AS (SELECT doc_id, segment, list(text ORDER BY seq)[1:3] AS l FROM inside GROUP BY doc_id, segment)
             SELECT doc_id, segment, {_safe(f"coalesce({_name('l[1]')}, {_name('array_to_string(l[1:2], chr(0))').replace('chr(0)', chr(39) * 2)}, {_name('array_to_string(l, chr(0))').replace('chr(0)', chr(39) * 2)}, l[1])")} AS name FROM l""",
         "segment_pages": f"WITH {SEGMENTS} SELECT doc_id, segment, unnest(range(start_page, end_page + 1)) AS page FROM segs",
-        "long_segments": f"WITH {SEGMENTS} SELECT doc_id, segment, n_lines FROM segs WHERE end_page - start_page > 1",
+        "long_segments": f"""WITH {SEGMENTS}, wide AS (SELECT * FROM segs WHERE last_seq // 4 - first_seq // 4 > 1),
+            own AS (SELECT w.doc_id, w.segment, s.seq, s.likelihood, s.spaces FROM wide w JOIN stats s ON s.doc_id = w.doc_id AND s.seq BETWEEN w.first_seq AND w.last_seq),
+            m2 AS (SELECT doc_id, segment, quantile_cont(likelihood, 0.5) AS mt2, quantile_cont(spaces, 0.25) AS ms2 FROM own GROUP BY doc_id, segment),
+            again AS (SELECT o.doc_id, o.segment, max(o.seq) AS seq FROM own o JOIN m2 USING (doc_id, segment) WHERE o.likelihood > mt2 AND o.spaces < ms2 GROUP BY o.doc_id, o.segment)
+            SELECT g.doc_id, g.segment, coalesce(a.seq, g.first_seq) AS first_seq, g.last_seq - coalesce(a.seq, g.first_seq) + 1 AS n_lines FROM segs g LEFT JOIN again a ON a.doc_id = g.doc_id AND a.segment = g.segment""",
+        "option_matches": f"""WITH {STATS}, o(option, t, s) AS (VALUES {grid}),
+            m AS (SELECT doc_id, option, QT AS mt, QS AS ms FROM (SELECT * FROM stats CROSS JOIN o) GROUP BY doc_id, option, t, s),
+            n AS (SELECT s.doc_id, m.option, s.seq // 50 AS page, count(*) AS segs FROM stats s JOIN m USING (doc_id) WHERE s.likelihood > m.mt AND s.spaces < m.ms GROUP BY 1, 2, 3),
+            p AS (SELECT f_name, provenance.page_number % 3 AS page, count(*) AS pics FROM nmr_data WHERE provenance.modality = 'image' AND provenance.page_number IS NOT NULL GROUP BY 1, 2),
+            k AS (SELECT n.doc_id, n.option, sum(least(segs, pics)) AS n FROM n JOIN documents d ON d.doc_id = n.doc_id JOIN p ON p.f_name = d.f_name AND p.page = n.page GROUP BY 1, 2),
+            b AS (SELECT doc_id, option, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, option) AS r FROM k) WHERE r = 1)
+            SELECT d.doc_id, coalesce(b.option, 0) AS option, CAST(coalesce(b.n, 0) AS BIGINT) AS n FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id WHERE d.text IS NOT NULL""".replace("QT", _quantiles("likelihood", 1)).replace("QS", _quantiles("spaces", 2)),
         "option_grid": f"""WITH {STATS}, o(option, t, s) AS (VALUES {grid}),
             m AS (SELECT doc_id, option, quantile_cont(likelihood, t) AS mt, quantile_cont(spaces, s) AS ms FROM (SELECT * FROM stats CROSS JOIN o) GROUP BY doc_id, option, t, s),
             n AS (SELECT s.doc_id, m.option, count(*) AS n FROM stats s JOIN m USING (doc_id) WHERE s.likelihood > m.mt AND s.spaces < m.ms GROUP BY s.doc_id, m.option)
@@ -303,7 +368,7 @@ def oracle_sql() -> dict[str, str]:
         "look_around": f"WITH {AROUND} SELECT doc_id, hit, seq FROM around",
         "window_texts": f"""WITH {AROUND}, e AS (SELECT *, string_agg(text, '') OVER (PARTITION BY doc_id, hit ORDER BY seq) AS so_far FROM around)
             SELECT doc_id, hit, CAST(max(length(so_far)) AS BIGINT) AS length, min(CASE WHEN contains(so_far, 'NMR') THEN seq END) AS nmr_seq FROM e GROUP BY doc_id, hit""",
-        "compound_tags": f"WITH {LINES} SELECT doc_id, seq, regexp_extract(text, {q(TAG)}) AS tag, {_safe(_name('text'))} AS name FROM lines WHERE regexp_matches(text, {q(TAG)})",
+        "compound_tags": f"WITH {LINES} SELECT doc_id, seq, regexp_extract(text, {q(_TAG)}) AS tag, {_safe(_name('text'))} AS name FROM lines WHERE regexp_matches(text, {q(_TAG)})",
         "doc_metadata": f"""WITH d AS (SELECT doc_id, {_HEADER} || text AS t FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM d)
             SELECT doc_id, coalesce({_label('title', 'Title|Thesis Title')}, trim(ls[1])) AS title,
             coalesce({_label('author', 'Author|Candidate')}, trim(list_last(string_split(trim(list_filter(ls, lambda x: contains(lower(x), 'by'))[1]), 'by')))) AS author,
@@ -313,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_texts": f"""SELECT gt_id, regexp_replace(rtrim(replace(replace(replace(test_text, chr(10), ' '), chr(61623), ' '), ';', ' ')), '13C \\(([^)]*MHz[^)]*)\\)', '13C NMR (\\1)', 'g') AS clean,
             regexp_replace(test_text, {q(_CH)}, '', 'g') AS unmarked, {_BARE.format(t='test_text')} AS bare FROM gt_tests WHERE test_text IS NOT NULL""",
         "cut_texts": f"""SELECT gt_id, CASE WHEN instr(substr(test_text, 16), 'NMR') > 0 THEN substr(test_text, 1, 14 + instr(substr(test_text, 16), 'NMR')) ELSE test_text END AS first_only,
-            {_enders(('Rf', 'HRMS', 'HPLC'))} AS before_ender,
+            {_enders(('NMR', 'IR', 'Rf', 'HRMS', 'HPLC', 'ESI-MS'))} AS before_ender,
             CASE WHEN contains(regexp_extract(test_text, '(?s)^(.*\\))', 1), ':') THEN regexp_extract(test_text, '(?s)^(.*\\))', 1) ELSE test_text END AS to_bracket,
             CASE WHEN {_JUNK} > 0 THEN substr(test_text, {_JUNK} + 1) ELSE test_text END AS trimmed, {_REL} AS relabelled, substr(test_text, 1, instr(test_text, 'R')) AS kind FROM gt_tests WHERE test_text IS NOT NULL""",
         "normal_types": """SELECT CASE WHEN contains(test_type, '13C') AND contains(test_type, 'NMR') THEN '13C NMR' ELSE test_type END AS kind, count(*) AS n,
@@ -324,11 +389,7 @@ def oracle_sql() -> dict[str, str]:
         "nmr_c_peaks": f"WITH {C_PEAKS} SELECT gt_id, CAST(i - 1 AS BIGINT) AS pos, shift FROM (SELECT gt_id, unnest(c) AS shift, generate_subscripts(c, 1) AS i FROM cp)",
         "ir_bands": f"WITH {IR} SELECT gt_id, pos, wn, intensity, broad, raw FROM bands",
         "ms_peaks": f"WITH {MS} SELECT gt_id, CAST(i - 1 AS BIGINT) AS pos, p[1] AS mz, p[2] AS intensity FROM (SELECT gt_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM mp)",
-        "parse_dispatch": f"""WITH {H_PEAKS.replace('src AS', 'src1 AS').replace('FROM src)', 'FROM src1)').replace(' t AS', ' t1 AS').replace('FROM t)', 'FROM t1)')},
-            {C_PEAKS.replace('src AS', 'src2 AS').replace('FROM src)', 'FROM src2)').replace(' t AS', ' t2 AS').replace('FROM t)', 'FROM t2)')},
-            {IR.replace('src AS', 'src3 AS').replace('FROM src)', 'FROM src3)').replace(' t AS', ' t3 AS').replace('FROM t)', 'FROM t3)')},
-            {MS.replace('src AS', 'src4 AS').replace('FROM src)', 'FROM src4)').replace(' t AS', ' t4 AS').replace('FROM t)', 'FROM t4)')},
-            ps AS (SELECT gt_id, shift AS p FROM hp UNION ALL SELECT gt_id, unnest(c) FROM cp UNION ALL SELECT gt_id, wn FROM bands UNION ALL SELECT gt_id, unnest(list_transform(ps, lambda r: r[1])) FROM mp)
+        "parse_dispatch": f"""WITH {POSITIONS}
             SELECT g.gt_id, g.test_type, count(p) AS n, min(p) AS lowest, max(p) AS highest FROM gt_tests g LEFT JOIN ps USING (gt_id) WHERE g.test_type IN ('1H NMR', '13C NMR', 'IR', 'MS') GROUP BY g.gt_id, g.test_type""",
         "splitting_sticks": f"""WITH {H_PEAKS}, f AS (SELECT gt_id, pos, shift AS c, lower(trim(mult)) AS m, coalesce(integ, 1.0::DOUBLE) AS i, coalesce(j[1], 7.0::DOUBLE) / greatest(mhz, 60.0::DOUBLE) AS j1, j[2] / greatest(mhz, 60.0::DOUBLE) AS j2 FROM hp),
             g AS (SELECT *, j1 / 2 AS d1, coalesce(j2 / 2, j1 / 2 * 0.7::DOUBLE) AS d2 FROM f),

@@ -81,9 +81,10 @@ def test_assignment_is_optimal():
 def test_greedy_match(spark):
     pairs = spark.createDataFrame([(1, 1, 10, 100, 1.0), (1, 1, 10, 101, 2.0), (1, 1, 11, 100, 3.0), (1, 1, 12, 100, 3.0), (1, 2, 13, 102, 0.0)], "d bigint, page bigint, pic bigint, segment bigint, distance double")
     caps = spark.createDataFrame([(1, 100, 1, 2), (1, 101, 1, 1), (1, 102, 0, 0)], "d bigint, segment bigint, min_cap bigint, max_cap bigint")
-    assert sorted(map(tuple, M.greedy_match(pairs, caps, "d").collect())) == [(1, 10, 100)]
-    assert sorted(map(tuple, M.greedy_match(pairs, caps, "d", True).collect())) == [(1, 10, 100), (1, 11, 100)]
-    assert M.greedy_match(pairs.limit(0), caps, "d").count() == 0
+    pairs = pairs.join(caps, ["d", "segment"])
+    assert sorted(map(tuple, M.greedy_match(pairs, "d").collect())) == [(1, 10, 100)]
+    assert sorted(map(tuple, M.greedy_match(pairs, "d", True).collect())) == [(1, 10, 100), (1, 11, 100)]
+    assert M.greedy_match(pairs.limit(0), "d").count() == 0
 
 
 def test_best_assignment(spark):
