@@ -83,7 +83,7 @@ def test_merging():
     assert D.merging([[h, c], [h], [c], [h, c], [h, c]]) == [[0], [4]]  # a chain that holds two is left out
     assert D.merging([[h, c], [], [h, c], []]) == [[0], [1, 2], [3]]
     assert D.merging([[h, c], [h, c], [], []]) == [[0], [1], [2, 3]]
-    assert D.merging([[h, c], [h], [i], [h, c]]) == [[0], [1], [2], [3]]
+    assert D.merging([[h, c], [h], [i], [h, c]]) == [[0], [1], [2, 3]]
     assert D.merging([[h, c]] * 3 + [[h]] * 9 + [[h, c, i, i, i]] * 3) == [[k] for k in range(15)]  # the mean is far from the common sequence
     r = random.Random(3)
     for _ in range(300):
