@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spectrail.functions.tokens import CHAPTER, ENDERS, ILLEGAL, LINE_NOISE, NAME_TOKENS_FAST, STEREO_MARKS, TAG
+from spectrail.functions.tokens import CHAPTER, ENDERS, ILLEGAL, LABEL_REPAIRS, LINE_NOISE, NAME_TOKENS_FAST, STEREO_MARKS, TAG
 
 
 def _lit(x: str | Column) -> Column:
@@ -81,12 +81,11 @@ def delete_marks(text: Column, notes: tuple[str, ...] = ()) -> Column:
 
 
 def repair_labels(text: Column) -> Column:
-    """Labels of tests as optical readers and typesetters spoil them: all before the last ``1H NMR`` goes, ``lH`` is ``1H``, an upper-case
-    multiplicity before a coupling is lower-case."""
-    out = F.regexp_replace(text, r"\[1H\]\s*NMR|lH NMR|21H NMR", "1H NMR")
-    for label in ("1H NMR", "19F NMR", "13C NMR"):
-        out = F.regexp_replace(out, rf"^.*{label}", label)
-    out = F.regexp_replace(F.regexp_replace(out, r"19F\(H\) NMR", "19F NMR"), r"13C\}1H\} NMR|141 NMR", "13C NMR")
+    """Labels of tests as optical readers and typesetters spoil them (LABEL_REPAIRS): what stands before the last label of a line goes, an
+    upper-case multiplicity before a coupling is lower-case."""
+    out = text
+    for pattern, label in LABEL_REPAIRS:
+        out = F.regexp_replace(out, pattern, label)
     for m in "STDQ":
         out = F.regexp_replace(out, rf"{m}(\s*,\s*J\s*=)", f"{m.lower()}$1")
     return out

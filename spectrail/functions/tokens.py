@@ -55,3 +55,15 @@ STEREO_MARKS = r"\(R\)|\(S\)|\(cis\)|\(trans\)"
 
 #: Colours of test types in annotation projects. Fixed values.
 COLOURS = ("#FFD700", "#FFB14E", "#FA8775", "#EA5F94", "#CD34B5", "#9D02D7", "#0000FF", "#7695FF")
+
+#: What readers and typesetters make of labels, what stands before them, and notes of one corpus, with what they become, in the order tried.
+#: Fixed values.
+LABEL_REPAIRS = (
+    (r"\[1H\]\s*NMR|\d+%*\)\.*1H NMR|\);1H NMR|\d+\.1H NMR|°\)1H NMR|lH NMR|21H NMR|\(13\):1H NMR", "1H NMR"),
+    (r"^.*1H NMR", "1H NMR"),
+    (r"19F\(H\) NMR", "19F NMR"),
+    (r"^.*19F NMR", "19F NMR"),
+    (r"H-\d+\);*13C NMR|\d+H\)[;.]*13C NMR|H\d+\)\.*13C NMR|13C\}1H\} NMR|141 NMR", "13C NMR"),
+    (r"^.*13C NMR", "13C NMR"),
+    (r"O10298OOOTBS3142Appendix A:| 43NH 51016OO1112678Me92Me\d+| 1211OO1610NH 53417Me182Me\d+|N OCO2allylCO2MeN|NMeO2CONMeO2CO2N\d+|OCO2allylCO2MeO\d+|Ph2SiHOPh2SiOPh2SiOH\d+|61    ", "/)"),
+)

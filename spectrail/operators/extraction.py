@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrail.functions.tokens import CHAPTER, ENDERS, STEREO_MARKS
+from spectrail.functions.tokens import CHAPTER, ENDERS, LABEL_REPAIRS, STEREO_MARKS
 
 _MARKS = re.compile(f"{CHAPTER}|{STEREO_MARKS}")
-_LABELS = ((r"\[1H\]\s*NMR|lH NMR|21H NMR", "1H NMR"), (r"^.*1H NMR", "1H NMR"), (r"19F\(H\) NMR", "19F NMR"), (r"^.*19F NMR", "19F NMR"), (r"13C\}1H\} NMR|141 NMR", "13C NMR"), (r"^.*13C NMR", "13C NMR"))
+_LABELS = tuple((re.compile(pattern), label) for pattern, label in LABEL_REPAIRS)
 
 
 def start_of(text: str, name: str) -> int | None:
@@ -46,7 +46,7 @@ def test_of(text: str, name: str) -> tuple[str, str] | None:
             out = out[: bracket + 1]
         out = _MARKS.sub("", out)
         for pattern, label in _LABELS:
-            out = re.sub(pattern, label, out)
+            out = pattern.sub(label, out)
         out = re.sub(r"\b([STDQ])(?=\s*,\s*J\s*=)", lambda m: m.group(1).lower(), out)
         first = out.split(" ")[0]
         junk = max(first.find(c) for c in ".;)")

@@ -56,9 +56,9 @@ def first_over(stats: DataFrame, key: str, mark: float = 50) -> DataFrame:
 def option_starts(stats: DataFrame, key: str, options: DataFrame) -> DataFrame:
     """Starts under each of a few (option, tokens, spaces) marks, in one job: the percentiles of a document are taken as one array each.
 
-    The options are a parameter table of a handful of rows, so they are expanded from literals instead of joined.
+    The options are a parameter table, written by hand, so they are expanded from literals instead of joined.
     """
-    rows = [tuple(r) for r in options.select("option", "tokens", "spaces").orderBy("option").limit(1000).collect()]
+    rows = [tuple(r) for r in options.select("option", "tokens", "spaces").orderBy("option").collect()]
     array = lambda i: F.array(*(F.lit(r[i] / 100) for r in rows))
     marked = _with_marks(stats, key, __t=F.percentile("likelihood", array(1)), __s=F.percentile("spaces", array(2)))
     zipped = F.arrays_zip(F.array(*(F.lit(r[0]) for r in rows)).alias("option"), F.col("__t").alias("t"), F.col("__s").alias("s"))

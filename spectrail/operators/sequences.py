@@ -108,27 +108,42 @@ def runs_of_numbers(df: DataFrame, key: str, number: str) -> DataFrame:
     return d.groupBy(key, "__g").agg(F.min(number).alias("first_n"), F.max(number).alias("last_n"), F.count(F.lit(1)).alias("n")).drop("__g")
 
 
-def first_plateau(df: DataFrame, key: str, order: str, value: str, length: int = 5, flat: float = 1.0) -> DataFrame:
+def in_blocks(df: DataFrame, key: str, order: str, behind: int, ahead: int, part: int = 10_000, block: int = 10_000) -> DataFrame:
+    """Adds __i (place in the group, from 0), __block, and __own: rows in blocks of a group, each with the rows that stand up to behind before
+    and ahead after it, which aren't its own. order is a whole number, and unique in a group."""
+    placed = numbered(df.withColumn("__p", F.floor(F.col(order) / part)), [key], "__p", [order], F.lit(True), "__n").drop("__p")
+    i = F.col("__n") - 1
+    home = F.floor(i / block)
+    at = F.array(F.struct(home.alias("b"), F.lit(True).alias("own")), F.struct(F.when(i % block < ahead, home - 1).alias("b"), F.lit(False).alias("own")), F.struct(F.when(i % block >= block - behind, home + 1).alias("b"), F.lit(False).alias("own")))
+    spread = placed.select(*df.columns, i.alias("__i"), F.explode(F.filter(at, lambda x: x["b"] >= 0)).alias("__at"))
+    return spread.select(*df.columns, "__i", F.col("__at.b").alias("__block"), F.col("__at.own").alias("__own"))
+
+
+def first_plateau(df: DataFrame, key: str, order: str, value: str, length: int = 5, flat: float = 1.0, block: int = 10_000) -> DataFrame:
     """Rows (key, plateau): the first 0-based place of the differences from which the gradient stays within flat for length places.
 
-    -1 if there is none. Differences are those of neighbours; the gradient is central, one-sided at both ends.
+    -1 if there is none. Differences are those of neighbours; the gradient is central, one-sided at both ends. A group that holds much of the
+    table is worked in blocks; order is a whole number.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    d = df.withColumn("__d", F.lead(value).over(w) - F.col(value)).filter("__d is not null")
+    w = Window.partitionBy(key, "__block").orderBy(order)
+    d = in_blocks(df.select(key, order, value), key, order, 1, length + 2, block=block)
+    d = d.withColumn("__d", F.lead(value).over(w) - F.col(value)).filter("__d is not null")
     before, after = F.lag("__d").over(w), F.lead("__d").over(w)
-    g = d.withColumn("__g", F.when(before.isNull(), after - F.col("__d")).when(after.isNull(), F.col("__d") - before).otherwise((after - before) / 2)).withColumn("__i", F.row_number().over(w) - 1)
-    ahead = w.rowsBetween(0, length - 1)
-    flagged = g.withColumn("__ok", (F.max(F.abs("__g")).over(ahead) <= flat) & (F.count("__g").over(ahead) == length))
+    g = d.withColumn("__g", F.when(before.isNull(), after - F.col("__d")).when(after.isNull(), F.col("__d") - before).otherwise((after - before) / 2))
+    onward = w.rowsBetween(0, length - 1)
+    flagged = g.withColumn("__ok", (F.max(F.abs("__g")).over(onward) <= flat) & (F.count("__g").over(onward) == length)).filter("__own")
     return flagged.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("__ok"), F.col("__i"))), F.lit(-1)).cast("bigint").alias("plateau"))
 
 
-def cut_before_gap(df: DataFrame, key: str, order: str, value: str, cut: DataFrame, gap: int = 2) -> DataFrame:
-    """Rows (key, cut): a cut place moved back to the last gap larger than gap at or before it (0 if there is none)."""
-    w = Window.partitionBy(key).orderBy(order)
-    d = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__step", F.col(value) - F.lag(value).over(w))
-    both = d.join(cut.select(key, F.col("plateau").alias("__cut")), key).filter((F.col("__i") <= F.col("__cut")) | (F.col("__i") == 0))
-    moved = F.coalesce(F.max(F.when((F.col("__step") > gap) & (F.col("__i") > 0), F.col("__i"))), F.lit(0))
-    return both.groupBy(key, "__cut").agg(moved.alias("__m")).select(key, F.when(F.col("__cut") > 0, F.col("__m")).otherwise(F.col("__cut")).cast("bigint").alias("cut"))
+def cut_before_gap(df: DataFrame, key: str, order: str, value: str, cut: DataFrame, gap: int = 2, block: int = 10_000, salts: int = 16) -> DataFrame:
+    """Rows (key, cut): a cut place moved back to the last gap larger than gap at or before it (0 if there is none); places of 0 and less stay."""
+    w = Window.partitionBy(key, "__block").orderBy(order)
+    d = in_blocks(df.select(key, order, value), key, order, 1, 0, block=block).withColumn("__step", F.col(value) - F.lag(value).over(w)).filter("__own")
+    gaps = d.filter((F.col("__step") > gap) & (F.col("__i") > 0)).select(key, "__i", F.pmod(F.col("__block"), F.lit(salts)).alias("__salt"))
+    salted = cut.select(key, F.col("plateau").alias("__cut"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    last = gaps.join(salted, [key, "__salt"]).filter(F.col("__i") <= F.col("__cut")).groupBy(key).agg(F.max("__i").alias("__m"))
+    moved = F.when(F.col("plateau") > 0, F.coalesce("__m", F.lit(0))).otherwise(F.col("plateau"))
+    return cut.join(last, key, "left").select(key, moved.cast("bigint").alias("cut"))
 
 
 def smooth_bounds(df: DataFrame, keys: list[str], order: list[str], upper: str, lower: str) -> DataFrame:

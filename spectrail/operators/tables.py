@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.functions.tokens import COLOURS, TEST_TYPES
@@ -42,13 +42,13 @@ def wide(tests: DataFrame, keys: list[str], kind: str, value: str, order: str, k
 
 def type_colours(tests: DataFrame, kind: str) -> DataFrame:
     """Rows (kind, colour): distinct types in order, the first eight coloured."""
-    types = tests.filter(F.col(kind).isNotNull()).select(kind).distinct()
-    numbered = types.withColumn("__i", F.row_number().over(Window.orderBy(kind))).filter(F.col("__i") <= len(COLOURS))
-    return numbered.select(kind, F.element_at(F.array(*(F.lit(c) for c in COLOURS)), F.col("__i")).alias("colour"))
+    first = tests.filter(F.col(kind).isNotNull()).select(kind).distinct().orderBy(kind).limit(len(COLOURS))
+    placed = first.agg(F.array_sort(F.collect_list(kind)).alias("k")).select(F.posexplode("k").alias("i", kind))
+    return placed.select(kind, F.get(F.array(*(F.lit(c) for c in COLOURS)), F.col("i")).alias("colour"))
 
 
 def label_config(colours: DataFrame, kind: str) -> DataFrame:
-    """One row (config): the labelling interface as XML."""
+    """One row (config): the labelling interface as XML. Its elements and names are fixed values."""
     line = F.format_string('    <Label value="%s" background="%s"/>', F.col(kind), F.col("colour"))
     lines = colours.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(kind).alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias("l"))
     head = '<View>\n  <RectangleLabels name="rectangles" toName="pdf" showInline="true">\n'
@@ -136,12 +136,24 @@ def canonical_spectra(tests: DataFrame) -> DataFrame:
     )
 
 
-def records(molecules: DataFrame, spectra: DataFrame, file: str) -> DataFrame:
-    """One nested record a file, as JSON: molecules and spectra in order of their ids, no reactions."""
-    m = molecules.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("id", "smiles", "inchi", "label"))).alias("molecules"))
-    s = spectra.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("id", "type", "molecule_id", "text_representation"))).alias("spectra"))
-    both = m.join(s, file, "full")
-    return both.select(file, F.to_json(F.struct(F.col(file).alias("source_filename"), F.coalesce("molecules", F.array()).alias("molecules"), F.array().cast("array<string>").alias("reactions"), F.coalesce("spectra", F.array()).alias("spectra"), F.array().cast("array<string>").alias("errors"))).alias("record"))
+def records(molecules: DataFrame, spectra: DataFrame, file: str, size: int = 1000, salts: int = 16) -> DataFrame:
+    """Rows (file, part, record): nested records as JSON, molecules and spectra in order of their ids, no reactions.
+
+    A file is one record up to size molecules, and otherwise cut into so many parts, by the molecules' ids, that a part has about that many, a
+    molecule with all its spectra. spectra with a molecule that isn't in the file are in the part that their molecule's id falls in.
+    """
+    counts = molecules.groupBy(file).agg(F.count(F.lit(1)).alias("__n"))
+    salted = counts.select(file, F.greatest(F.lit(1), F.ceil(F.col("__n") / size)).cast("int").alias("__parts"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+
+    def parted(df: DataFrame, molecule: str) -> DataFrame:
+        own = df.withColumn("__salt", F.pmod(F.xxhash64(molecule), F.lit(salts)).cast("int"))
+        with_parts = own.join(salted, [file, "__salt"], "left")
+        return with_parts.withColumn("part", F.pmod(F.hash(molecule), F.coalesce("__parts", F.lit(1))).cast("bigint")).drop("__salt", "__parts")
+
+    m = parted(molecules, "id").groupBy(file, "part").agg(F.array_sort(F.collect_list(F.struct("id", "smiles", "inchi", "label"))).alias("molecules"))
+    s = parted(spectra, "molecule_id").groupBy(file, "part").agg(F.array_sort(F.collect_list(F.struct("id", "type", "molecule_id", "text_representation"))).alias("spectra"))
+    both = m.join(s, [file, "part"], "full")
+    return both.select(file, "part", F.to_json(F.struct(F.col(file).alias("source_filename"), F.coalesce("molecules", F.array()).alias("molecules"), F.array().cast("array<string>").alias("reactions"), F.coalesce("spectra", F.array()).alias("spectra"), F.array().cast("array<string>").alias("errors"))).alias("record"))
 
 
 def graph_nodes(molecules: DataFrame, spectra: DataFrame) -> DataFrame:

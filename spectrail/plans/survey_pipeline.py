@@ -33,8 +33,7 @@ def recovered_tests(spark, d):
     g = table(spark, d, "gt_tests", "gt_id", "f_name", "molecule_name", "test_type", "test_text").filter("molecule_name is not null and test_text is not null")
     k = F.concat_ws("|", "f_name", "molecule_name").alias("segment")
     texts = g.groupBy(k).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gt_id", "test_text"))), lambda x: x["test_text"]), " ").alias("text"))
-    one = g.filter(F.col("test_type").isin("1H NMR", "IR")).select(k, "test_type")
-    return E.recovered(one, texts, "segment")
+    return E.recovered(g.select(k, "test_type"), texts, "segment")
 
 
 def wrapped_lines(spark, d):
@@ -65,4 +64,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "recovered_tests": """WITH g AS (SELECT concat_ws('|', f_name, molecule_name) AS segment, gt_id, test_type, test_text FROM gt_tests WHERE molecule_name IS NOT NULL AND test_text IS NOT NULL),
+            s AS (SELECT segment, string_agg(test_text, ' ' ORDER BY gt_id, test_text) AS t, max(CASE WHEN test_type = '1H NMR' THEN 1 ELSE 0 END) AS h, max(CASE WHEN test_type = '13C NMR' THEN 1 ELSE 0 END) AS c FROM g GROUP BY segment),
+            p AS (SELECT segment, h, t, CASE WHEN h = 0 THEN substr(t, instr(t, '1H NMR')) ELSE substr(t, instr(t, '13C NMR')) END AS u FROM s WHERE h <> c AND contains(t, CASE WHEN h = 0 THEN '1H NMR' ELSE '13C NMR' END)),
+            e AS (SELECT *, nullif(instr(u, 'HRMS'), 0) AS a, CASE WHEN h = 0 THEN nullif(instr(u, '13C NMR'), 0) END AS b FROM p)
+            SELECT segment, CASE WHEN h = 0 THEN '1H NMR' ELSE '13C NMR' END AS test_type, substr(u, 1, coalesce(least(a, b), a, b, length(u) + 1) - 1) AS test_text FROM e""",
+    }

@@ -78,8 +78,8 @@ def first_plateau(spark, d):
 
 
 def cut_before_gap(spark, d):
-    p = _pages(spark, d)
-    return Q.cut_before_gap(p, "f_name", "spectrum_id", "page_number", p.groupBy("f_name").agg((F.count(F.lit(1)) - 1).alias("plateau")))
+    """The place of the first plateau moved back to a gap of pages."""
+    return Q.cut_before_gap(_pages(spark, d), "f_name", "spectrum_id", "page_number", first_plateau(spark, d))
 
 
 def smoothed_bounds(spark, d):
@@ -239,7 +239,7 @@ def bbox_scaled(spark, d):
 
 
 def provenance_pages(spark, d):
-    return _boxes(spark, d).groupBy("f_name", "page").agg(F.count(F.lit(1)).alias("boxes"), F.min("nmr_id").alias("first_id"))
+    return _boxes(spark, d).groupBy("f_name", "page").agg(F.count(F.lit(1)).alias("boxes"), F.min("nmr_id").alias("first_id"), F.array_join(F.transform(F.array_sort(F.collect_list("nmr_id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 # --- statistics and exports ---------------------------------------------------------------------------------------------------------------
@@ -336,8 +336,8 @@ def set_operations(spark, d):
 
 
 def sorted_tests(spark, d):
-    """The first 50 tests by molecule name: a top-k, not a full sort."""
-    return _gt(spark, d).filter("molecule_name is not null").orderBy("molecule_name", "gt_id").limit(50).select("gt_id", "molecule_name")
+    """All tests in order of molecule names, then ids."""
+    return _gt(spark, d).filter("molecule_name is not null").orderBy("molecule_name", "gt_id").select("gt_id", "molecule_name")
 
 
 def serial_groups(spark, d):
@@ -404,6 +404,11 @@ hits AS (SELECT *, len(list_distinct(list_filter(j, lambda i: i IS NOT NULL))) A
 cm AS (SELECT gt_id, f_name, molecule_name, test_type, CASE WHEN len(a) > 0 THEN h ELSE 0 END AS tp, CASE WHEN len(a) > 0 THEN len(b) - h ELSE 0 END AS fp, CASE WHEN len(a) > 0 THEN len(a) - h ELSE 0 END AS fn FROM hits),
 pr AS (SELECT *, CAST(round(CAST(CAST(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS precision, CAST(round(CAST(CAST(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS recall FROM cm),
 scored AS (SELECT *, CAST(round(CAST(CAST(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS f1 FROM pr)"""
+PLATEAU = """p AS (SELECT f_name, spectrum_id, page_number // 8 AS v FROM spectra WHERE page_number IS NOT NULL), d AS (SELECT f_name, spectrum_id, lead(v) OVER (PARTITION BY f_name ORDER BY spectrum_id) - v AS d FROM p),
+e AS (SELECT *, lag(d) OVER w AS b, lead(d) OVER w AS a, row_number() OVER w - 1 AS i FROM d WHERE d IS NOT NULL WINDOW w AS (PARTITION BY f_name ORDER BY spectrum_id)),
+g AS (SELECT *, CASE WHEN b IS NULL THEN a - d WHEN a IS NULL THEN d - b ELSE (a - b) / 2 END AS g FROM e),
+o AS (SELECT f_name, i, max(abs(g)) OVER w <= 1 AND count(g) OVER w = 5 AS ok FROM g WINDOW w AS (PARTITION BY f_name ORDER BY spectrum_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+plateaus AS (SELECT f_name, coalesce(min(CASE WHEN ok THEN i END), -1) AS plateau FROM o GROUP BY f_name)"""
 BOXES = "boxes AS (SELECT nmr_id, f_name, CAST(provenance.page_number AS BIGINT) AS page, provenance.bbox AS box FROM nmr_data WHERE provenance.bbox IS NOT NULL AND provenance.page_number IS NOT NULL)"
 FILES = "files AS (SELECT f_name, count(DISTINCT molecule_name) AS molecules, " + ", ".join(f"count(CASE WHEN test_type = '{k}' THEN 1 END) AS {B.column_name(k)}" for k in TEST_TYPES) + " FROM gt_tests WHERE f_name IS NOT NULL GROUP BY f_name)"
 COLOURED = "coloured AS (SELECT test_type, [" + ", ".join(f"'{c}'" for c in COLOURS) + "][r] AS colour FROM (SELECT test_type, row_number() OVER (ORDER BY test_type) AS r FROM (SELECT DISTINCT test_type FROM spectra WHERE test_type IS NOT NULL)) WHERE r <= 8)"
@@ -427,13 +432,12 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT *, CAST(sum(o) OVER (PARTITION BY user_id ORDER BY sequence, next) AS BIGINT) AS chain FROM c)
             SELECT user_id, chain, array_to_string(list_transform(list_sort(list_distinct(flatten(list([sequence, next])))), lambda x: CAST(x AS VARCHAR)), ',') AS members FROM k GROUP BY user_id, chain""",
         "page_runs": "SELECT f_name, min(page_number) AS first_n, max(page_number) AS last_n, count(*) AS n FROM (SELECT f_name, page_number, page_number - row_number() OVER (PARTITION BY f_name ORDER BY page_number) AS g FROM (SELECT DISTINCT f_name, page_number FROM spectra WHERE page_number IS NOT NULL)) GROUP BY f_name, g",
-        "first_plateau": """WITH p AS (SELECT f_name, spectrum_id, page_number // 8 AS v FROM spectra WHERE page_number IS NOT NULL), d AS (SELECT f_name, spectrum_id, lead(v) OVER (PARTITION BY f_name ORDER BY spectrum_id) - v AS d FROM p),
-            e AS (SELECT *, lag(d) OVER w AS b, lead(d) OVER w AS a, row_number() OVER w - 1 AS i FROM d WHERE d IS NOT NULL WINDOW w AS (PARTITION BY f_name ORDER BY spectrum_id)),
-            g AS (SELECT *, CASE WHEN b IS NULL THEN a - d WHEN a IS NULL THEN d - b ELSE (a - b) / 2 END AS g FROM e),
-            o AS (SELECT f_name, i, max(abs(g)) OVER w <= 1 AND count(g) OVER w = 5 AS ok FROM g WINDOW w AS (PARTITION BY f_name ORDER BY spectrum_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
-            SELECT f_name, coalesce(min(CASE WHEN ok THEN i END), -1) AS plateau FROM o GROUP BY f_name""",
-        "cut_before_gap": """WITH p AS (SELECT f_name, row_number() OVER w - 1 AS i, page_number - lag(page_number) OVER w AS step FROM spectra WHERE page_number IS NOT NULL WINDOW w AS (PARTITION BY f_name ORDER BY spectrum_id))
-            SELECT f_name, coalesce(max(CASE WHEN step > 2 AND i > 0 THEN i END), 0) AS cut FROM p GROUP BY f_name""",
+        "first_plateau": f"WITH {PLATEAU} SELECT * FROM plateaus",
+        "cut_before_gap": f"""WITH {PLATEAU}, q AS (SELECT f_name, row_number() OVER w - 1 AS i, page_number - lag(page_number) OVER w AS step FROM spectra WHERE page_number IS NOT NULL WINDOW w AS (PARTITION BY f_name ORDER BY spectrum_id))
+            SELECT x.f_name, CASE WHEN any_value(plateau) > 0 THEN coalesce(max(CASE WHEN step > 2 AND i > 0 AND i <= plateau THEN i END), 0) ELSE any_value(plateau) END AS cut FROM plateaus x JOIN q USING (f_name) GROUP BY x.f_name""",
+        "label_config": f"""WITH {COLOURED} SELECT '<View>' || chr(10) || '  <RectangleLabels name="rectangles" toName="pdf" showInline="true">' || chr(10)
+            || string_agg('    <Label value="' || test_type || '" background="' || colour || '"/>', chr(10) ORDER BY test_type) || chr(10) || '    <Label value="Molecule" background="#AE2012"/>' || chr(10) || '  </RectangleLabels>' || chr(10)
+            || '  <Image valueList="$pages" name="pdf"/>' || chr(10) || '  <TextArea name="transcription" toName="pdf" editable="true" perRegion="true"/>' || chr(10) || '</View>' AS config FROM coloured""",
         "smoothed_bounds": """WITH b AS (SELECT nmr_id, f_name, provenance.page_number AS p, provenance.bbox.y0 AS y0, provenance.bbox.y1 AS y1 FROM nmr_data WHERE provenance.bbox.y0 IS NOT NULL AND provenance.page_number IS NOT NULL)
             SELECT nmr_id, coalesce((lag(y1) OVER w + y0) / 2, y0) AS smooth_upper, coalesce((lead(y0) OVER w + y1) / 2, y1) AS smooth_lower FROM b WINDOW w AS (PARTITION BY f_name, p ORDER BY y0, nmr_id)""",
         "pic_clusters": f"WITH {PICS} SELECT doc, cluster, min(page) AS page, count(*) AS n FROM cl GROUP BY doc, cluster",
@@ -457,7 +461,7 @@ def oracle_sql() -> dict[str, str]:
         "bbox_union": f"WITH {BOXES}, u AS (SELECT f_name, page, min(box.x0) AS x, min(box.y0) AS y, max(box.x1) AS x1, max(box.y1) AS y1 FROM boxes GROUP BY f_name, page) SELECT f_name, page, round(x, 2) AS x, round(y, 2) AS y, round(x1 - round(x, 2), 2) AS w, round(y1 - round(y, 2), 2) AS h FROM u",
         "bbox_scaled": f"""WITH {BOXES}, s AS (SELECT nmr_id, box.x0 AS x, box.y0 AS y, box.x1 - box.x0 AS w, box.y1 - box.y0 AS h FROM boxes)
             SELECT nmr_id, x, y, w, h, CAST(trunc(y / 100 * 100.0::DOUBLE) AS BIGINT) AS top, CAST(trunc((y + h) / 100 * 100.0::DOUBLE) AS BIGINT) AS bottom, CAST(trunc(x / 100 * 200.0::DOUBLE) AS BIGINT) AS left, CAST(trunc((x + w) / 100 * 200.0::DOUBLE) AS BIGINT) AS right FROM s""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'),
-        "provenance_pages": f"WITH {BOXES} SELECT f_name, page, count(*) AS boxes, min(nmr_id) AS first_id FROM boxes GROUP BY f_name, page",
+        "provenance_pages": f"WITH {BOXES} SELECT f_name, page, count(*) AS boxes, min(nmr_id) AS first_id, string_agg(CAST(nmr_id AS VARCHAR), ',' ORDER BY nmr_id) AS ids FROM boxes GROUP BY f_name, page",
         "gt_stats": "SELECT 'total_' || test_type AS stat, count(*) AS n FROM gt_tests WHERE test_type IS NOT NULL GROUP BY test_type UNION ALL SELECT 'rows', count(*) FROM gt_tests UNION ALL SELECT 'files', count(DISTINCT f_name) FROM gt_tests",
         "gt_files": f"WITH {FILES} SELECT * FROM files",
         "gt_means": f"WITH {FILES} SELECT avg(molecules) AS mean_molecules, " + ", ".join(f"avg({B.column_name(k)}) AS mean_{B.column_name(k)}" for k in TEST_TYPES) + " FROM files",
@@ -476,7 +480,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'union_all' AS op, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) UNION ALL SELECT 'distinct', count(DISTINCT f_name) FROM a
             UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
             UNION ALL SELECT 'anti', count(*) FROM a WHERE f_name NOT IN (SELECT f_name FROM b) UNION ALL SELECT 'semi', count(*) FROM a WHERE f_name IN (SELECT f_name FROM b)""",
-        "sorted_tests": "SELECT gt_id, molecule_name FROM gt_tests WHERE molecule_name IS NOT NULL ORDER BY molecule_name, gt_id LIMIT 50",
+        "sorted_tests": "SELECT gt_id, molecule_name FROM gt_tests WHERE molecule_name IS NOT NULL ORDER BY molecule_name, gt_id",
         "serial_groups": "SELECT serial, array_to_string(list_sort(list(name)), ';') AS names FROM (SELECT molecule_id || '_full' AS name, string_split(molecule_id || '_full', '_')[-2] AS serial FROM molecules) GROUP BY serial",
         "number_shapes": "SELECT CAST(length(regexp_extract(trim(coupling_constants), '^-?\\d+\\.(\\d+)$', 1)) AS BIGINT) AS decimals, count(*) AS n FROM nmr_peaks GROUP BY 1",
     }

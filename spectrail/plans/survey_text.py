@@ -314,10 +314,13 @@ def _enders(names: tuple[str, ...]) -> str:
 
 _FIRST = "string_split(test_text, ' ')[1]"
 _JUNK = f"greatest(instr({_FIRST}, '.'), instr({_FIRST}, ';'), instr({_FIRST}, ')'))"
-_REL = "regexp_replace(test_text, '\\[1H\\]\\s*NMR|lH NMR|21H NMR', '1H NMR', 'g')"
-for _l in ("1H NMR", "19F NMR", "13C NMR"):
-    _REL = f"regexp_replace({_REL}, '^.*{_l}', '{_l}')"
-_REL = f"regexp_replace(regexp_replace({_REL}, '19F\\(H\\) NMR', '19F NMR', 'g'), '13C\\}}1H\\}} NMR|141 NMR', '13C NMR', 'g')"
+_REL = "test_text"
+for _p, _l in (
+    (r"\[1H\]\s*NMR|\d+%*\)\.*1H NMR|\);1H NMR|\d+\.1H NMR|°\)1H NMR|lH NMR|21H NMR|\(13\):1H NMR", "1H NMR"), ("^.*1H NMR", "1H NMR"), (r"19F\(H\) NMR", "19F NMR"), ("^.*19F NMR", "19F NMR"),
+    (r"H-\d+\);*13C NMR|\d+H\)[;.]*13C NMR|H\d+\)\.*13C NMR|13C\}1H\} NMR|141 NMR", "13C NMR"), ("^.*13C NMR", "13C NMR"),
+    (r"O10298OOOTBS3142Appendix A:| 43NH 51016OO1112678Me92Me\d+| 1211OO1610NH 53417Me182Me\d+|N OCO2allylCO2MeN|NMeO2CONMeO2CO2N\d+|OCO2allylCO2MeO\d+|Ph2SiHOPh2SiOPh2SiOH\d+|61    ", "/)"),
+):
+    _REL = f"regexp_replace({_REL}, {q(_p)}, '{_l}', 'g')"
 for _m in "STDQ":
     _REL = f"regexp_replace({_REL}, '{_m}(\\s*,\\s*J\\s*=)', '{_m.lower()}\\1', 'g')"
 

@@ -159,3 +159,45 @@ def test_grammar():
     two = grammar.parse("1H NMR (CDCl3) major rotamer 7.1 (s, 1H) minor rotamer 6.9 (s, 1H)")["shifts"]
     assert [s["isomer"] for s in two] == ["major rotamer", "minor rotamer"]
     assert grammar.parse("")["error"] and grammar.parse(None)["error"] and grammar.parse("NMR")["shifts"] == []
+
+
+def test_plateaus_and_cuts_in_blocks(spark):
+    import random
+
+    from spectrail.operators import sequences as Q
+
+    r = random.Random(2)
+    rows = [(k, 3 * i, v) for k, n in (("hot", 400), ("b", 30), ("c", 1), ("d", 7)) for i, v in enumerate(itertools.accumulate(r.choice([0, 0, 0, 1, 5]) for _ in range(n)))]
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint")
+    whole, blocks = (sorted(map(tuple, Q.first_plateau(df, "k", "i", "v", block=b).collect())) for b in (10_000, 8))
+    assert whole == blocks and len(whole) == 3
+    cuts = spark.createDataFrame([("hot", 300), ("b", 12), ("c", 0), ("d", -1)], "k string, plateau bigint")
+    whole, blocks = (dict(map(tuple, Q.cut_before_gap(df, "k", "i", "v", cuts, block=b).collect())) for b in (10_000, 8))
+    values = {k: [v for kk, _, v in rows if kk == k] for k in ("hot", "b")}
+    wanted = {k: max([i for i in range(1, c + 1) if values[k][i] - values[k][i - 1] > 2], default=0) for k, c in (("hot", 300), ("b", 12))}
+    assert whole == blocks == wanted | {"c": 0, "d": -1}
+
+
+def test_records_of_a_hot_file_in_parts(spark):
+    import json
+
+    from spectrail.operators import tables as B
+
+    m = spark.createDataFrame([("hot", f"m{i}", None, "x", None) for i in range(50)] + [("b", "n1", "C", None, "1a")], "f string, id string, smiles string, inchi string, label string")
+    s = spark.createDataFrame([("hot", f"m{i}", f"s{i}", "IR", "t") for i in range(50)] + [("z", "q", "s", "MS", "t")], "f string, molecule_id string, id string, type string, text_representation string")
+    rows = B.records(m, s, "f", size=10).collect()
+    hot = [json.loads(r.record) for r in rows if r.f == "hot"]
+    assert 1 < len(hot) <= 5 and sorted(x["id"] for r in hot for x in r["molecules"]) == sorted(f"m{i}" for i in range(50))
+    assert all({x["id"] for x in r["molecules"]} == {x["molecule_id"] for x in r["spectra"]} for r in hot)
+    assert {r.f: r.part for r in rows if r.f != "hot"} == {"b": 0, "z": 0}
+
+
+def test_fast_name_tokens_count_the_same(spark):
+    import random
+
+    from spectrail.functions.tokens import FRAGMENTS, NAME_TOKENS, NAME_TOKENS_FAST
+
+    r = random.Random(4)
+    texts = ["".join(r.choice([*FRAGMENTS, "-2,3-", "4-", "(2S)", "(R)", " ", "q", "X", *(f.capitalize() for f in FRAGMENTS)]) for _ in range(r.randint(0, 20))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(F.regexp_extract_all("t", F.lit(f"({NAME_TOKENS})"), F.lit(1)) != F.regexp_extract_all("t", F.lit(f"({NAME_TOKENS_FAST})"), F.lit(1))).count() == 0
