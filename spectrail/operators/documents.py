@@ -91,6 +91,21 @@ def windows(segments: Column, families: tuple[str, ...] = TEST_FAMILIES, before:
     return F.flatten(F.transform(segments, of))
 
 
+def look_around(lines: Column, families: tuple[str, ...] = TEST_FAMILIES, before: int = 1, after: int = 20) -> Column:
+    """(hit, first, texts): for each line that holds a word the lines from before to after it, clipped to the document."""
+    held = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.exists(F.array(*map(F.lit, families)), lambda w: F.contains(F.get(lines, i), w)))
+    first = lambda i: F.greatest(i - before, F.lit(0))
+    return F.transform(held, lambda i: F.struct(i.alias("hit"), first(i).alias("first"), F.slice(lines, first(i) + 1, i + after - first(i)).alias("texts")))
+
+
+def end_line(window: Column, needle: str) -> Column:
+    """The line of a window of look_around through which its joined text holds the needle; null if it doesn't."""
+    texts = window["texts"]
+    through = F.instr(F.array_join(texts, ""), needle) + len(needle) - 1
+    ends = F.transform(F.sequence(F.lit(1), F.size(texts)), lambda k: F.aggregate(F.slice(texts, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x)))
+    return F.when(F.contains(F.array_join(texts, ""), F.lit(needle)), bind(through, lambda t: window["first"] + F.size(F.filter(ends, lambda e: e < t))))
+
+
 def appended(df: DataFrame, column: str, of: Callable[[object], object], name: str, kind: T.DataType) -> DataFrame:
     """Adds name, of(value) of a column; other columns pass through as they are. The column itself is dropped."""
     rest = [c for c in df.columns if c != column]

@@ -97,17 +97,21 @@ def wrapped_lines(lines: DataFrame, keys: list[str], column: str, width: int = 2
     return lines.select(*keys, F.posexplode(pieces).alias("piece", "text")).withColumn("piece", F.col("piece").cast("bigint"))
 
 
-def resolve_names(names: DataFrame, column: str, known: DataFrame, resolver: Callable[[str], str] | None = None) -> DataFrame:
-    """Rows (column, smiles): each distinct name once, from the table of known names, else by a resolver (none by default: no network)."""
-    found = names.select(column).filter(F.col(column).isNotNull()).distinct().join(known.select(column, F.col("smiles").alias("__known")), column, "left")
+def resolve_names(names: DataFrame, column: str, known: list[DataFrame], resolver: Callable[[str], str] | None = None) -> DataFrame:
+    """Rows (column, smiles): each distinct name once, from the first of the known tables (column, smiles) that has it, else by a resolver
+    (none by default: no network), else empty."""
+    found = names.select(column).filter(F.col(column).isNotNull()).distinct()
+    for i, table in enumerate(known):
+        found = found.join(table.select(column, F.nullif("smiles", F.lit("")).alias(f"__{i}")), column, "left")
+    first = F.coalesce(*(F.col(f"__{i}") for i in range(len(known))), F.lit(None).cast("string"))
     if resolver is None:
-        return found.select(column, F.coalesce("__known", F.lit("")).alias("smiles"))
+        return found.select(column, F.coalesce(first, F.lit("")).alias("smiles"))
 
     @F.pandas_udf("string")
     def ask(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else resolver(v))
 
-    return found.select(column, F.coalesce("__known", ask(F.when(F.col("__known").isNull(), F.col(column))), F.lit("")).alias("smiles"))
+    return found.select(column, F.coalesce(first, ask(F.when(first.isNull(), F.col(column))), F.lit("")).alias("smiles"))
 
 
 def apply_model(df: DataFrame, column: str, load: Callable[[], Callable[[list], list]], result: str, kind: str = "string") -> DataFrame:

@@ -53,16 +53,18 @@ def metric_filter(records: DataFrame, minimum: dict[str, float], perfect: bool =
     return records.filter(keep & (F.col(metric) == 1.0 if perfect else F.lit(True)))
 
 
-def entity_scores(pred: DataFrame, gold: DataFrame, column: str) -> DataFrame:
-    """One row: tp, fp, fn, precision, recall, f1 of two sets of entities; nulls are no entities, repeated ones count once.
+def entity_scores(pred: DataFrame, gold: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows (keys, tp, fp, fn, precision, recall, f1), one row without keys, of two sets of entities; nulls are no entities, repeated ones
+    count once.
 
-    One shuffle: both sides are marked and grouped by the entity.
+    One shuffle of the entities: both sides are marked and grouped.
     """
-    sides = pred.select(column, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(column, F.lit(0).alias("p"), F.lit(1).alias("g")))
-    each = sides.filter(F.col(column).isNotNull()).groupBy(column).agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    counts = each.agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.expr("p = 1 and g = 0")).alias("fp"), F.count_if(F.expr("p = 0 and g = 1")).alias("fn"))
+    keys = keys or []
+    sides = pred.select(*keys, column, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(*keys, column, F.lit(0).alias("p"), F.lit(1).alias("g")))
+    each = sides.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.max("p").alias("p"), F.max("g").alias("g"))
+    counts = each.groupBy(*keys).agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.expr("p = 1 and g = 0")).alias("fp"), F.count_if(F.expr("p = 0 and g = 1")).alias("fn"))
     p, r, f1 = P.precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
-    return counts.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+    return counts.select(*keys, "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
 def box_union(boxes: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrail.functions import text as X
+from spectrail.functions.geometry import percent_box
 
 LINES_PER_PAGE = 50
 
@@ -25,6 +26,22 @@ def renumber(blocks: DataFrame, key: str, order: list[str | Column]) -> DataFram
     return blocks.withColumn("line", (F.row_number().over(Window.partitionBy(key, "page").orderBy(*order)) - 1).cast("bigint"))
 
 
+def page_blocks(blocks: DataFrame, keys: list[str], block: str, text: str, page_size: tuple[float, float], width: int = 250) -> DataFrame:
+    """The lines of pages from their text blocks: cleaned, wrapped at words where longer than width, numbered from 0 in order of the blocks'
+    upper edges, blocks and pieces, with the box in hundredths of the page as (y0, x0, y1, x1).
+
+    blocks: keys (document and page), block, text and corners x0, y0, x1, y1. Blocks without text or box give no line.
+    """
+    from spectrail.operators.extraction import wrapped_lines
+
+    w, h = page_size
+    whole = blocks.filter(F.col(text).isNotNull() & F.col("y0").isNotNull()).withColumn(text, X.clean_text(F.col(text)))
+    box = percent_box(*map(F.col, ("x0", "y0", "x1", "y1")), F.lit(w), F.lit(h))
+    pieces = wrapped_lines(whole.withColumn("bbox", box), [*keys, block, "bbox"], text, width)
+    order = Window.partitionBy(*keys).orderBy("bbox.y0", block, "piece")
+    return pieces.select(*keys, (F.row_number().over(order) - 1).cast("bigint").alias("line"), "text", "bbox")
+
+
 def line_statistics(lines: DataFrame, key: str) -> DataFrame:
     """Rows (key, seq, likelihood, spaces) of the eligible lines: more than 10 characters without blanks and noise, not starting Rf or mp."""
     t = X.without_noise(F.col("text"))

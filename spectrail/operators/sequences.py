@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrail.session import cut
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
     """Numbers (from 1) the runs between rows at which breaks is true; the first row of a group always opens one."""
@@ -33,18 +35,28 @@ def numbered(df: DataFrame, keys: list[str], part: str, order: list[str], opens:
 def test_sequences(tests: DataFrame, key: str, start: str, end: str, kind: str, tie: str, gap: int = 4, part: int = 10_000) -> DataFrame:
     """Rows (key, sequence, first_pos, last_pos, types): a new sequence where a test starts more than gap lines off the last one's end.
 
-    start is a whole number. Documents are cut every part lines; the first test of a part is compared with the last of the one before.
+    start is a whole number. Documents are cut every part lines, and each part's tests, sorted, are written once; the first test of a part is
+    compared with the last of the one before, and only a sequence that goes over parts is put together from them.
     """
-    cut = tests.filter(F.col(start).isNotNull()).withColumn("__p", F.floor(F.col(start) / part))
-    inside = Window.partitionBy(key, "__p").orderBy(start, tie)
-    last = cut.groupBy(key, "__p").agg(F.max_by(end, F.struct(start, tie)).alias("__last"))
-    last = last.select(key, "__p", F.lag("__last").over(Window.partitionBy(key).orderBy("__p")).alias("__last"))
-    previous = F.coalesce(F.lag(end).over(inside), F.when(F.row_number().over(inside) == 1, F.col("__last")))
-    marked = cut.join(last, [key, "__p"]).withColumn("__prev", previous)
-    opens = F.col("__prev").isNull() | (F.abs(F.col(start) - F.col("__prev")) > gap)
-    runs = numbered(marked, [key], "__p", [start, tie], opens, "sequence")
-    types = F.transform(F.array_sort(F.collect_list(F.struct(F.col(start).alias("a"), F.col(tie).alias("b"), F.col(kind).alias("c")))), lambda x: x["c"])
-    return runs.groupBy(key, "sequence").agg(F.min(start).alias("first_pos"), F.max(end).alias("last_pos"), types.alias("types"))
+    row = F.struct(F.col(start).alias("a"), F.col(tie).alias("t"), F.col(end).alias("e"), F.col(kind).alias("k"))
+    placed = tests.filter(F.col(start).isNotNull()).withColumn("__p", F.floor(F.col(start) / part))
+    parts = cut(placed.groupBy(key, "__p").agg(F.array_sort(F.collect_list(row)).alias("__l")))
+    off = lambda i: (i > 0) & (F.abs(F.get("__l", i)["a"] - F.get("__l", i - 1)["e"]) > gap)
+    opens = F.filter(F.sequence(F.lit(0), F.size("__l") - 1), off)
+    ends = parts.select(key, "__p", F.get("__l", F.lit(0))["a"].alias("__first"), F.element_at("__l", -1)["e"].alias("__last"), F.size(opens).alias("__n"))
+    w = Window.partitionBy(key).orderBy("__p")
+    new = F.lag("__last").over(w).isNull() | (F.abs(F.col("__first") - F.lag("__last").over(w)) > gap)
+    numbers = ends.withColumn("__new", new).withColumn("__m", F.col("__n") + F.col("__new").cast("int"))
+    numbers = numbers.select(key, "__p", (F.coalesce(F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__new").cast("int")).alias("__before"))
+    # the first run of a part may go on from the part before
+    runs = parts.select(key, "__p", "__l", F.concat(F.array(F.lit(0)), opens).alias("__o"))
+    cuts = F.transform("__o", lambda s, i: F.slice("__l", s + 1, F.coalesce(F.get("__o", i + 1), F.size("__l")) - s))
+    each = runs.join(numbers, [key, "__p"]).select(key, "__before", F.posexplode(cuts).alias("__i", "__r"))
+    pieces = each.select(key, (F.col("__before") + F.col("__i")).cast("bigint").alias("sequence"), "__r")
+    whole = pieces.groupBy(key, "sequence").agg(F.array_sort(F.flatten(F.collect_list("__r"))).alias("__r"))
+    return whole.select(
+        key, "sequence", F.get("__r", F.lit(0))["a"].alias("first_pos"), F.array_max(F.transform("__r", lambda x: x["e"])).alias("last_pos"), F.transform("__r", lambda x: x["k"]).alias("types")
+    )
 
 
 def common_sequence(sequences: DataFrame, order: list[str], types: str = "types") -> DataFrame:

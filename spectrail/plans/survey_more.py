@@ -133,6 +133,22 @@ def letterboxed(spark, d):
     return b.select("nmr_id", *PIC.letterbox(612, 792, 640))
 
 
+def page_lines(spark, d):
+    """The lines of the pages of nmr_data's texts, each a block of its page of 612 by 792."""
+    b = table(spark, d, "nmr_data", "nmr_id", "f_name", "raw_text", "provenance").select("nmr_id", "f_name", F.col("provenance.page_number").alias("page"), "raw_text", "provenance.bbox.*").filter("f_name is not null and page is not null")
+    return S.page_blocks(b, ["f_name", "page"], "nmr_id", "raw_text", (612.0, 792.0)).select("f_name", "page", "line", "text", "bbox.*")
+
+
+def matched_segments(spark, d):
+    """The wide export of documents' segments that start on a page with a picture: one row a segment, a column for each type of test."""
+    docs = spread(table(spark, d, "documents", "doc_id", "f_name", "text"))
+    rows = D.adjusted(D.segment_arrays(docs, "doc_id", "text")).join(docs.select("doc_id", "f_name"), "doc_id").select("doc_id", "f_name", "tests", F.inline("segments"))
+    pics = table(spark, d, "nmr_data", "f_name", "provenance").filter("provenance.modality = 'image' and provenance.page_number is not null").select("f_name", (F.col("provenance.page_number") % 3).alias("page")).distinct()
+    kept = rows.withColumn("page", F.floor(F.col("first") / S.LINES_PER_PAGE)).join(pics, ["f_name", "page"], "left_semi")
+    tests = kept.select("doc_id", "segment", F.inline(D.of_segment(F.col("tests"), F.col("segment")).cast("array<struct<own:int,hit:int,test_type:string,test_text:string>>")))
+    return B.wide(tests, ["doc_id", "segment"], "test_type", "test_text", "hit")
+
+
 def csv_round_trip(spark, d):
     """Molecules written as wide CSV to the shared folder and read again."""
     path = f"{shared_folder(spark)}/csv_round_trip"
@@ -143,8 +159,9 @@ def csv_round_trip(spark, d):
 def part_round_trip(spark, d):
     """Spectra written by file and one file's part read again."""
     path = f"{shared_folder(spark)}/part_round_trip"
-    sinks.write_parts(table(spark, d, "spectra", "f_name", "spectrum_id", "test_type"), path)
-    return sinks.read_part(spark, path, "SI_compendium_A").select("spectrum_id", "test_type")
+    s = table(spark, d, "spectra", "f_name", "spectrum_id", "test_type")
+    sinks.write_parts(s, path)
+    return sinks.read_part(spark, path, "SI_compendium_A", schema=s.schema).select("spectrum_id", "test_type")
 
 
 def json_round_trip(spark, d):
@@ -184,7 +201,7 @@ def matched_export(spark, d):
     return with_pic.groupBy("molecule_name").agg(F.max_by("image_path", "wide_id").alias("image_path"), F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = [adjusted_segments, document_outcomes, loop_totals, sequence_frequencies, bbox_strings, ordered_spectra, test_entries, page_subset, molecules_with_tests, test_dicts, taken_pictures, updated_boxes, kept_pictures, letterboxed, csv_round_trip, part_round_trip, json_round_trip, page_renumbered, split_segments, first_pages, peak_range, changes_by_index, name_tokens, matched_export]
+_NAMES = [adjusted_segments, document_outcomes, loop_totals, sequence_frequencies, bbox_strings, ordered_spectra, test_entries, page_subset, molecules_with_tests, test_dicts, taken_pictures, updated_boxes, kept_pictures, letterboxed, page_lines, matched_segments, csv_round_trip, part_round_trip, json_round_trip, page_renumbered, split_segments, first_pages, peak_range, changes_by_index, name_tokens, matched_export]
 
 
 def queries() -> dict:

@@ -10,6 +10,7 @@ from spectrail.functions import peaks as P
 from spectrail.functions import text as X
 from spectrail.functions.similarity import compared, ratio
 from spectrail.functions.tokens import COLOURS, TEST_TYPES
+from spectrail.operators import extraction as E
 from spectrail.operators import matching as M
 from spectrail.operators import scoring as C
 from spectrail.operators import sequences as Q
@@ -219,6 +220,12 @@ def entity_prf(spark, d):
     return C.entity_scores(table(spark, d, "wide_records", F.col("molecule_smiles_by_images").alias("smiles")), table(spark, d, "molecules", "smiles"), "smiles")
 
 
+def calibration(spark, d):
+    """Predicted against true structures, file by file."""
+    pred = table(spark, d, "wide_records", F.regexp_replace("file_name", r"\.pdf$", "").alias("f_name"), F.col("molecule_smiles_by_images").alias("smiles"))
+    return C.entity_scores(pred, table(spark, d, "molecules", "f_name", "smiles"), "smiles", ["f_name"])
+
+
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nmr_data", "nmr_id", "f_name", "provenance").select("nmr_id", "f_name", F.col("provenance.page_number").cast("bigint").alias("page"), F.col("provenance.bbox").alias("box")).filter("box is not null and page is not null")
 
@@ -319,9 +326,13 @@ def graph_nodes(spark, d):
 
 
 def resolved_names(spark, d):
-    """Names looked up once each in the table of known structures (the first writer wins), then joined back."""
-    known = table(spark, d, "wide_records", "wide_id", "molecule_name", "molecule_smiles_by_name").filter("molecule_name is not null and molecule_smiles_by_name is not null").groupBy("molecule_name").agg(F.min_by("molecule_smiles_by_name", "wide_id").alias("known"))
+    """Names looked up once each, in two tables of known structures (the first writer of each wins), then joined back."""
+    w = table(spark, d, "wide_records", "wide_id", "molecule_name", "molecule_smiles_by_name").filter("molecule_name is not null and molecule_smiles_by_name is not null")
+    g = table(spark, d, "gt_tests", "gt_id", "molecule_name", "opsin_smiles").filter("molecule_name is not null and opsin_smiles is not null")
+    first = w.groupBy("molecule_name").agg(F.min_by("molecule_smiles_by_name", "wide_id").alias("smiles"))
+    second = g.groupBy("molecule_name").agg(F.min_by("opsin_smiles", "gt_id").alias("smiles"))
     m = table(spark, d, "molecules", "molecule_id", "molecule_name", "smiles")
+    known = E.resolve_names(m, "molecule_name", [first, second]).withColumnRenamed("smiles", "known")
     return m.join(known, "molecule_name", "left").select("molecule_id", F.coalesce(F.nullif("smiles", F.lit("")), "known", F.lit("")).alias("smiles"))
 
 
@@ -348,7 +359,7 @@ def number_shapes(spark, d):
     return table(spark, d, "nmr_peaks", "coupling_constants").groupBy(X.decimals(F.trim("coupling_constants")).cast("bigint").alias("decimals")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = [test_sequences, common_sequence, sequence_statistics, segment_sizes, pair_occurrences, neighbours_to_merge, merged_chains, page_runs, first_plateau, cut_before_gap, smoothed_bounds, pic_clusters, leading_pics, proximity_pairs, greedy_match, filled_matched_rate, peak_confusion, score_summary, metric_summary, metric_filter, molecule_scores, pair_scores, best_assignment, string_ratio, name_ratio, entity_prf, bbox_iou, bbox_union, bbox_scaled, provenance_pages, gt_stats, gt_files, gt_means, gt_groups, wide_export, type_colours, label_config, annotation_rows, annotation_tasks, annotation_round_trip, updated_tests, canonical_spectra, canonical_records, graph_nodes, resolved_names, set_operations, sorted_tests, serial_groups, number_shapes]
+_NAMES = [test_sequences, common_sequence, sequence_statistics, segment_sizes, pair_occurrences, neighbours_to_merge, merged_chains, page_runs, first_plateau, cut_before_gap, smoothed_bounds, pic_clusters, leading_pics, proximity_pairs, greedy_match, filled_matched_rate, peak_confusion, score_summary, metric_summary, metric_filter, molecule_scores, pair_scores, best_assignment, string_ratio, name_ratio, entity_prf, calibration, bbox_iou, bbox_union, bbox_scaled, provenance_pages, gt_stats, gt_files, gt_means, gt_groups, wide_export, type_colours, label_config, annotation_rows, annotation_tasks, annotation_round_trip, updated_tests, canonical_spectra, canonical_records, graph_nodes, resolved_names, set_operations, sorted_tests, serial_groups, number_shapes]
 
 
 def queries() -> dict:
@@ -457,6 +468,11 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT (SELECT count(*) FROM p WHERE s IN (SELECT s FROM g)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng),
             r AS (SELECT tp, np - tp AS fp, ng - tp AS fn, CASE WHEN np > 0 THEN tp / np ELSE 0.0::DOUBLE END AS precision, CASE WHEN ng > 0 THEN tp / ng ELSE 0.0::DOUBLE END AS recall FROM c)
             SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM r""",
+        "calibration": """WITH s AS (SELECT regexp_replace(file_name, '\\.pdf$', '') AS f_name, molecule_smiles_by_images AS s, 1 AS p, 0 AS g FROM wide_records UNION ALL SELECT f_name, smiles, 0, 1 FROM molecules),
+            e AS (SELECT f_name, s, max(p) AS p, max(g) AS g FROM s WHERE s IS NOT NULL GROUP BY 1, 2),
+            c AS (SELECT f_name, count(*) FILTER (p = 1 AND g = 1) AS tp, count(*) FILTER (p = 1 AND g = 0) AS fp, count(*) FILTER (p = 0 AND g = 1) AS fn FROM e GROUP BY 1),
+            r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM c)
+            SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM r""",
         "bbox_iou": f"WITH {BOXES}, j AS (SELECT p.nmr_id, p.box AS a, n.box AS b FROM boxes p JOIN boxes n ON n.nmr_id = p.nmr_id + 1) SELECT nmr_id, CASE WHEN {union} <> 0 THEN {_IW} / {union} ELSE 0.0::DOUBLE END AS iou FROM j",
         "bbox_union": f"WITH {BOXES}, u AS (SELECT f_name, page, min(box.x0) AS x, min(box.y0) AS y, max(box.x1) AS x1, max(box.y1) AS y1 FROM boxes GROUP BY f_name, page) SELECT f_name, page, round(x, 2) AS x, round(y, 2) AS y, round(x1 - round(x, 2), 2) AS w, round(y1 - round(y, 2), 2) AS h FROM u",
         "bbox_scaled": f"""WITH {BOXES}, s AS (SELECT nmr_id, box.x0 AS x, box.y0 AS y, box.x1 - box.x0 AS w, box.y1 - box.y0 AS h FROM boxes)
@@ -475,7 +491,8 @@ def oracle_sql() -> dict[str, str]:
         "canonical_spectra": "SELECT concat_ws('_', 'spec', test_type, molecule_id) AS id, test_type AS type, molecule_id, text_representation, CAST(coalesce(page_number, 0) AS BIGINT) AS page_number, 'text' AS source, 'legacy_parser' AS algorithm, 0.8::DOUBLE AS confidence FROM spectra",
         "graph_nodes": "SELECT kind, count(*) AS n FROM (SELECT DISTINCT molecule_id AS node, 'molecule' AS kind FROM molecules UNION SELECT DISTINCT concat_ws('_', 'spec', test_type, molecule_id), 'spectrum' FROM spectra) GROUP BY kind",
         "resolved_names": """WITH k AS (SELECT molecule_name, arg_min(molecule_smiles_by_name, wide_id) AS known FROM wide_records WHERE molecule_name IS NOT NULL AND molecule_smiles_by_name IS NOT NULL GROUP BY 1)
-            SELECT molecule_id, coalesce(nullif(smiles, ''), known, '') AS smiles FROM molecules LEFT JOIN k USING (molecule_name)""",
+            , l AS (SELECT molecule_name, arg_min(opsin_smiles, gt_id) AS second FROM gt_tests WHERE molecule_name IS NOT NULL AND opsin_smiles IS NOT NULL GROUP BY 1)
+            SELECT molecule_id, coalesce(nullif(smiles, ''), nullif(known, ''), nullif(second, ''), '') AS smiles FROM molecules LEFT JOIN k USING (molecule_name) LEFT JOIN l USING (molecule_name)""",
         "set_operations": """WITH a AS (SELECT f_name FROM gt_tests WHERE f_name IS NOT NULL), b AS (SELECT f_name FROM molecules WHERE f_name IS NOT NULL)
             SELECT 'union_all' AS op, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) UNION ALL SELECT 'distinct', count(DISTINCT f_name) FROM a
             UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)

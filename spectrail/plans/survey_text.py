@@ -112,15 +112,19 @@ def keyword_lines(spark: SparkSession, d: str) -> DataFrame:
     return S.keyword_lines(_lines(spark, d), TEST_FAMILIES).select("doc_id", "seq", "word")
 
 
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents", "doc_id", "text")).select("doc_id", F.split("text", "\n").alias("lines")).filter("lines is not null")
+    return docs.select("doc_id", F.explode(D.look_around(F.col("lines"))).alias("w"))
+
+
 def look_around(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    return S.look_around(lines, S.keyword_lines(lines, TEST_FAMILIES), "doc_id").select("doc_id", "hit", "seq")
+    seq = F.posexplode("w.texts").alias("i", "text")
+    return _windows(spark, d).select("doc_id", "w.hit", "w.first", seq).select("doc_id", F.col("hit").cast("bigint").alias("hit"), (F.col("first") + F.col("i")).cast("bigint").alias("seq"))
 
 
 def window_texts(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    joined = S.joined_text(S.look_around(lines, S.keyword_lines(lines, TEST_FAMILIES), "doc_id"), "doc_id")
-    return joined.select("doc_id", "hit", F.length("text").cast("bigint").alias("length"), S.end_line(joined, F.lit("NMR")).alias("nmr_seq"))
+    w = F.col("w")
+    return _windows(spark, d).select("doc_id", w["hit"].cast("bigint").alias("hit"), F.length(F.array_join(w["texts"], "")).cast("bigint").alias("length"), D.end_line(w, "NMR").cast("bigint").alias("nmr_seq"))
 
 
 def compound_tags(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectrail.functions.text import safe_name
 
@@ -16,8 +17,13 @@ def write_parts(df: DataFrame, path: str, by: str = "f_name") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def read_part(spark: SparkSession, path: str, value: str, by: str = "f_name") -> DataFrame:
-    return spark.read.parquet(path).filter(F.col(by) == value)
+def read_part(spark: SparkSession, path: str, value: str, by: str = "f_name", schema: T.StructType | None = None, needed: bool = False) -> DataFrame:
+    """The rows of one file. schema: that of the table, without which a table of no rows can't be read; needed: no rows are an error."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.parquet(path).filter(F.col(by) == value)
+    if needed and rows.isEmpty():
+        raise ValueError(f"{path} has no rows of {value}")
+    return rows
 
 
 def write_wide_csv(df: DataFrame, path: str) -> None:

@@ -141,3 +141,28 @@ def test_pixels():
     m = P.masked(a, mask)
     assert m.shape == (2, 4) and (m == 0).all() and P.masked(a, mask & False) is a
     assert P.cropped(a, -2, 1, 5, 3).shape == (2, 5)
+
+
+def test_page_blocks(spark):
+    import textwrap
+
+    long = "word and another word; " * 30
+    rows = [("d", 1, 7, "second", 10.0, 50.0, 20.0, 60.0), ("d", 1, 9, long, 0.0, 10.0, 100.0, 40.0), ("d", 1, 8, "first\nline", 0.0, 10.0, 100.0, 40.0), ("d", 2, 1, "", 0.0, 0.0, 1.0, 1.0), ("d", 2, 2, None, 0.0, 0.0, 1.0, 1.0), ("d", 2, 3, "no box", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc string, page int, block bigint, text string, x0 double, y0 double, x1 double, y1 double")
+    got = S.page_blocks(df, ["doc", "page"], "block", "text", (200.0, 100.0)).orderBy("page", "line").collect()
+    wanted = ["first line", *textwrap.wrap(long.replace(";", " ").rstrip(), 250), "second"]
+    assert [(r.line, r.text) for r in got if r.page == 1] == list(enumerate(wanted)) and [r.text for r in got if r.page == 2] == [""]
+    assert tuple(got[0].bbox) == (10.0, 0.0, 40.0, 50.0)
+
+
+def test_new_queries_run_on_empty_tables(spark, data, tmp_path):
+    import glob
+    import os
+
+    import __spark_entry__ as entry
+    from spectrail.plans import survey_more
+
+    for f in glob.glob(f"{data}/*.parquet"):
+        spark.read.parquet(f).limit(0).write.parquet(f"{tmp_path}/{os.path.basename(f)}")
+    for name in survey_more.queries():
+        assert entry.queries()[name](spark, str(tmp_path)).count() <= 1, name

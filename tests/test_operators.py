@@ -148,7 +148,7 @@ def test_wrap_and_models(spark):
     m = E.apply_model(df.withColumn("t", F.nullif("t", F.lit(""))), "t", lambda: lambda batch: [x[:2] for x in batch], "a")
     assert [r.a for r in m.orderBy("id").collect()] == ["sh", "wo", None]
     known = spark.createDataFrame([("short", "C")], "t string, smiles string")
-    assert {r.smiles for r in E.resolve_names(df.limit(1), "t", known).collect()} == {"C"}
+    assert {r.smiles for r in E.resolve_names(df.limit(1), "t", [known]).collect()} == {"C"}
 
 
 def test_grammar():

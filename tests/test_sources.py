@@ -72,3 +72,14 @@ def test_streams(spark, tmp_path):
     q = seqs.writeStream.format("memory").queryName("seqs").outputMode("append").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert ("a,b") in [r.types for r in spark.table("seqs").collect()]
+
+
+def test_a_part_without_rows(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([("a", 1)], "f_name string, v bigint")
+    K.write_parts(df, str(tmp_path / "some"))
+    K.write_parts(df.limit(0), str(tmp_path / "none"))
+    assert K.read_part(spark, str(tmp_path / "some"), "b").count() == 0 and K.read_part(spark, str(tmp_path / "none"), "a", schema=df.schema).count() == 0
+    with pytest.raises(ValueError):
+        K.read_part(spark, str(tmp_path / "some"), "b", needed=True)
