@@ -69,6 +69,14 @@ def segment_arrays(docs: DataFrame, key: str, column: str, tokens_mark: float =
     return found.select(key, cut(F.col("lines"), F.col("at")).alias("segments"))
 
 
+def unpacked(df: DataFrame, keys: list, column: Column | str, needed: str) -> DataFrame:
+    """Rows (keys, members) of an array of structs; needed is a member that is never null.
+
+    The outer form, as the plain one makes the optimizer filter documents by the array, and so compute all that it is made of once more.
+    """
+    return df.select(*keys, F.inline_outer(column)).filter(F.col(needed).isNotNull())
+
+
 def name_of(lines: Column, depth: int = 3) -> Column:
     """What stands before the tag in the first 1..depth lines joined, else the first line."""
     tries = [X.compound_name(F.array_join(F.slice(lines, 1, n), "")) for n in range(1, depth + 1)]

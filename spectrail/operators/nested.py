@@ -241,7 +241,8 @@ def _records(df: DataFrame, key: str, column: str, mark: str) -> DataFrame:
         inner = F.when(_begins(F.col("raw"), "["), _once(_as_list(F.col("raw")), lambda a: F.when(F.size(a) == 1, a).otherwise(F.slice(a, 1, 0)))).otherwise(
             _once(_as_map(F.col("raw")), lambda m: F.when((F.size(m) == 1) & ~F.map_contains_key(m, F.lit(mark)), F.map_values(m)).otherwise(F.array(F.col("raw"))))
         )
-        rows = rows.select(F.col(key), F.explode(F.when(F.col("raw").rlike(plain), F.array("raw")).otherwise(inner)).alias("raw"))
+        # outer forms throughout: the plain ones make the optimizer filter by the array, and so parse everything twice
+        rows = rows.select(F.col(key), F.explode_outer(F.when(F.col("raw").rlike(plain), F.array("raw")).otherwise(inner)).alias("raw"))
     return rows.filter(_begins(F.col("raw"), "{"))
 
 
@@ -308,12 +309,12 @@ def flatten(df: DataFrame, key: str, column: str, lv: Levels | None = None, raw:
             break
         member, value = F.col("member"), F.col("raw")
         parts = F.when(F.col("open") & member.isin(*opened), _once(_as_map(value), taken)).otherwise(F.array(line))
-        members = rows.withColumn("__m", F.explode(parts)).select(
+        members = rows.withColumn("__m", F.explode_outer(parts)).filter("__m is not null").select(
             key, "parent", "member", "pos", "path", F.when(F.col("__m.name").isNull(), F.col("raw")).alias("raw") if raw else F.lit(None).cast("string").alias("raw"),
             F.when(F.col("__m.name").isNull(), False).alias("self"), F.col("__m.name").alias("name"), F.col("__m.value").alias("value"),
         )
         items = F.when(F.col("name").isNull(), F.array(F.col("raw"))).otherwise(_elements(F.col("name"), F.col("value"), lv))
-        exploded = members.select("*", F.posexplode(items).alias("__pos", "__item"))
+        exploded = members.select("*", F.posexplode_outer(items).alias("__pos", "__item"))
         fresh = F.col("name").isNotNull()
         stem = F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(F.lit("")), "name")
         single = [n for n, x in sorted(lv.kinds.items()) if x.single]

@@ -122,4 +122,5 @@ def split_packed(df: DataFrame, key: str, column: str, kind: str, bound: int = B
     values = F.regexp_extract_all(text, F.col("pattern"), F.lit(0))
     trimmed = F.transform(values, lambda x: F.regexp_replace(x, r"^[\s\"']+|(?:(?<=\S)[\s\"']+|(?<=\w)\s*)$" if kind != "paths" else r"^[\s\"]+|^'(?=.*'\s*$)|[\s\"]+$|(?<=[A-Za-z0-9])'\s*$", ""))
     found = F.filter(trimmed, lambda x: x.rlike(r"\S"))
-    return with_rules(filled, rules, bound).select(key, F.posexplode(found).alias("pos", "val")).select(key, F.col("pos").cast("bigint").alias("pos"), "val")
+    # the outer form: the plain one makes the optimizer filter by the values, and so extract them twice
+    return with_rules(filled, rules, bound).select(key, F.posexplode_outer(found).alias("pos", "val")).filter("val is not null").select(key, F.col("pos").cast("bigint").alias("pos"), "val")

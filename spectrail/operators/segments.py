@@ -17,7 +17,7 @@ LINES_PER_PAGE = 50
 
 def document_lines(docs: DataFrame, key: str, column: str, per_page: int = LINES_PER_PAGE) -> DataFrame:
     """Rows (key, seq, page, line, text): the lines of each text, 0-based; null texts give no row."""
-    lines = docs.select(key, F.posexplode(F.split(column, "\n")).alias("seq", "text"))
+    lines = docs.select(key, F.posexplode_outer(F.split(column, "\n")).alias("seq", "text")).filter("seq is not null")
     return lines.select(key, F.col("seq").cast("bigint").alias("seq"), F.expr(f"seq div {per_page}").alias("page"), (F.col("seq") % per_page).cast("bigint").alias("line"), "text")
 
 

@@ -28,7 +28,7 @@ def extract(docs: DataFrame, key: str, column: str) -> DataFrame:
 
 def sequences(docs: DataFrame, key: str, column: str, gap: int = 4) -> DataFrame:
     """Rows (key, sequence, first_pos, last_pos, types): the test sequences of each document."""
-    cut = document_tests(docs, key, column).select(key, F.posexplode(D.runs(F.col("tests"), gap)).alias("sequence", "t"))
+    cut = document_tests(docs, key, column).select(key, F.posexplode_outer(D.runs(F.col("tests"), gap)).alias("sequence", "t")).filter("sequence is not null")
     return cut.select(
         key, (F.col("sequence") + 1).cast("bigint").alias("sequence"), F.get("t", F.lit(0))["hit"].cast("bigint").alias("first_pos"), F.element_at("t", -1)["hit"].cast("bigint").alias("last_pos"),
         F.transform("t", lambda x: x["test_type"]).alias("types"),

@@ -34,13 +34,13 @@ def _with_tests(spark, d):
 
 def split_segments(spark, d):
     """Segments cut at the ends of their test sequences."""
-    parts = _with_tests(spark, d).select("doc_id", F.inline(D.split_at_sequences(F.col("segments"), F.col("tests"))))
+    parts = D.unpacked(_with_tests(spark, d), ["doc_id"], D.split_at_sequences(F.col("segments"), F.col("tests")), "segment")
     return parts.select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("segment", "part", "first", "n_lines")), F.array_join("types", ",").alias("types"))
 
 
 def adjusted_segments(spark, d):
     """Segments merged by the document's common sequence, with the types of their tests; those without a test are dropped."""
-    rows = D.adjusted(D.segment_arrays(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")).select("doc_id", "tests", F.inline("segments"))
+    rows = D.unpacked(D.adjusted(D.segment_arrays(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")), ["doc_id", "tests"], "segments", "segment")
     types = F.transform(D.of_segment(F.col("tests"), F.col("segment")), lambda t: t["test_type"])
     return rows.select("doc_id", F.col("segment").cast("bigint").alias("segment"), F.col("first").cast("bigint").alias("first_seq"), F.size("lines").cast("bigint").alias("n_lines"), F.array_join(types, ",").alias("types"))
 
@@ -142,7 +142,7 @@ def page_lines(spark, d):
 def matched_segments(spark, d):
     """The wide export of documents' segments that start on a page with a picture: one row a segment, a column for each type of test."""
     docs = spread(table(spark, d, "documents", "doc_id", "f_name", "text"))
-    rows = D.adjusted(D.segment_arrays(docs, "doc_id", "text")).join(docs.select("doc_id", "f_name"), "doc_id").select("doc_id", "f_name", "tests", F.inline("segments"))
+    rows = D.unpacked(D.adjusted(D.segment_arrays(docs, "doc_id", "text")).join(docs.select("doc_id", "f_name"), "doc_id"), ["doc_id", "f_name", "tests"], "segments", "segment")
     pics = table(spark, d, "nmr_data", "f_name", "provenance").filter("provenance.modality = 'image' and provenance.page_number is not null").select("f_name", (F.col("provenance.page_number") % 3).alias("page")).distinct()
     kept = rows.withColumn("page", F.floor(F.col("first") / S.LINES_PER_PAGE)).join(pics, ["f_name", "page"], "left_semi")
     tests = kept.select("doc_id", "segment", F.inline(D.of_segment(F.col("tests"), F.col("segment")).cast("array<struct<own:int,hit:int,test_type:string,test_text:string>>")))

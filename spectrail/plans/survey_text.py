@@ -45,7 +45,7 @@ def first_over(spark: SparkSession, d: str) -> DataFrame:
 def _segment_rows(spark: SparkSession, d: str) -> DataFrame:
     """Segments from documents as rows: no shuffle."""
     docs = spread(table(spark, d, "documents", "doc_id", "text"))
-    return D.segment_arrays(docs, "doc_id", "text").select("doc_id", F.inline("segments"))
+    return D.unpacked(D.segment_arrays(docs, "doc_id", "text"), ["doc_id"], "segments", "segment")
 
 
 def _span(rows: DataFrame, per_page: int = S.LINES_PER_PAGE) -> DataFrame:
@@ -75,7 +75,7 @@ def long_segments(spark: SparkSession, d: str) -> DataFrame:
     """All segments, those that span more than two pages located again: where they begin then and how many lines they have."""
     docs = D.line_arrays(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
     segs = docs.select("doc_id", "lines", "stats", D.starts(F.col("stats")).alias("at")).select("doc_id", "lines", "stats", D.cut(F.col("lines"), F.col("at")).alias("segs"))
-    again = segs.select("doc_id", F.inline(D.relocated(F.col("segs"), F.col("stats"), F.col("lines"), per_page=SHORT_PAGE)))
+    again = D.unpacked(segs, ["doc_id"], D.relocated(F.col("segs"), F.col("stats"), F.col("lines"), per_page=SHORT_PAGE), "segment")
     return _span(again).select("doc_id", "segment", "first_seq", "n_lines")
 
 
@@ -86,7 +86,7 @@ def _option_starts(spark: SparkSession, d: str) -> DataFrame:
     """Rows (doc_id, option, seq): the lines that open segments under each option, all from one pass of statistics."""
     docs = D.line_arrays(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
     each = F.array(*(F.struct(F.lit(i).alias("option"), D.starts(F.col("stats"), t, s).alias("at")) for i, t, s in OPTIONS))
-    return docs.select("doc_id", F.inline(each)).select("doc_id", "option", F.explode("at").alias("seq"))
+    return D.unpacked(docs, ["doc_id"], each, "option").select("doc_id", "option", F.explode_outer("at").alias("seq")).filter("seq is not null")
 
 
 def option_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -114,11 +114,11 @@ def keyword_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents", "doc_id", "text")).select("doc_id", F.split("text", "\n").alias("lines")).filter("lines is not null")
-    return docs.select("doc_id", F.explode(D.look_around(F.col("lines"))).alias("w"))
+    return docs.select("doc_id", F.explode_outer(D.look_around(F.col("lines"))).alias("w")).filter("w is not null")
 
 
 def look_around(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.posexplode("w.texts").alias("i", "text")
+    seq = F.posexplode_outer("w.texts").alias("i", "text")
     return _windows(spark, d).select("doc_id", "w.hit", "w.first", seq).select("doc_id", F.col("hit").cast("bigint").alias("hit"), (F.col("first") + F.col("i")).cast("bigint").alias("seq"))
 
 
@@ -162,7 +162,7 @@ def normal_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_strings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "gt_tests", "gt_id", "test_text").filter("test_text is not null").select("gt_id", F.posexplode(X.peak_strings(F.col("test_text"))).alias("pos", "peak")).select("gt_id", F.col("pos").cast("bigint").alias("pos"), "peak")
+    return table(spark, d, "gt_tests", "gt_id", "test_text").filter("test_text is not null").select("gt_id", F.posexplode_outer(X.peak_strings(F.col("test_text"))).alias("pos", "peak")).filter("pos is not null").select("gt_id", F.col("pos").cast("bigint").alias("pos"), "peak")
 
 
 def _tests(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -170,22 +170,22 @@ def _tests(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def nmr_h_peaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tests(spark, d, "1H NMR").select("gt_id", P.frequency(F.col("test_text")).alias("mhz"), F.posexplode(P.proton_peaks(F.col("test_text"))).alias("pos", "p"))
+    rows = _tests(spark, d, "1H NMR").select("gt_id", P.frequency(F.col("test_text")).alias("mhz"), F.posexplode_outer(P.proton_peaks(F.col("test_text"))).alias("pos", "p")).filter("pos is not null")
     return rows.select("gt_id", "mhz", F.col("pos").cast("bigint").alias("pos"), "p.shift", "p.lo", "p.hi", "p.mult", F.array_join(F.transform("p.j", lambda x: (x * 10).cast("bigint").cast("string")), ",").alias("j10"), "p.integ", "p.label")
 
 
 def nmr_c_peaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tests(spark, d, "13C NMR").select("gt_id", F.posexplode(P.carbon_shifts(F.col("test_text"))).alias("pos", "shift"))
+    rows = _tests(spark, d, "13C NMR").select("gt_id", F.posexplode_outer(P.carbon_shifts(F.col("test_text"))).alias("pos", "shift")).filter("pos is not null")
     return rows.select("gt_id", F.col("pos").cast("bigint").alias("pos"), "shift")
 
 
 def ir_bands(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tests(spark, d, "IR").select("gt_id", F.posexplode(P.ir_bands(F.col("test_text"))).alias("pos", "p"))
+    rows = _tests(spark, d, "IR").select("gt_id", F.posexplode_outer(P.ir_bands(F.col("test_text"))).alias("pos", "p")).filter("pos is not null")
     return rows.select("gt_id", F.col("pos").cast("bigint").alias("pos"), "p.wn", "p.intensity", "p.broad", "p.raw")
 
 
 def ms_peaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tests(spark, d, "MS").select("gt_id", F.posexplode(P.ms_peaks(F.col("test_text"))).alias("pos", "p"))
+    rows = _tests(spark, d, "MS").select("gt_id", F.posexplode_outer(P.ms_peaks(F.col("test_text"))).alias("pos", "p")).filter("pos is not null")
     return rows.select("gt_id", F.col("pos").cast("bigint").alias("pos"), "p.mz", "p.intensity")
 
 
@@ -198,9 +198,9 @@ def splitting_sticks(spark: SparkSession, d: str) -> DataFrame:
     """Lines of simulated 1H spectra: a peak's integration is shared by its lines, heights are relative to the spectrum's highest."""
     from pyspark.sql import Window
 
-    rows = _tests(spark, d, "1H NMR").select("gt_id", P.frequency(F.col("test_text")).alias("mhz"), F.posexplode(P.proton_peaks(F.col("test_text"))).alias("pos", "p"))
+    rows = _tests(spark, d, "1H NMR").select("gt_id", P.frequency(F.col("test_text")).alias("mhz"), F.posexplode_outer(P.proton_peaks(F.col("test_text"))).alias("pos", "p")).filter("pos is not null")
     lines = P.splitting(F.col("p.shift"), F.col("p.mult"), F.col("p.j"), F.col("mhz"))
-    sticks = rows.select("gt_id", "pos", F.coalesce("p.integ", F.lit(1.0)).alias("i"), lines.alias("l")).select("gt_id", "pos", (F.col("i") / F.size("l")).alias("h"), F.posexplode("l").alias("line", "ppm"))
+    sticks = rows.select("gt_id", "pos", F.coalesce("p.integ", F.lit(1.0)).alias("i"), lines.alias("l")).select("gt_id", "pos", (F.col("i") / F.size("l")).alias("h"), F.posexplode_outer("l").alias("line", "ppm")).filter("line is not null")
     return sticks.select("gt_id", F.col("pos").cast("bigint").alias("pos"), F.col("line").cast("bigint").alias("line"), "ppm", (F.col("h") / F.max("h").over(Window.partitionBy("gt_id"))).alias("height"))
 
 
