@@ -1,6 +1,6 @@
 """A tokenizer by ordered alternation and a recursive-descent parser of NMR texts, as an Arrow table function.
 
-Grammar: nucleus, header (frequency, solvent, temperature in any order, in brackets), then shifts with multiplicity, couplings, integration
+Grammar: nucleus, header (frequency, solvent, temperature, mixture in any order, in brackets), then shifts with multiplicity, couplings, integration
 and assignment in any order in brackets; or blocks of shifts headed by an isomer's name. What doesn't fit is skipped up to the next shift.
 
 Defined results: null, empty and headless texts give a row with an error and no shifts; nothing ends the job.
@@ -18,24 +18,36 @@ from pyspark.sql import functions as F
 _DASH = r"[-–—−_]"
 _N = r"\d+(?:\.\d+)?"
 
+#: Solvents and their mixtures, longer names first. Fixed values.
+SOLVENTS = (
+    "CHCl3/CDCl3", "CDCl3 over K2CO3", "CHCl3 with 5% CDCl3", "d8-toluene/CD3CN mixture", "CDCl3 d1", "CDCl3", "CDCL3", "cdcl3", "CHCl3", "CD2Cl2", "Chloroform-d", "CHLOROFORM-D", "chloroform-d",
+    "DMSO-d6", "d6-DMSO", "d6DMSO", "DMSO d6", "(CD3)2SO", "DMSO", "dmso", "toluene-D8", "toluene-d8", "Toluene-d8", "tol-D8", "d8-toluene",
+    "CD3OD", "MeOH-d4", "MeOD", "methanol-d4", "Methanol-d4", "méthanol-d4", "Méthanol-d4", "d4-methanol", "Et2O", "acetone-d6", "Acetone-d6", "acétone-d6", "ACETONE-D6", "aceton-d6", "Aceton-d6",
+    "THF-d8", "d8-thf", "DMF-d7", "Acetic acid-d4", "C6D6", "CD3CN", "Methylene Chloride-d2", "D2O", "Pyridin-d5", "pyridine-d5",
+)
+
 #: Kinds of token, tried in this order at every place; other characters are skipped.
 TOKENS = (
-    ("nucleus", r"(?:\d{1,2}\s*[A-Z][a-z]?(?:\{1H\})?|[HCDF])?\s*-?\s*NMR"),
-    ("solvent", r"CDCl3|CHCl3|CD2Cl2|[Cc]hloroform-d|DMSO(?:-d6)?|d6-DMSO|\(CD3\)2SO|CD3OD|MeO[HD](?:-d4)?|[Mm][ée]thanol-d4|[Aa]c[eé]tone?-d6|THF-d8|DMF-d7|C6D6|CD3CN|D2O|[Tt]oluene?-[dD]8|[Pp]yridin[e]?-d5(?: \([^()]*\))?"),
+    ("nucleus", r"(?:\d{1,2}\s*[A-Z][a-z]?(?:\d{1,2}F|\{1H\})?|[HCDF]|[{}]1H\})?\s*-*\s*NMR"),
+    ("solvent", "(?:" + "|".join(map(re.escape, SOLVENTS)) + r")(?: \([^()]*\))?"),
     ("temperature", rf"T\s*=\s*{_N}\s*°?\s*[KC]?|{_N}\s*(?:°\s*[KC]|K\b)"),
     ("frequency", rf"{_N},*\s*MHz"),
-    ("isomer", r"\(?[Mm](?:ajor|inor) (?:rotamer|isomer|diastereomer)\)?,?|[Rr]otameric mixtures?"),
+    ("mixture", r"\((?:as a )?mixture of diastereomers\)|\bmixture of (?:rotamers|diastereomers)|rotameric\b(?! mixtures)|rel\. Me2Se"),
+    ("isomer", r"\(?[Mm](?:ajor|inor) (?:rotamer|isomer|diastereomer)\)?,?|[Rr]otameric mixtures?|Signals correspond to (?:keto-tautomer|enol-tautomer|[EZ]-isomer):"),
     ("integration", rf"{_N}\s*H(?!z)|\d\s*[FC](?![a-zA-Z])"),
-    ("coupling", rf"\d?J\s*(?:\([^()]*\))?\s*=\s*{_N}(?:\s*,\s*{_N}(?=\s*(?:,|Hz)))*\s*(?:Hz)?|{_N}\s*Hz"),
+    ("coupling", rf"\d?J\s*(?:\([^()]*\))?\s*=?\s*{_N}(?:\s*(?:Hz)?\s*[,.]\s*{_N}(?=\s*(?:[,.]|Hz|\))))*\s*(?:Hz)?|{_N}\s*Hz"),
     ("range", rf"\d+\.\d+\s*{_DASH}\s*\d+\.\d+"),
     ("shift", rf"(?:{_DASH}\s*)?\d+\.\d+"),
-    ("multiplicity", r"(?:br\s+)?(?:[sdtqpm]|[dtq]{2,5}|quin(?:tet)?|sept(?:et)?|sext|hept|octet)(?=\s*[,)])|br\b"),
-    ("assignment", r"[A-Za-z][A-Za-z0-9=-]*(?:\([A-Za-z0-9=]*\)[A-Za-z0-9=]*)*"),
-    ("mark", r"δ[HCF]?|\(ppm\)|[,;:=]"),
+    ("multiplicity", r"t with further splitting|(?:br\s+)?(?:(?:[dtq]{1,3})?(?:quin(?:tet)?|sept(?:et)?)[dtq]?|sext|sxt|hept|octet|[dtq]{2,5}|[sdtqpm])(?=\s*[,)])|\(br\)|br\b"),
+    ("assignment", r"[A-Za-z][A-Za-z0-9=-]*(?:\([A-Za-z0-9=/]*\)[A-Za-z0-9=]*)*"),
+    ("delimiter", r"δ[HCF]?(?:\s*/ppm)?|\(ppm\)|[:=]"),
+    ("comma", ","),
+    ("line_ender", ";"),
     ("open", r"\("),
     ("close", r"\)"),
     ("space", r"\s+"),
 )
+_MARKS = ("delimiter", "comma", "line_ender")
 _PATTERN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in TOKENS))
 
 
@@ -58,13 +70,13 @@ class _Reader:
         return None
 
     def marks(self) -> None:
-        while self.take("mark"):
+        while self.take(*_MARKS):
             pass
 
 
 def parse(text: str | None) -> dict:
-    """nucleus, frequency, solvent, temperature, shifts (isomer, shift, multiplicity, coupling, integration, assignment), error."""
-    out: dict = {"nucleus": None, "frequency": None, "solvent": None, "temperature": None, "shifts": [], "error": None}
+    """nucleus, frequency, solvent, temperature, mixture, shifts (isomer, shift, multiplicity, coupling, integration, assignment), error."""
+    out: dict = {"nucleus": None, "frequency": None, "solvent": None, "temperature": None, "mixture": None, "shifts": [], "error": None}
     r = _Reader(tokenize(text or ""))
     while r.kind() not in ("nucleus", None):
         r.at += 1
@@ -72,16 +84,19 @@ def parse(text: str | None) -> dict:
         return out | {"error": "no nucleus"}
     out["nucleus"] = r.take("nucleus").strip()
     r.take("open")
-    while (kind := r.kind()) in ("frequency", "solvent", "temperature", "mark"):
+    while (kind := r.kind()) in ("frequency", "solvent", "temperature", "mixture", *_MARKS):
         value = r.take(kind)
-        if kind != "mark" and out[kind] is None:
+        if kind not in _MARKS and out[kind] is None:
             out[kind] = value.strip(" ,")
     r.take("close")
+    r.marks()
+    if (mixture := r.take("mixture")) is not None and out["mixture"] is None:
+        out["mixture"] = mixture
     isomer = None
     while r.kind() is not None:
         r.marks()
         if (name := r.take("isomer")) is not None:
-            isomer = name.strip(" (),")
+            isomer = name.removeprefix("Signals correspond to ").strip(" (),:")
         elif (shift := r.take("range", "shift")) is not None:
             out["shifts"].append({"isomer": isomer, "shift": shift.strip()} | _details(r))
         else:
@@ -93,9 +108,9 @@ def _details(r: _Reader) -> dict:
     found: dict = {"multiplicity": None, "coupling": None, "integration": None, "assignment": None}
     if r.take("open") is None:
         return found
-    while (kind := r.kind()) in (*found, "mark"):
+    while (kind := r.kind()) in (*found, *_MARKS):
         value = r.take(kind)
-        if kind != "mark" and found[kind] is None:
+        if kind not in _MARKS and found[kind] is None:
             found[kind] = value.strip(" ,")
     r.take("close")
     return found
@@ -105,7 +120,7 @@ _SHIFT = "struct<isomer:string,shift:string,multiplicity:string,coupling:string,
 
 
 def parse_column(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows (key, nucleus, frequency, solvent, temperature, shifts, error) of all rows."""
+    """Rows (key, nucleus, frequency, solvent, temperature, mixture, shifts, error) of all rows."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,9 +131,9 @@ def parse_column(df: DataFrame, key: str, column: str) -> DataFrame:
                     rows.append({key: k} | parse(text))
                 except (IndexError, ValueError) as e:
                     rows.append({key: k, "shifts": [], "error": str(e)})
-            yield pd.DataFrame(rows, columns=[key, "nucleus", "frequency", "solvent", "temperature", "shifts", "error"])
+            yield pd.DataFrame(rows, columns=[key, "nucleus", "frequency", "solvent", "temperature", "mixture", "shifts", "error"])
 
-    return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, nucleus string, frequency string, solvent string, temperature string, shifts array<{_SHIFT}>, error string")
+    return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, nucleus string, frequency string, solvent string, temperature string, mixture string, shifts array<{_SHIFT}>, error string")
 
 
 def shift_rows(parsed: DataFrame, key: str) -> DataFrame:

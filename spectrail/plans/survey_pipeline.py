@@ -47,7 +47,7 @@ def grammar_nmr(spark, d):
 
 def grammar_headers(spark, d):
     g = table(spark, d, "gt_tests", "gt_id", "test_type", "test_text").filter(F.col("test_type").isin("1H NMR", "13C NMR"))
-    return G.parse_column(g, "gt_id", "test_text").select("gt_id", "nucleus", "frequency", "solvent", "error")
+    return G.parse_column(g, "gt_id", "test_text").select("gt_id", "nucleus", "frequency", "solvent", "temperature", "mixture", "error")
 
 
 def modelled_pictures(spark, d):

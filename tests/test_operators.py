@@ -201,3 +201,16 @@ def test_fast_name_tokens_count_the_same(spark):
     texts = ["".join(r.choice([*FRAGMENTS, "-2,3-", "4-", "(2S)", "(R)", " ", "q", "X", *(f.capitalize() for f in FRAGMENTS)]) for _ in range(r.randint(0, 20))) for _ in range(400)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.filter(F.regexp_extract_all("t", F.lit(f"({NAME_TOKENS})"), F.lit(1)) != F.regexp_extract_all("t", F.lit(f"({NAME_TOKENS_FAST})"), F.lit(1))).count() == 0
+
+
+def test_grammar_vocabulary():
+    cases = {
+        "1H NMR (300 MHz, CDCl3 over K2CO3, T = 298 K) δ 7.10 (dquin, J 4.6, 1.9 Hz, 1H, OC(O)CH3)": ("1H NMR", "300 MHz", "CDCl3 over K2CO3", "T = 298 K", None, [("7.10", "dquin", "J 4.6, 1.9 Hz", "1H", "OC(O)CH3", None)]),
+        "13C{1H} NMR (d8-toluene/CD3CN mixture, 101 MHz) (as a mixture of diastereomers) δ/ppm 170.1, 20.5": ("13C{1H} NMR", "101 MHz", "d8-toluene/CD3CN mixture", None, "(as a mixture of diastereomers)", [("170.1",) + (None,) * 5, ("20.5",) + (None,) * 5]),
+        "31P19F NMR (Et2O) Signals correspond to keto-tautomer: 1.20 (s, 3H); Signals correspond to enol-tautomer: 1.30 (t with further splitting, 2H)": ("31P19F NMR", None, "Et2O", None, None, [("1.20", "s", None, "3H", None, "keto-tautomer"), ("1.30", "t with further splitting", None, "2H", None, "enol-tautomer")]),
+    }
+    for text, wanted in cases.items():
+        p = grammar.parse(text)
+        shifts = [(s["shift"], s["multiplicity"], s["coupling"], s["integration"], s["assignment"], s["isomer"]) for s in p["shifts"]]
+        assert (p["nucleus"], p["frequency"], p["solvent"], p["temperature"], p["mixture"], shifts) == wanted, text
+    assert len(grammar.TOKENS) == 18
