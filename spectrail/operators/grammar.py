@@ -35,7 +35,7 @@ TOKENS = (
     ("mixture", r"\((?:as a )?mixture of diastereomers\)|\bmixture of (?:rotamers|diastereomers)|rotameric\b(?! mixtures)|rel\. Me2Se"),
     ("isomer", r"\(?[Mm](?:ajor|inor) (?:rotamer|isomer|diastereomer)\)?,?|[Rr]otameric mixtures?|Signals correspond to (?:keto-tautomer|enol-tautomer|[EZ]-isomer):"),
     ("integration", rf"{_N}\s*H(?!z)|\d\s*[FC](?![a-zA-Z])"),
-    ("coupling", rf"\d?J\s*(?:\([^()]*\))?\s*=?\s*{_N}(?:\s*(?:Hz)?\s*[,.]\s*{_N}(?=\s*(?:[,.]|Hz|\))))*\s*(?:Hz)?|{_N}\s*Hz"),
+    ("coupling", rf"\d?J\s*(?:\([^()]*\))?\s*=?\s*{_N}(?:\s*(?:Hz)?\s*[,.]\s*{_N}(?=\s*(?:,|\.(?!\d)|Hz|\))))*\s*(?:Hz)?|{_N}\s*Hz"),
     ("range", rf"\d+\.\d+\s*{_DASH}\s*\d+\.\d+"),
     ("shift", rf"(?:{_DASH}\s*)?\d+\.\d+"),
     ("multiplicity", r"t with further splitting|(?:br\s+)?(?:(?:[dtq]{1,3})?(?:quin(?:tet)?|sept(?:et)?)[dtq]?|sext|sxt|hept|octet|[dtq]{2,5}|[sdtqpm])(?=\s*[,)])|\(br\)|br\b"),
