@@ -23,9 +23,10 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,44 +168,54 @@ def levels(df: DataFrame, column: str, lists: tuple[str, ...] = ()) -> Levels:
 
     lists: names of members that are lists even where the table has single objects only.
     """
-    shapes = _shapes(df, column).persist()
+    base = F.regexp_replace("name", r"(\[\])+$", "")
+    held = _shapes(df, column).select("holder", base.alias("base"), F.col("name").endswith("[]").alias("element"), "kind", "n", "depth")
+    n, element, is_ = F.col("n"), F.col("element"), lambda *kinds: F.col("kind").isin(*kinds)
+    total = lambda c: F.sum(F.when(c, n).otherwise(0))
+    pairs = held.groupBy("holder", "base").agg(
+        F.max(is_("object", "array") | element).alias("level"), (total(~element & ~is_("unsure")) - total(is_("unsure"))).alias("sure"), total(is_("number")).alias("number"),
+        total(is_("string", "boolean")).alias("text"), total(~is_("unsure") & ~element).alias("n"), total(is_("object")).alias("all"), F.max(F.when(is_("object", "array"), F.col("depth"))).alias("depth"),
+        F.max(element & is_("object")).alias("objects"), F.max(~element & is_("object")).alias("alone"), F.max(element & is_("number")).alias("numbers"), F.max(element & is_("string")).alias("texts"),
+    ).persist()
     try:
-        held = shapes.select("holder", F.regexp_replace("name", r"(\[\])+$", "").alias("base"), F.col("name").endswith("[]").alias("element"), "kind", "n")
-        sure = F.when(F.col("kind") == "unsure", -F.col("n")).otherwise(F.when(F.col("element"), 0).otherwise(F.col("n")))
-        all_pairs = held.filter("base != '$'").groupBy("holder", "base").agg(
-            F.max(F.col("kind").isin("object", "array") | F.col("element")).alias("level"), F.sum(sure).alias("sure"),
-            F.sum(F.when(F.col("kind").isin("number"), F.col("n")).otherwise(0)).alias("numbers"), F.sum(F.when(F.col("kind").isin("string", "boolean"), F.col("n")).otherwise(0)).alias("texts"),
-            F.sum(F.when((F.col("kind") != "unsure") & ~F.col("element"), F.col("n")).otherwise(0)).alias("n"),
-        )
         # an unsure member is the key of a map if its object has members that the holder's elements have
-        inner = all_pairs.select(F.col("holder").alias("base"), F.col("base").alias("inner"))
-        proper = all_pairs.filter("sure > 0").select("holder", F.col("base").alias("inner"))
-        keys = all_pairs.filter("sure <= 0").select("holder", "base").join(inner, "base").join(proper, ["holder", "inner"]).select("holder", "base").distinct()
-        pairs = all_pairs.join(keys, ["holder", "base"], "left_anti").join(keys.select(F.col("base").alias("holder")), "holder", "left_anti")
-        ranked = pairs.filter("level").groupBy("holder").agg(F.count("*").alias("names"), F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "base"))), 1, NAMES).alias("list"))
-        under = {r["holder"]: None if r["names"] > NAMES else frozenset(x["base"] for x in r["list"]) for r in ranked.collect()}
-        wanted = {x for names in under.values() if names for x in names}
-        kinds = {}
-        flags = {
-            "objects": F.col("element") & (F.col("kind") == "object"), "alone": ~F.col("element") & (F.col("kind") == "object"),
-            "numbers": F.col("element") & (F.col("kind") == "number"), "texts": F.col("element") & (F.col("kind") == "string"),
-        }
-        if wanted:
-            for r in held.filter(F.col("base").isin(*sorted(wanted))).groupBy("base").agg(*(F.max(c).alias(a) for a, c in flags.items())).collect():
-                kinds[r["base"]] = Level(r["alone"] and not r["objects"] and r["base"] not in lists, r["numbers"], r["texts"] and not r["objects"])
-        objects = held.filter("kind = 'object'").groupBy(F.col("base").alias("holder")).agg(F.sum("n").alias("all"))
-        known: dict[str, dict[str, bool]] = {}
-        for holder, name, number in pairs.join(objects, "holder").filter(F.col("n") >= KNOWN * F.col("all")).select("holder", "base", F.col("numbers") > F.col("texts")).collect():
-            known.setdefault(holder, {})[name] = number
-        depth = (shapes.filter(F.col("kind").isin("object", "array")).agg(F.max("depth")).first() or [0])[0] or 0
+        inner = pairs.select(F.col("holder").alias("base"), F.col("base").alias("inner"))
+        proper = pairs.filter("sure > 0 and base != '$'").select("holder", F.col("base").alias("inner"))
+        keys = pairs.filter("sure <= 0").select("holder", "base").join(inner, "base").join(proper, ["holder", "inner"]).select("holder", "base").distinct()
+        real = pairs.join(keys, ["holder", "base"], "left_anti").join(keys.select(F.col("base").alias("holder")), "holder", "left_anti")
+        most = max(NAMES + 1, ceil(1 / KNOWN))
+        order = Window.partitionBy("holder").orderBy(F.desc("level"), F.desc("n"), "base")
+        rows = real.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).collect()
     finally:
-        shapes.unpersist()
+        pairs.unpersist()
+    objects: dict[str, int] = {}
+    for r in rows:
+        objects[r["base"]] = objects.get(r["base"], 0) + r["all"]
+    under: dict[str, frozenset[str] | None] = {}
+    known: dict[str, dict[str, bool]] = {}
+    flags: dict[str, dict[str, bool]] = {}
+    depth = 0
+    for r in rows:
+        holder, name = r["holder"], r["base"]
+        if name == "$":
+            continue
+        if r["level"]:
+            under[holder] = (under.get(holder) or frozenset()) | {name}
+            depth = max(depth, r["depth"] or 0)
+            mine = flags.setdefault(name, {})
+            for f in ("objects", "alone", "numbers", "texts"):
+                mine[f] = mine.get(f, False) or bool(r[f])
+        if r["n"] >= KNOWN * objects.get(holder, 0):
+            known.setdefault(holder, {})[name] = r["number"] > r["text"]
+    kinds = {n: Level(f["alone"] and not f["objects"] and n not in lists, f["numbers"], f["texts"] and not f["objects"]) for n, f in flags.items()}
+    under = {h: None if names and len(names) > NAMES else names for h, names in under.items()}
     return Levels(kinds, under, known, depth)
 
 
 # --- flattening ---------------------------------------------------------------------------------------------------------------------
 
 _STRICT = {"allowSingleQuotes": "false"}
+_BAD = "\u0000bad"
 
 
 def _as_map(raw: Column) -> Column:
@@ -293,22 +304,27 @@ def flatten(df: DataFrame, key: str, column: str, lv: Levels | None = None, raw:
     )
     opened = [n for n in sorted(lv.under) if n == "$" or n in lv.kinds]
 
-    def wanted(e: Column) -> Column:
-        out = F.lit(False)
-        for n in opened:
-            names = lv.under[n]
-            out = out | ((F.col("member") == n) & (e["key"].isin(*sorted(names)) if names is not None else F.lit(True)))
-        return out & e["value"].isNotNull()
+    line = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
 
-    def taken(m: Column) -> Column:
-        return F.concat(F.array(line), F.transform(F.filter(F.map_entries(m), wanted), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))))
+    def taken(node: str, raw: Column) -> Column:
+        """The object itself, as a line without a name, and its members that are levels; nothing of what isn't an object."""
+        names = lv.under[node]
+        if names is None:
+            every = lambda m: F.concat(F.array(line), F.transform(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))))
+            return _once(_as_map(raw), every)
+        # a struct of the members wanted: the parser skips the others
+        kind = T.StructType([*(T.StructField(n, T.StringType()) for n in sorted(names)), T.StructField(_BAD, T.StringType())])
+        members = lambda p: F.array(line, *(F.struct(F.lit(n).alias("name"), p[n].alias("value")) for n in sorted(names)))
+        kept = lambda p: F.when(p[_BAD].isNull(), F.filter(members(p), lambda e: e["name"].isNull() | e["value"].isNotNull())).otherwise(F.slice(F.array(line), 1, 0))
+        return _once(F.from_json(raw, kind, {**_STRICT, "columnNameOfCorruptRecord": _BAD}), kept)
 
-    line = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
     for _ in range(lv.depth):
         if not opened:
             break
         member, value = F.col("member"), F.col("raw")
-        parts = F.when(F.col("open") & member.isin(*opened), _once(_as_map(value), taken)).otherwise(F.array(line))
+        parts = F.array(line)
+        for n in opened:
+            parts = F.when(F.col("open") & (member == n), taken(n, value)).otherwise(parts)
         members = rows.withColumn("__m", F.explode_outer(parts)).filter("__m is not null").select(
             key, "parent", "member", "pos", "path", F.when(F.col("__m.name").isNull(), F.col("raw")).alias("raw") if raw else F.lit(None).cast("string").alias("raw"),
             F.when(F.col("__m.name").isNull(), False).alias("self"), F.col("__m.name").alias("name"), F.col("__m.value").alias("value"),
