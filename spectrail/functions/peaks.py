@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from spectrail.functions.bind import bind
 
+# Ranges of positions, the merging distance, and the patterns of peaks, multiplicities and couplings.
 RANGES = {"1H NMR": (0, 16), "13C NMR": (0, 250), "IR": (400, 4000), "MS": (10, 5000)}
 MERGE = 0.05  # shifts of 13C nearer than this to the last kept one are one
 _H = r"(\d{1,2}(?:\.\d+)?(?:\s*[–-]\s*\d{1,2}(?:\.\d+)?)?)\s*(?:\(([^)]*)\))?"
 _MULTIPLICITY = r"\b(dd|dt|td|dq|qt|tt|s|d|t|q|quin|quint|sext|sept|hept|m)\b"
+_COUPLINGS = r"J[^=\d]*=\s*([\d.]+(?:\s*,\s*[\d.]+)*)"
 
 
 def one_line(text: Column) -> Column:
@@ -54,7 +56,7 @@ def proton_peaks(text: Column) -> Column:
             F.when(F.size(ends) == 2, F.array_min(ends)).alias("lo"),
             F.when(F.size(ends) == 2, F.array_max(ends)).alias("hi"),
             F.when(mult == "", F.lit(None).cast("string")).when(low.rlike(r"\bbr\b"), F.concat(F.lit("br "), mult)).otherwise(mult).alias("mult"),
-            F.transform(F.regexp_extract_all(F.regexp_extract(info, r"J[^=\d]*=\s*([\d.]+(?:\s*,\s*[\d.]+)*)", 1), F.lit(r"([\d.]*\d)"), F.lit(1)), lambda x: x.try_cast("double")).alias("j"),
+            F.transform(F.regexp_extract_all(F.regexp_extract(info, _COUPLINGS, 1), F.lit(r"([\d.]*\d)"), F.lit(1)), lambda x: x.try_cast("double")).alias("j"),
             F.nullif(F.regexp_extract(info, r"(\d+(?:\.\d+)?)\s*H\b", 1), F.lit("")).cast("double").alias("integ"),
             F.trim(info).alias("label"),
         )

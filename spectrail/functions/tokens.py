@@ -4,10 +4,11 @@ from __future__ import annotations
 
 # Name fragments in order of alternation, longer ones first.
 FRAGMENTS = (
-    "carboxylate phosphate isopropyl azetidin methoxy benzene methane propane uronium ethane phenyl chloro fluoro methyl propan benzyl "
-    "hydryl thione sodium butan butyl hydro carbo tetra allyl sulfo azete amido pival olate thio tert benz nate piva late loyl azin hexa "
-    "ace tri oxy oxo one hyl ane ate tol tyl bis nyl ol di en yl"
-).split()
+    "carboxylate", "phosphate", "isopropyl", "azetidin", "methoxy", "benzene", "methane", "propane", "uronium", "ethane", "phenyl",
+    "chloro", "fluoro", "methyl", "propan", "benzyl", "hydryl", "thione", "sodium", "butan", "butyl", "hydro", "carbo", "tetra", "allyl",
+    "sulfo", "azete", "amido", "pival", "olate", "thio", "tert", "benz", "nate", "piva", "late", "loyl", "azin", "hexa", "ace", "tri",
+    "oxy", "oxo", "one", "hyl", "ane", "ate", "tol", "tyl", "bis", "nyl", "ol", "di", "en", "yl",
+)
 # Locants and stereo descriptors.
 LOCANTS = r"-\d+,\d+,\d+-|-\d+,\d+-|-\d+-|\d+-|-\d+"
 STEREO = r"\(\d*S\)|\(\d*R\)|\(\d*E\)|\(\d*Z\)"

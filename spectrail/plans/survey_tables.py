@@ -456,6 +456,14 @@ def oracle_sql() -> dict[str, str]:
         "proximity_pairs": f"""WITH {PICS}, s AS (SELECT o_orderkey // 10 AS doc, o_orderkey AS segment, o_orderkey % 7 + 1 AS page, CAST(o_custkey % 100 AS DOUBLE) AS u FROM orders),
             p AS (SELECT l.doc, l.page, l.cluster AS pic, s.segment, abs(l.y + 4.0::DOUBLE - s.u) AS distance FROM lead_pics l JOIN s ON s.doc = l.doc AND s.page = l.page)
             SELECT *, row_number() OVER (PARTITION BY doc ORDER BY distance, pic, segment) AS rank FROM p""",
+        "greedy_match": f"""WITH RECURSIVE {PICS}, s AS (SELECT o_orderkey // 10 AS doc, o_orderkey AS segment, o_orderkey % 7 + 1 AS page, CAST(o_custkey % 100 AS DOUBLE) AS u, o_orderkey % 3 AS cap FROM orders),
+            p AS (SELECT l.doc, l.page, l.cluster AS pic, s.segment, s.cap, abs(l.y + 4.0::DOUBLE - s.u) AS distance FROM lead_pics l JOIN s ON s.doc = l.doc AND s.page = l.page),
+            o AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY distance, pic, segment) AS r, count(*) OVER (PARTITION BY doc, page) AS n FROM p),
+            st(doc, page, n, k, taken, filled) AS (SELECT DISTINCT doc, page, n, CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[] FROM o
+                UNION ALL SELECT st.doc, st.page, st.n, st.k + 1, CASE WHEN good THEN list_append(taken, pic) ELSE taken END, CASE WHEN good THEN list_append(filled, segment) ELSE filled END
+                FROM (SELECT st.*, o.pic, o.segment, NOT list_contains(st.taken, o.pic) AND len(list_filter(st.filled, lambda x: x = o.segment)) < o.cap + CASE WHEN st.k < st.n THEN 0 ELSE 1 END AS good
+                      FROM st JOIN o ON o.doc = st.doc AND o.page = st.page AND o.r = st.k % st.n + 1 WHERE st.k < 2 * st.n) st)
+            SELECT doc, unnest(taken) AS pic, unnest(filled) AS segment FROM st WHERE k = 2 * n""",
         "filled_matched_rate": """WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT o_custkey % 24 AS doc, coalesce(n, 0) AS t, o_orderkey % 3 AS p FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
             a AS (SELECT doc, count(CASE WHEN t > 0 THEN 1 END) AS filled, count(CASE WHEN t > 0 AND p > 0 THEN 1 END) AS matched FROM s GROUP BY doc) SELECT doc, filled, matched, round(matched / filled, 2) AS rate FROM a WHERE filled > 0""",
         "peak_confusion": f"WITH {CONFUSION} SELECT * FROM scored",
@@ -485,6 +493,9 @@ def oracle_sql() -> dict[str, str]:
         "wide_export": "SELECT molecule_id, " + ", ".join(f"arg_max_null(text_representation, CASE WHEN test_type = '{k}' THEN spectrum_id END) FILTER (test_type = '{k}') AS {c}" for k, c in _WIDE.items()) + " FROM spectra GROUP BY molecule_id",
         "type_colours": f"WITH {COLOURED} SELECT * FROM coloured",
         "annotation_rows": f"""WITH {ANNOT} SELECT nmr_id, id, CAST(1 AS BIGINT) AS item_index, b.x0 AS x, b.y0 AS y, b.x1 - b.x0 AS w, b.y1 - b.y0 AS h, p AS part, CASE WHEN p = 0 THEN 'rectanglelabels' ELSE 'textarea' END AS type, CASE WHEN p = 0 THEN nucleus ELSE raw_text END AS value FROM ann CROSS JOIN (SELECT unnest([0, 1]) AS p)""",
+        "annotation_tasks": f"""WITH {ANNOT} SELECT nmr_id, CAST(to_json({{'result': [
+            {{'item_index': 1, 'id': id, 'part': 0, 'type': 'rectanglelabels', 'value': {{'x': b.x0, 'y': b.y0, 'width': b.x1 - b.x0, 'height': b.y1 - b.y0, 'labels': [nucleus]}}}},
+            {{'item_index': 1, 'id': id, 'part': 1, 'type': 'textarea', 'value': {{'x': b.x0, 'y': b.y0, 'width': b.x1 - b.x0, 'height': b.y1 - b.y0, 'labels': [raw_text]}}}}]}}) AS VARCHAR) AS task FROM ann""",
         "annotation_round_trip": f"WITH {ANNOT} SELECT nmr_id, nucleus AS label, raw_text AS text, CAST(1 AS BIGINT) AS boxes FROM ann",
         "updated_tests": """WITH c AS (SELECT molecule_id, test_type, min('checked: ' || text_representation) AS new FROM spectra WHERE spectrum_id % 7 = 0 GROUP BY 1, 2)
             SELECT s.spectrum_id, coalesce(c.new, s.text_representation) AS text_representation FROM spectra s LEFT JOIN c ON c.molecule_id = s.molecule_id AND c.test_type = s.test_type""",

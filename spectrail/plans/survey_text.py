@@ -229,10 +229,11 @@ def queries() -> dict:
 
 # Fixed values, written out once more so that the SQL doesn't take them from what it checks: name fragments, locants, section words, tag.
 _FRAGMENTS = (
-    "carboxylate phosphate isopropyl azetidin methoxy benzene methane propane uronium ethane phenyl chloro fluoro methyl propan benzyl "
-    "hydryl thione sodium butan butyl hydro carbo tetra allyl sulfo azete amido pival olate thio tert benz nate piva late loyl azin hexa "
-    "ace tri oxy oxo one hyl ane ate tol tyl bis nyl ol di en yl"
-).split()
+    "carboxylate", "phosphate", "isopropyl", "azetidin", "methoxy", "benzene", "methane", "propane", "uronium", "ethane", "phenyl",
+    "chloro", "fluoro", "methyl", "propan", "benzyl", "hydryl", "thione", "sodium", "butan", "butyl", "hydro", "carbo", "tetra", "allyl",
+    "sulfo", "azete", "amido", "pival", "olate", "thio", "tert", "benz", "nate", "piva", "late", "loyl", "azin", "hexa", "ace", "tri",
+    "oxy", "oxo", "one", "hyl", "ane", "ate", "tol", "tyl", "bis", "nyl", "ol", "di", "en", "yl",
+)
 _TOKENS = "|".join([*_FRAGMENTS, *(x[0].upper() + x[1:] for x in _FRAGMENTS)]) + r"|-\d+,\d+,\d+-|-\d+,\d+-|-\d+-|\d+-|-\d+|\(\d*S\)|\(\d*R\)|\(\d*E\)|\(\d*Z\)"
 _NOISE = ("Experimental", "experimental", "10.09.08.07.06.05.04.03.02.01.00.0-1.0")
 _TAG = r"\(\d+[A-Za-z]?\)"
@@ -271,6 +272,7 @@ def _texts(kind: str) -> str:
     return f"src AS (SELECT gt_id, test_text, {_ONE} AS s FROM gt_tests WHERE test_type = {q(kind)}), t AS (SELECT gt_id, test_text, s, {_AFTER} AS a FROM src)"
 
 
+# Fixed values, once more for the SQL: patterns of peaks, multiplicities and couplings.
 _HP = r"(\d{1,2}(?:\.\d+)?(?:\s*[–-]\s*\d{1,2}(?:\.\d+)?)?)\s*(?:\(([^)]*)\))?"
 _MULT = r"\b(dd|dt|td|dq|qt|tt|s|d|t|q|quin|quint|sext|sept|hept|m)\b"
 _JP = r"J[^=\d]*=\s*([\d.]+(?:\s*,\s*[\d.]+)*)"
